@@ -1,0 +1,176 @@
+"""Registered queries: one per operator, over the fact table derived from the
+test tables at ``sf_dir``. Each entry is ``(spark, sf_dir) -> DataFrame``.
+
+Parameters are the fixed report parameters below (company, months,
+watchlists, entities, search and filter terms). Every query reads the whole
+fact table; month and entity parameters are the operators' own filters.
+"""
+
+from __future__ import annotations
+
+from typing import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import benchmark as B
+from .operators import compare as C
+from .operators import custom as X
+from .operators import ingest as S
+from .operators import intelligence as I
+from .operators import reports as R
+from .operators import watchlist as W
+from .plans import report_sets as E
+from .sources import fixture_exports
+from .sources.fixture import raw_import_from_tpch
+
+# Fixed report parameters for the test tables.
+COMPANY = "SUPPLIER#000000003"
+CUR, PREV = "1998-06", "1998-05"
+COMPETITORS = ["SUPPLIER#000000001", "SUPPLIER#000000004", "SUPPLIER#000000005",
+               "SUPPLIER#000000007", "SUPPLIER#000000008"]
+CLIENTS = ["CUSTOMER#000000017", "CUSTOMER#000000018", "CUSTOMER#000000022",
+           "CUSTOMER#000000026", "CUSTOMER#000000027", "CUSTOMER#000000033",
+           "CUSTOMER#000000034"]
+EXPORTER = "SUPPLIER#000000005"
+CONSIGNEE = "CUSTOMER#000000022"
+SEARCH_EXPORTER_Q = "#00000001 #00000002"
+SEARCH_CONSIGNEE_Q = "customer#0000001 x"
+FILTER_COUNTRIES = "nation_1, NATION_2"
+FILTER_EXPORTERS = "supplier#00000000"
+FILTER_CONSIGNEES = "CUSTOMER#00000002"
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture_exports(spark, sf_dir)
+
+
+def _q(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(_e(spark, sf_dir))
+    run.__doc__ = fn.__doc__
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    # ---- dashboard / breakdowns
+    "months": _q(R.months),
+    "dashboard_summary": _q(lambda e: R.dashboard_summary(e)),
+    "dashboard_summary_month": _q(lambda e: R.dashboard_summary(e, CUR)),
+    "dashboard_by_category": _q(lambda e: R.dashboard_by_category(e)),
+    "dashboard_top_exporters": _q(lambda e: R.dashboard_top_exporters(e, CUR)),
+    "dashboard_top_exporters_all": _q(lambda e: R.dashboard_top_exporters(e)),
+    "dashboard_top_countries": _q(lambda e: R.dashboard_top_countries(e, CUR)),
+    "product_breakdown": _q(lambda e: R.product_breakdown(e)),
+    "product_breakdown_entity": _q(lambda e: R.product_breakdown(e, EXPORTER, "exporter", CUR)),
+    "country_breakdown": _q(lambda e: R.country_breakdown(e)),
+    "country_breakdown_entity": _q(lambda e: R.country_breakdown(e, CONSIGNEE, "consignee")),
+    "monthly_trends": _q(lambda e: R.monthly_trends(e)),
+    "monthly_trends_entity": _q(lambda e: R.monthly_trends(e, EXPORTER, "exporter")),
+    # ---- watchlist summaries
+    "competitor_summary": _q(lambda e: R.competitor_summary(e, COMPETITORS, CUR)),
+    "competitor_summary_all": _q(lambda e: R.competitor_summary(e, COMPETITORS)),
+    "competitor_baseline": _q(lambda e: R.competitor_baseline(e, COMPETITORS, PREV)),
+    "client_summary": _q(lambda e: R.client_summary(e, CLIENTS, CUR)),
+    "client_baseline": _q(lambda e: R.client_baseline(e, CLIENTS, PREV)),
+    "competitor_trend": _q(lambda e: R.competitor_trend(e, COMPETITORS, CUR, PREV)),
+    "client_trend": _q(lambda e: R.client_trend(e, CLIENTS, CUR, PREV)),
+    "company_comparison": _q(lambda e: R.company_comparison(e, COMPANY, COMPETITORS, CUR)),
+    "company_comparison_all": _q(lambda e: R.company_comparison(e, COMPANY, COMPETITORS)),
+    # ---- entity detail
+    "entity_summary": _q(lambda e: R.entity_summary(e, EXPORTER, "exporter", CUR)),
+    "entity_summary_consignee": _q(lambda e: R.entity_summary(e, CONSIGNEE, "consignee")),
+    "entity_products": _q(lambda e: R.entity_products(e, EXPORTER, "exporter")),
+    "entity_countries": _q(lambda e: R.entity_countries(e, EXPORTER, "exporter")),
+    "entity_ports": _q(lambda e: R.entity_ports(e, CONSIGNEE, "consignee")),
+    "entity_monthly_trend": _q(lambda e: R.entity_monthly_trend(e, EXPORTER, "exporter")),
+    "entity_suppliers": _q(lambda e: R.entity_suppliers(e, CONSIGNEE)),
+    "entity_clients": _q(lambda e: R.entity_clients(e, EXPORTER)),
+    "entity_recent_shipments": _q(lambda e: R.entity_recent_shipments(e, EXPORTER, "exporter")),
+    "shipments_page": _q(lambda e: R.shipments_page(e, EXPORTER, "exporter", page=2, limit=50)),
+    "shipments_total": _q(lambda e: R.shipments_total(e, EXPORTER, "exporter")),
+    # ---- intelligence
+    "company_products": _q(lambda e: I.company_products(e, COMPANY)),
+    "prospective_clients": _q(lambda e: I.prospective_clients(e, COMPANY)),
+    "company_clients": _q(lambda e: I.company_clients(e, COMPANY)),
+    "company_hs_codes": _q(lambda e: I.company_hs_codes(e, COMPANY)),
+    "cross_sell": _q(lambda e: I.cross_sell(e, COMPANY)),
+    # ---- month comparison (M1-M7)
+    "competitor_month_comparison": _q(lambda e: C.competitor_month_comparison(e, COMPETITORS, CUR, PREV)),
+    "client_month_comparison": _q(lambda e: C.client_month_comparison(e, CLIENTS, CUR, PREV)),
+    "new_suppliers_to_tracked_clients": _q(
+        lambda e: C.new_suppliers_to_tracked_clients(e, CLIENTS, CUR, PREV)),
+    "new_relationships": _q(lambda e: C.new_relationships(e, CUR, PREV)),
+    "entity_month_rows": _q(lambda e: C.entity_month_rows(e, EXPORTER, "competitor", CUR, PREV)),
+    "entity_month_products": _q(lambda e: C.entity_month_products(e, EXPORTER, "competitor", CUR, PREV)),
+    "entity_month_countries": _q(lambda e: C.entity_month_countries(e, CONSIGNEE, "client", CUR, PREV)),
+    # ---- benchmarking
+    "company_benchmark": _q(lambda e: B.company_benchmark(e, COMPANY)),
+    "competitor_benchmark": _q(lambda e: B.competitor_benchmark(e, COMPETITORS, CUR)),
+    "market_totals": _q(lambda e: B.market_totals(e, CUR)),
+    "client_vendor_analysis": _q(lambda e: B.client_vendor_analysis(e, COMPANY, CUR)),
+    "market_share": _q(lambda e: B.market_share(e, COMPANY)),
+    "company_rank": _q(lambda e: B.company_rank(e, COMPANY)),
+    "company_rank_month": _q(lambda e: B.company_rank(e, COMPANY, CUR)),
+    "market_position": _q(lambda e: B.market_position(e, COMPANY, COMPETITORS, CUR)),
+    # ---- custom reports
+    "custom_report_summary": _q(lambda e: X.custom_report_summary(
+        e, FILTER_COUNTRIES, FILTER_EXPORTERS, None)),
+    "custom_report_summary_exporters": _q(lambda e: X.custom_report_summary(
+        e, None, FILTER_EXPORTERS, None, CUR)),
+    "custom_report_summary_consignees": _q(lambda e: X.custom_report_summary(
+        e, None, None, FILTER_CONSIGNEES)),
+    "custom_report_details": _q(lambda e: X.custom_report_details(
+        e, FILTER_COUNTRIES, FILTER_EXPORTERS, None, CUR)),
+    # ---- name search
+    "search_exporters": _q(lambda e: W.search_exporters(e, SEARCH_EXPORTER_Q, COMPETITORS)),
+    "search_consignees": _q(lambda e: W.search_consignees(e, SEARCH_CONSIGNEE_Q, CLIENTS)),
+}
+
+
+def _export_blocks(name: str, build) -> dict[str, Query]:
+    return {f"{name}_{block}": _q(lambda e, b=block: build(e)[b]) for block in build.blocks}
+
+
+QUERIES.update(_export_blocks("export_benchmarking",
+                              E.bound(E.export_benchmarking, company=COMPANY, wl=COMPETITORS, month=CUR)))
+QUERIES.update(_export_blocks("export_monthly_comparison",
+                              E.bound(E.export_monthly_comparison, competitors=COMPETITORS,
+                                      clients=CLIENTS, cur=CUR, prev=PREV)))
+QUERIES.update(_export_blocks("export_custom_report",
+                              E.bound(E.export_custom_report, countries=FILTER_COUNTRIES,
+                                      exporters=FILTER_EXPORTERS, consignees=None, month=None)))
+QUERIES.update(_export_blocks("export_prospective_clients",
+                              E.bound(E.export_prospective_clients, company=COMPANY)))
+QUERIES.update(_export_blocks("export_cross_sell", E.bound(E.export_cross_sell, company=COMPANY)))
+QUERIES.update(_export_blocks("export_entity_details",
+                              E.bound(E.export_entity_details, entity=CONSIGNEE, role="consignee",
+                                      month=None)))
+QUERIES.update({
+    "export_competitor_rows": _q(lambda e: E.export_competitor_rows(e, COMPETITORS, CUR)),
+    "export_client_rows": _q(lambda e: E.export_client_rows(e, CLIENTS)),
+    "export_company_comparison_rows": _q(
+        lambda e: E.export_company_comparison_rows(e, COMPANY, COMPETITORS, CUR)),
+    "export_summary": _q(lambda e: E.export_summary(e)),
+})
+
+# ---- ingest (S2-S15) over an import sheet rendered from the test tables
+_STORED = [c for c in R.PAGE_COLUMNS if c != "created_at"]
+
+
+def _stored_view(df: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+    return df.select(*[F.col(c).cast("double").alias(c) if c == "fob_value" else F.col(c)
+                       for c in _STORED])
+
+
+QUERIES.update({
+    "ingest_accepted": lambda spark, sf_dir: _stored_view(S.ingest_plan(
+        raw_import_from_tpch(spark, sf_dir), "fruits", "b1")["accepted"]),
+    "import_report": lambda spark, sf_dir: S.ingest_plan(
+        raw_import_from_tpch(spark, sf_dir), "vegetables", "b2")["report"],
+    "dedup_exports": lambda spark, sf_dir: _stored_view(S.dedup_exports(
+        S.with_sequence(_e(spark, sf_dir).drop("ingest_seq")
+                        .unionByName(_e(spark, sf_dir).drop("ingest_seq"))), None)),
+})

@@ -1,0 +1,82 @@
+"""Aggregate expressions shared by every report (the "metric pack").
+
+All of them are built-in Spark aggregates, so partial aggregation happens
+map-side before any shuffle. Money is stored as DECIMAL(18,2); sums are exact
+decimals and are turned into DOUBLE only for output, so the value does not
+depend on the order rows arrive in.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..schema import USD_TO_INR
+
+
+def shipments(alias: str = "shipment_count") -> Column:
+    """Number of shipments = distinct declarations."""
+    return F.count_distinct("declaration_id").alias(alias)
+
+
+def lines(alias: str = "line_count") -> Column:
+    """Number of shipment lines."""
+    return F.count(F.lit(1)).alias(alias)
+
+
+def fob_sum_exact() -> Column:
+    """SUM(fob_value) kept as an exact decimal (for INR and ratios)."""
+    return F.sum("fob_value")
+
+
+def fob_total(alias: str = "total_fob") -> Column:
+    return money(fob_sum_exact()).alias(alias)
+
+
+def qty_total(alias: str = "total_quantity") -> Column:
+    return F.sum("quantity").alias(alias)
+
+
+def n_distinct(col: str, alias: str) -> Column:
+    return F.count_distinct(col).alias(alias)
+
+
+def avg_fob(alias: str) -> Column:
+    """AVG(fob_value) per line, as DOUBLE (exact sum / count)."""
+    return (money(fob_sum_exact()) / F.count("fob_value")).alias(alias)
+
+
+def concat_distinct(col: str, alias: str) -> Column:
+    """Distinct non-NULL values joined by ',' in sorted order (NULL if none).
+
+    The set holds the distinct values of one output group, i.e. it is no
+    larger than the string the report returns.
+    """
+    values = F.array_sort(F.collect_set(col))
+    return F.when(F.size(values) > 0, F.array_join(values, ",")).alias(alias)
+
+
+def money(c: Column) -> Column:
+    """Exact decimal money amount -> DOUBLE for output."""
+    return c.cast("double")
+
+
+def inr_exact(usd: Column) -> Column:
+    """USD decimal amount -> INR rounded to 2 decimals, still decimal."""
+    return F.round(usd.cast("decimal(18,2)") * F.lit(USD_TO_INR).cast("decimal(3,1)"), 2)
+
+
+def to_inr(usd: Column, alias: str) -> Column:
+    """ROUND(usd * 83.5, 2) computed in decimal, returned as DOUBLE."""
+    return money(inr_exact(usd)).alias(alias)
+
+
+def fob_total_inr(alias: str) -> Column:
+    return to_inr(fob_sum_exact(), alias)
+
+
+def pct_change(cur: Column, prev: Column) -> Column:
+    """(cur - prev) / prev * 100 as DOUBLE; NULL for no or zero previous."""
+    c = cur.cast("double")
+    p = prev.cast("double")
+    return F.when(p.isNotNull() & (p != 0), (c - p) / p * F.lit(100.0))

@@ -1,0 +1,96 @@
+"""Shared building blocks: grouped rollups, top-k, watchlist membership."""
+
+from __future__ import annotations
+
+from typing import Iterable, Sequence, Union
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.match import apply_filter, norm_name
+
+# A watchlist is either a list of names (known on the driver, so its size is
+# known) or a DataFrame with a ``name`` column (and optionally ``active``).
+Watchlist = Union[Sequence[str], DataFrame]
+
+# Lists up to this many names become an IN filter that Parquet can use for
+# row-group skipping; longer lists become a broadcast semi join.
+MAX_INLINE_NAMES = 1_000
+# Driver-side lists are broadcast only up to this size; beyond it the semi
+# join is left to the planner (shuffle, or AQE's runtime broadcast check).
+MAX_BROADCAST_NAMES = 200_000
+
+
+def rollup(df: DataFrame, keys: Sequence[str | Column], aggs: Sequence[Column],
+           order_by: Sequence[Column] | None = None, k: int | None = None,
+           where: Column | None = None) -> DataFrame:
+    """filter -> groupBy(keys).agg(aggs) -> orderBy -> limit(k).
+
+    With ``k`` the sort+limit is planned as TakeOrderedAndProject: each task
+    keeps its own top k, so only k rows per task reach the final merge.
+    """
+    out = apply_filter(df, where).groupBy(*keys).agg(*aggs)
+    if order_by:
+        out = out.orderBy(*order_by)
+    if k is not None:
+        out = out.limit(k)
+    return out
+
+
+def desc(col: str) -> Column:
+    return F.col(col).desc_nulls_last()
+
+
+def asc(col: str) -> Column:
+    return F.col(col).asc_nulls_last()
+
+
+def by_then_keys(first: Iterable[Column], keys: Iterable[str]) -> list[Column]:
+    """Order by ``first`` then the group keys ascending: a total order, so a
+    LIMIT picks the same rows on every run and in every engine."""
+    return list(first) + [asc(k) for k in keys]
+
+
+def active_names(wl: Watchlist) -> list[str] | DataFrame:
+    """Active, normalised watchlist names (list stays a list)."""
+    if isinstance(wl, DataFrame):
+        names = wl.filter(F.col("active")) if "active" in wl.columns else wl
+        return names.select(F.upper(F.trim("name")).alias("name")).distinct()
+    seen, out = set(), []
+    for n in wl:
+        if n and n.strip():
+            u = norm_name(n)
+            if u not in seen:
+                seen.add(u)
+                out.append(u)
+    return out
+
+
+def keep_members(df: DataFrame, col: str, wl: Watchlist) -> DataFrame:
+    """Rows whose ``col`` is an active watchlist name (a semi join)."""
+    names = active_names(wl)
+    if isinstance(names, list):
+        if len(names) <= MAX_INLINE_NAMES:
+            return df.filter(F.col(col).isin(names))
+        spark = df.sparkSession
+        names_df = spark.createDataFrame([(n,) for n in names], "name string")
+        if len(names) <= MAX_BROADCAST_NAMES:
+            names_df = F.broadcast(names_df)
+        return df.join(names_df, df[col] == names_df["name"], "left_semi")
+    return df.join(names, df[col] == names["name"], "left_semi")
+
+
+def member_flag(df: DataFrame, col: str, wl: Watchlist, alias: str) -> DataFrame:
+    """Adds boolean ``alias``: is ``col`` an active watchlist name."""
+    names = active_names(wl)
+    if isinstance(names, list):
+        if len(names) <= MAX_INLINE_NAMES:
+            return df.withColumn(alias, F.col(col).isin(names) if names else F.lit(False))
+        small = len(names) <= MAX_BROADCAST_NAMES
+        names = df.sparkSession.createDataFrame([(n,) for n in names], "name string")
+        if small:
+            names = F.broadcast(names)
+    flagged = names.select(F.col("name").alias("__wl_name"), F.lit(True).alias("__wl_hit"))
+    out = df.join(flagged, df[col] == flagged["__wl_name"], "left")
+    return out.withColumn(alias, F.coalesce(F.col("__wl_hit"), F.lit(False))) \
+              .drop("__wl_name", "__wl_hit")

@@ -1,0 +1,315 @@
+"""Analytical reports A1-A22: dashboards, watchlist summaries, entity detail.
+
+Each report is one filter (month partition filter, pushed entity/watchlist
+filter) followed by one grouped aggregate. Aggregates run partially map-side;
+distinct counts are planned by Catalyst (one Expand for several distinct
+columns), which spreads a hot group over the shuffle on (group, value) before
+the final per-group merge. A LIMIT is a TakeOrderedAndProject.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import metrics as M
+from ..functions.match import all_of, entity_is, month_is, role_column
+from .base import Watchlist, asc, by_then_keys, desc, keep_members, rollup
+
+# ---------------------------------------------------------------- A1
+
+
+def months(e: DataFrame) -> DataFrame:
+    """A1: distinct non-NULL months, newest first."""
+    return (e.select("month_year").filter(F.col("month_year").isNotNull())
+             .distinct().orderBy(desc("month_year")))
+
+
+# ---------------------------------------------------------------- A2-A5b
+
+
+def competitor_summary(e: DataFrame, wl: Watchlist, month: str | None = None) -> DataFrame:
+    """A2: per tracked exporter: shipments, fob, products, countries,
+    categories, first/last shipment date; by fob desc."""
+    return rollup(
+        keep_members(e, "exporter_name", wl), ["exporter_name"],
+        [M.shipments(), M.fob_total(), M.n_distinct("product_description", "product_count"),
+         M.n_distinct("country_of_destination", "country_count"),
+         M.concat_distinct("data_type", "categories"),
+         F.min("shipment_date").alias("first_shipment"),
+         F.max("shipment_date").alias("last_shipment")],
+        order_by=by_then_keys([desc("total_fob")], ["exporter_name"]),
+        where=month_is(month))
+
+
+def competitor_baseline(e: DataFrame, wl: Watchlist, compare_month: str) -> DataFrame:
+    """A3: shipments and fob of the tracked exporters in the compare month."""
+    return rollup(keep_members(e, "exporter_name", wl), ["exporter_name"],
+                  [M.shipments(), M.fob_total()], where=month_is(compare_month))
+
+
+def client_summary(e: DataFrame, wl: Watchlist, month: str | None = None) -> DataFrame:
+    """A4: per tracked consignee: shipments, fob, products, suppliers,
+    categories, first/last shipment date; by fob desc."""
+    return rollup(
+        keep_members(e, "consignee_name", wl), ["consignee_name"],
+        [M.shipments(), M.fob_total(), M.n_distinct("product_description", "product_count"),
+         M.n_distinct("exporter_name", "supplier_count"),
+         M.concat_distinct("data_type", "categories"),
+         F.min("shipment_date").alias("first_shipment"),
+         F.max("shipment_date").alias("last_shipment")],
+        order_by=by_then_keys([desc("total_fob")], ["consignee_name"]),
+        where=month_is(month))
+
+
+def client_baseline(e: DataFrame, wl: Watchlist, compare_month: str) -> DataFrame:
+    """A5: shipments and fob of the tracked consignees in the compare month."""
+    return rollup(keep_members(e, "consignee_name", wl), ["consignee_name"],
+                  [M.shipments(), M.fob_total()], where=month_is(compare_month))
+
+
+def with_trend(cur: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """Current rows + previous-month values + fob % change.
+
+    Both sides are one row per watchlist name, so the left join is small.
+    """
+    prev = base.select(F.col(key), F.col("shipment_count").alias("prev_shipment_count"),
+                       F.col("total_fob").alias("prev_total_fob"))
+    out = cur.join(prev, key, "left")
+    return out.withColumn("fob_change_pct", M.pct_change(F.col("total_fob"), F.col("prev_total_fob")))
+
+
+def competitor_trend(e: DataFrame, wl: Watchlist, month: str, compare_month: str) -> DataFrame:
+    return with_trend(competitor_summary(e, wl, month), competitor_baseline(e, wl, compare_month),
+                      "exporter_name")
+
+
+def client_trend(e: DataFrame, wl: Watchlist, month: str, compare_month: str) -> DataFrame:
+    return with_trend(client_summary(e, wl, month), client_baseline(e, wl, compare_month),
+                      "consignee_name")
+
+
+# ---------------------------------------------------------------- A6
+
+
+def company_comparison(e: DataFrame, company: str, wl: Watchlist,
+                       month: str | None = None, exact: bool = False) -> DataFrame:
+    """Own company + tracked exporters (exact name match).
+
+    Two levels, as the application computes it: aggregate per (exporter,
+    category), then add the per-category counts up per exporter — a
+    declaration present in both categories counts twice. ``exact=True`` gives
+    true distinct counts per exporter instead. ``categories`` lists the
+    exporter's categories by category fob, largest first.
+    """
+    names = [company] + (list(wl) if not isinstance(wl, DataFrame) else [])
+    sub = keep_members(e, "exporter_name", names)
+    if isinstance(wl, DataFrame):
+        sub = sub.unionByName(keep_members(e, "exporter_name", wl)
+                              .filter(F.col("exporter_name") != F.lit(company.strip().upper())))
+    sub = sub if month is None else sub.filter(month_is(month))
+    company_u = company.strip().upper()
+    if exact:
+        out = sub.groupBy("exporter_name").agg(
+            M.shipments(), M.fob_total(), M.n_distinct("product_description", "product_count"),
+            M.n_distinct("country_of_destination", "country_count"),
+            M.n_distinct("consignee_name", "client_count"),
+            M.concat_distinct("data_type", "categories"))
+    else:
+        per_cat = sub.groupBy("exporter_name", "data_type").agg(
+            M.shipments(), M.fob_sum_exact().alias("cat_fob"),
+            M.n_distinct("product_description", "product_count"),
+            M.n_distinct("country_of_destination", "country_count"),
+            M.n_distinct("consignee_name", "client_count"))
+        ranked = F.array_sort(F.collect_list(
+            F.when(F.col("data_type").isNotNull(),
+                   F.struct((-F.col("cat_fob")).alias("neg_fob"), F.col("data_type").alias("c")))))
+        out = per_cat.groupBy("exporter_name").agg(
+            F.sum("shipment_count").alias("shipment_count"),
+            M.money(F.sum("cat_fob")).alias("total_fob"),
+            F.sum("product_count").alias("product_count"),
+            F.sum("country_count").alias("country_count"),
+            F.sum("client_count").alias("client_count"),
+            F.array_join(F.transform(ranked, lambda s: s["c"]), ",").alias("categories"))
+    return (out.withColumn("is_company", F.col("exporter_name") == F.lit(company_u))
+               .orderBy(*by_then_keys([desc("total_fob")], ["exporter_name"])))
+
+
+# ---------------------------------------------------------------- A7-A15 entity block
+
+
+def _entity_rows(e: DataFrame, entity: str, role: str, month: str | None) -> DataFrame:
+    return e.filter(all_of([entity_is(entity, role), month_is(month)]))
+
+
+def entity_summary(e: DataFrame, entity: str, role: str, month: str | None = None) -> DataFrame:
+    """One row for one exporter or consignee."""
+    return _entity_rows(e, entity, role, month).agg(
+        M.shipments("total_shipments"), M.fob_total(), M.qty_total(),
+        M.n_distinct("product_description", "unique_products"),
+        M.n_distinct("country_of_destination", "unique_countries"),
+        M.n_distinct("hs_code", "unique_hs_codes"),
+        F.min("shipment_date").alias("first_shipment"),
+        F.max("shipment_date").alias("last_shipment"))
+
+
+PRODUCT_KEYS = ["product_description", "hs_code", "data_type", "unit"]
+
+
+def entity_products(e: DataFrame, entity: str, role: str, month: str | None = None,
+                    k: int | None = 50) -> DataFrame:
+    """Per (product, hs, category, unit) of the entity; top k by fob."""
+    return rollup(_entity_rows(e, entity, role, month), PRODUCT_KEYS,
+                  [M.shipments(), M.qty_total(), M.fob_total(), M.avg_fob("avg_fob_per_shipment")],
+                  order_by=by_then_keys([desc("total_fob")], PRODUCT_KEYS), k=k)
+
+
+def entity_countries(e: DataFrame, entity: str, role: str, month: str | None = None) -> DataFrame:
+    """Per destination country of the entity, by fob desc."""
+    return rollup(_entity_rows(e, entity, role, month), ["country_of_destination"],
+                  [M.shipments(), M.qty_total(), M.fob_total()],
+                  order_by=by_then_keys([desc("total_fob")], ["country_of_destination"]))
+
+
+def entity_ports(e: DataFrame, entity: str, role: str, month: str | None = None,
+                 k: int | None = 20) -> DataFrame:
+    """A10: per (loading, discharge) route; top k by shipments."""
+    keys = [F.col("port_of_loading").alias("indian_port"),
+            F.col("port_of_discharge").alias("foreign_port")]
+    return rollup(_entity_rows(e, entity, role, month), keys,
+                  [M.shipments(), M.fob_total()],
+                  order_by=by_then_keys([desc("shipment_count")], ["indian_port", "foreign_port"]),
+                  k=k)
+
+
+def entity_monthly_trend(e: DataFrame, entity: str, role: str) -> DataFrame:
+    """Per month of the entity (all months; no month filter)."""
+    rows = e.filter(all_of([entity_is(entity, role), F.col("month_year").isNotNull()]))
+    return rollup(rows, ["month_year"], [M.shipments(), M.qty_total(), M.fob_total()],
+                  order_by=[asc("month_year")])
+
+
+def entity_suppliers(e: DataFrame, consignee: str, month: str | None = None,
+                     k: int | None = 20) -> DataFrame:
+    """A consignee's exporters with their distinct products; top k by fob."""
+    return rollup(_entity_rows(e, consignee, "consignee", month), ["exporter_name"],
+                  [M.shipments(), M.fob_total(), M.concat_distinct("product_description", "products")],
+                  order_by=by_then_keys([desc("total_fob")], ["exporter_name"]), k=k)
+
+
+def entity_clients(e: DataFrame, exporter: str, month: str | None = None,
+                   k: int | None = 20) -> DataFrame:
+    """An exporter's (consignee, country) pairs; top k by fob."""
+    keys = ["consignee_name", "country_of_destination"]
+    return rollup(_entity_rows(e, exporter, "exporter", month), keys,
+                  [M.shipments(), M.fob_total()],
+                  order_by=by_then_keys([desc("total_fob")], keys), k=k)
+
+
+RECENT_COLUMNS = ["declaration_id", "shipment_date", "product_description", "quantity", "unit",
+                  "fob_value", "country_of_destination", "consignee_name", "exporter_name",
+                  "port_of_loading", "port_of_discharge"]
+
+
+def entity_recent_shipments(e: DataFrame, entity: str, role: str, month: str | None = None,
+                            k: int | None = 50) -> DataFrame:
+    """Newest k lines of the entity (11 columns)."""
+    rows = _entity_rows(e, entity, role, month).select(
+        *RECENT_COLUMNS[:5], M.money(F.col("fob_value")).alias("fob_value"), *RECENT_COLUMNS[6:])
+    rest = [c for c in RECENT_COLUMNS if c != "shipment_date"]
+    out = rows.orderBy(*by_then_keys([desc("shipment_date")], rest))
+    return out.limit(k) if k is not None else out
+
+
+PAGE_COLUMNS = ["declaration_id", "exporter_name", "consignee_name", "product_description",
+                "product_category", "data_type", "hs_code", "quantity", "unit", "fob_value",
+                "fob_currency", "port_of_loading", "port_of_discharge", "country_of_destination",
+                "shipment_date", "month_year", "upload_batch", "created_at"]
+
+
+def shipments_page(e: DataFrame, entity: str, role: str, month: str | None = None,
+                   page: int = 1, limit: int = 50) -> DataFrame:
+    """One page of the entity's lines, newest first (LIMIT/OFFSET)."""
+    rows = _entity_rows(e, entity, role, month).select(
+        *[M.money(F.col(c)).alias(c) if c == "fob_value" else F.col(c) for c in PAGE_COLUMNS])
+    rest = [c for c in PAGE_COLUMNS if c != "shipment_date"]
+    ordered = rows.orderBy(*by_then_keys([desc("shipment_date")], rest))
+    offset = max(page - 1, 0) * limit
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
+
+
+def shipments_total(e: DataFrame, entity: str, role: str, month: str | None = None) -> DataFrame:
+    """A15 total: number of lines of the entity (one row)."""
+    return _entity_rows(e, entity, role, month).agg(F.count(F.lit(1)).alias("total"))
+
+
+# ---------------------------------------------------------------- A16-A18
+
+
+def _optional_entity(entity: str | None, role: str | None):
+    if not entity:
+        return None
+    return entity_is(entity, role or "consignee")
+
+
+def product_breakdown(e: DataFrame, entity: str | None = None, role: str | None = None,
+                      month: str | None = None, k: int | None = 50) -> DataFrame:
+    """Per (product, category): shipments, qty, fob; top k by fob."""
+    keys = ["product_description", "data_type"]
+    return rollup(e, keys, [M.shipments(), M.qty_total(), M.fob_total()],
+                  order_by=by_then_keys([desc("total_fob")], keys), k=k,
+                  where=all_of([_optional_entity(entity, role), month_is(month)]))
+
+
+def country_breakdown(e: DataFrame, entity: str | None = None, role: str | None = None,
+                      month: str | None = None) -> DataFrame:
+    """Per country: shipments, fob; by fob desc."""
+    return rollup(e, ["country_of_destination"], [M.shipments(), M.fob_total()],
+                  order_by=by_then_keys([desc("total_fob")], ["country_of_destination"]),
+                  where=all_of([_optional_entity(entity, role), month_is(month)]))
+
+
+def monthly_trends(e: DataFrame, entity: str | None = None, role: str | None = None) -> DataFrame:
+    """Per month: shipments, fob, products (entity filter needs a role)."""
+    ent = entity_is(entity, role) if entity and role else None
+    return rollup(e, ["month_year"],
+                  [M.shipments(), M.fob_total(), M.n_distinct("product_description", "product_count")],
+                  order_by=[asc("month_year")],
+                  where=all_of([F.col("month_year").isNotNull(), ent]))
+
+
+# ---------------------------------------------------------------- A19-A22 dashboard
+
+
+def dashboard_summary(e: DataFrame, month: str | None = None) -> DataFrame:
+    """One row of market totals."""
+    rows = e if month is None else e.filter(month_is(month))
+    return rows.agg(M.shipments("total_shipments"), M.fob_total(),
+                    M.n_distinct("exporter_name", "unique_exporters"),
+                    M.n_distinct("consignee_name", "unique_consignees"),
+                    M.n_distinct("country_of_destination", "unique_countries"),
+                    M.n_distinct("product_description", "unique_products"))
+
+
+def dashboard_by_category(e: DataFrame, month: str | None = None) -> DataFrame:
+    """Shipments and fob per category."""
+    return rollup(e, ["data_type"], [M.shipments(), M.fob_total()],
+                  order_by=[asc("data_type")], where=month_is(month))
+
+
+def dashboard_top_exporters(e: DataFrame, month: str | None = None, k: int = 10) -> DataFrame:
+    """Top k exporters by fob."""
+    return rollup(e, ["exporter_name"], [M.shipments(), M.fob_total()],
+                  order_by=by_then_keys([desc("total_fob")], ["exporter_name"]), k=k,
+                  where=month_is(month))
+
+
+def dashboard_top_countries(e: DataFrame, month: str | None = None, k: int = 10) -> DataFrame:
+    """Top k destination countries by fob."""
+    return rollup(e, ["country_of_destination"], [M.shipments(), M.fob_total()],
+                  order_by=by_then_keys([desc("total_fob")], ["country_of_destination"]), k=k,
+                  where=month_is(month))
+
+
+__all__ = [n for n in dir() if not n.startswith("_") and n not in {"F", "M", "DataFrame"}]
+_ = role_column  # re-exported helper used by callers building entity filters

@@ -1,0 +1,93 @@
+"""Watchlists (tracked competitors / clients) and name search W1-W4.
+
+A watchlist is a small dimension DataFrame ``(name, created_at, active)``;
+names are unique, trimmed and upper-case; removal is a soft delete.
+"""
+
+from __future__ import annotations
+
+from typing import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from ..functions import metrics as M
+from ..functions.match import like_any
+from ..schema import WATCHLIST_SCHEMA
+from .base import Watchlist, by_then_keys, desc, member_flag
+
+ALREADY_EXISTS = "Already exists"
+
+
+def empty_watchlist(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], WATCHLIST_SCHEMA)
+
+
+def active(wl: DataFrame) -> DataFrame:
+    """Active names, ordered by name."""
+    return wl.filter(F.col("active")).orderBy("name")
+
+
+def apply_changes(wl: DataFrame, adds: Sequence[str] = (), removes: Sequence[str] = ()
+                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Add names (trim + upper, blanks skipped) and soft-delete names.
+
+    Returns ``(new_watchlist, added, errors)``. A name already present —
+    even inactive — or repeated within ``adds`` is an error row
+    ``(name, error='Already exists')`` carrying the name as given.
+    """
+    spark = wl.sparkSession
+    req = spark.createDataFrame([(i, n) for i, n in enumerate(adds)], "seq long, given string")
+    req = req.filter(F.col("given").isNotNull() & (F.trim("given") != F.lit(""))) \
+             .withColumn("name", F.upper(F.trim("given")))
+    first = F.row_number().over(Window.partitionBy("name").orderBy("seq"))
+    req = req.withColumn("__first", first == 1)
+    existing = wl.select("name")
+    fresh = req.filter("__first").join(existing, "name", "left_anti")
+    added = fresh.select("name").orderBy(*[F.col("name")])
+    errors = (req.join(fresh.select("seq"), "seq", "left_anti")
+                 .select(F.col("given").alias("name"), F.lit(ALREADY_EXISTS).alias("error"), "seq")
+                 .orderBy("seq").drop("seq"))
+    remove_names = [r.strip().upper() for r in removes if r and r.strip()]
+    kept = wl.withColumn("active", F.when(F.col("name").isin(remove_names), F.lit(False))
+                         .otherwise(F.col("active")))
+    new_rows = fresh.select("name", F.current_timestamp().alias("created_at"),
+                            F.lit(True).alias("active"))
+    return kept.unionByName(new_rows), added, errors
+
+
+def search_words(q: str | None) -> list[str] | None:
+    """Upper-cased whitespace-separated words longer than one character.
+
+    None means "no search" (query shorter than 2 characters); an empty list
+    means "no usable word", which searches without a word filter.
+    """
+    if not q or len(q) < 2:
+        return None
+    return [w for w in q.strip().upper().split() if len(w) > 1]
+
+
+def _search(e: DataFrame, col: str, q: str | None, wl: Watchlist, k: int, extra: list) -> DataFrame:
+    words = search_words(q)
+    rows = e.filter(F.col(col).isNotNull() & (F.col(col) != F.lit("")))
+    if words is None:
+        rows = rows.filter(F.lit(False))
+    elif words:
+        rows = rows.filter(like_any(F.upper(F.col(col)), words))
+    top = (rows.groupBy(F.col(col).alias("name"))
+               .agg(M.lines("shipment_count"), M.fob_total(), *extra)
+               .orderBy(*by_then_keys([desc("shipment_count")], ["name"])).limit(k))
+    return member_flag(top, "name", wl, "already_tracked")
+
+
+def search_exporters(e: DataFrame, q: str | None, wl: Watchlist, k: int = 20) -> DataFrame:
+    """Exporters whose name contains any search word; top k by lines;
+    flagged when already tracked."""
+    return _search(e, "exporter_name", q, wl, k, [])
+
+
+def search_consignees(e: DataFrame, q: str | None, wl: Watchlist, k: int = 20) -> DataFrame:
+    """As W3 for consignees, with their distinct destination countries."""
+    return _search(e, "consignee_name", q, wl, k,
+                   [M.concat_distinct("country_of_destination", "countries")])

@@ -1,0 +1,9 @@
+"""Sources and sinks: raw imports, the stored fact table, report datasets."""
+
+from .fixture import exports_from_tpch
+from .raw import read_raw
+from .sink import write_report
+from .store import fixture_exports, read_exports, write_exports
+
+__all__ = ["exports_from_tpch", "fixture_exports", "read_exports", "read_raw",
+           "write_exports", "write_report"]

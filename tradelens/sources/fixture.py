@@ -1,0 +1,128 @@
+"""Canonical shipment lines derived from the TPC-H-style test tables.
+
+This only reshapes test rows into the fact-table schema (one line item = one
+shipment line, order = declaration, supplier = exporter, customer = consignee);
+it does none of the reports' work. The column mapping is fixed so the DuckDB
+oracle can inline the same view.
+
+Join plan: nation/region are joined into the customer and supplier dimensions
+first, so the fact side goes through exactly four equi-joins. No broadcast
+hints: the planner broadcasts a side only when its measured size is under
+``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime), and falls
+back to a shuffled sort-merge join otherwise.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..schema import EXPORT_COLUMNS
+
+FIXTURE_BATCH = "fixture"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def exports_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lazy DataFrame of canonical shipment lines over the test tables."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    customer = (
+        read_table(spark, sf_dir, "customer")
+        .select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+        .join(nation.withColumnRenamed("n_name", "cn_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("c_custkey", "c_name", "cn_name", "r_name", "c_mktsegment")
+    )
+    supplier = (
+        read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+        .join(nation.select(F.col("n_nationkey"), F.col("n_name").alias("sn_name")),
+              F.col("s_nationkey") == F.col("n_nationkey"))
+        .select("s_suppkey", "s_name", "sn_name")
+    )
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+
+    lines = (
+        li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+    )
+    category = F.when(F.col("p_partkey") % 2 == 0, F.lit("fruits")).otherwise(F.lit("vegetables"))
+    ship_date = F.col("l_shipdate").cast("date")
+    out = lines.select(
+        F.col("o_orderkey").cast("string").alias("declaration_id"),
+        F.upper("s_name").alias("exporter_name"),
+        F.upper("c_name").alias("consignee_name"),
+        F.col("p_name").alias("product_description"),
+        category.alias("product_category"),
+        category.alias("data_type"),
+        F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string")).alias("hs_code"),
+        F.col("l_quantity").cast("double").alias("quantity"),
+        F.lit("KGS").alias("unit"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("fob_value"),
+        F.lit("USD").alias("fob_currency"),
+        F.col("sn_name").alias("port_of_loading"),
+        F.concat(F.col("r_name"), F.lit(" / "), F.col("c_mktsegment")).alias("port_of_discharge"),
+        F.col("cn_name").alias("country_of_destination"),
+        ship_date.alias("shipment_date"),
+        F.date_format(ship_date, "yyyy-MM").alias("month_year"),
+        F.lit(FIXTURE_BATCH).alias("upload_batch"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+        F.lit(None).cast("long").alias("ingest_seq"),
+    )
+    return out.select(*EXPORT_COLUMNS)
+
+
+# Header row of the stand-in import sheet built from the test tables.
+RAW_HEADERS = ["SB No", "Exporter Name", "Shipper", "Buyer", "Item Description", "HS", "Qty",
+               "UOM", "FOB (USD)", "Currency", "Port", "POD", "Destination Country", "SB Date"]
+
+
+def raw_import_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import sheet as a customs export file would look: loose headers,
+    text cells ('23.0 KGS', '$68,423.46', '6/5/1998', day serials), names
+    padded and lower-cased, some lines uploaded twice (quantity < 5) and a
+    junk row with no identifying cell for lines with quantity > 45.
+
+    Only renders rows; all parsing, matching and dedup is the ingest job's.
+    """
+    lines = exports_from_tpch(spark, sf_dir)
+    d = F.col("shipment_date")
+    date_cell = (F.when(F.col("declaration_id").cast("long") % 3 == 0,
+                        F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string"))
+                 .when(F.col("declaration_id").cast("long") % 3 == 1, F.date_format(d, "M/d/yyyy"))
+                 .otherwise(F.date_format(d, "yyyy-MM-dd")))
+    qty_cell = F.concat(F.col("quantity").cast("string"), F.lit(" KGS"))
+    sheet = lines.select(
+        F.col("declaration_id").alias("SB No"),
+        F.when(F.col("quantity").cast("long") % 2 == 0, F.col("exporter_name"))
+         .otherwise(F.lit("")).alias("Exporter Name"),
+        F.concat(F.lit("  "), F.lower("exporter_name"), F.lit(" ")).alias("Shipper"),
+        F.col("consignee_name").alias("Buyer"),
+        F.col("product_description").alias("Item Description"),
+        F.col("hs_code").alias("HS"),
+        qty_cell.alias("Qty"),
+        F.lit("").alias("UOM"),
+        F.concat(F.lit("$"), F.format_number(F.col("fob_value").cast("double"), 2)).alias("FOB (USD)"),
+        F.lit("").alias("Currency"),
+        F.col("port_of_loading").alias("Port"),
+        F.col("port_of_discharge").alias("POD"),
+        F.col("country_of_destination").alias("Destination Country"),
+        date_cell.alias("SB Date"),
+        F.col("quantity"),
+    )
+    again = sheet.filter(F.col("quantity") < 5)
+    blank = F.lit("")
+    # Junk rows keep only cells no identity field can match, not even through
+    # the header matcher's substring phase ('Port' would match 'exporter').
+    junk = sheet.filter(F.col("quantity") > 45).select(
+        *[(F.col(h) if h == "Qty" else F.lit("USD") if h == "Currency" else blank).alias(h)
+          for h in RAW_HEADERS], "quantity")
+    return sheet.unionByName(again).unionByName(junk).drop("quantity")

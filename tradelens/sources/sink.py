@@ -1,0 +1,40 @@
+"""Write a multi-block report, one dataset per block ("sheet")."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+
+SINK_FORMATS = ("parquet", "csv", "json")
+
+
+def safe_name(name: str) -> str:
+    """Path-safe form of an entity or block name: non-alphanumerics -> '_'."""
+    return re.sub(r"[^a-zA-Z0-9]", "_", name)
+
+
+def _plain_columns(df: DataFrame) -> DataFrame:
+    # Parquet rejects some characters in column names (" ,;{}()\n\t=");
+    # the display headers are kept for CSV/JSON and made safe for Parquet.
+    return df.toDF(*[re.sub(r"[ ,;{}()\n\t=]+", "_", c).strip("_") for c in df.columns])
+
+
+def write_report(blocks: dict[str, DataFrame], path: str, fmt: str = "parquet",
+                 mode: str = "overwrite") -> dict[str, str]:
+    """Write each block to ``path/<safe block name>``; returns block -> path.
+
+    Each block is written by its own distributed job; nothing is collected.
+    """
+    if fmt not in SINK_FORMATS:
+        raise ValueError(f"unsupported report format {fmt!r}; expected one of {SINK_FORMATS}")
+    out = {}
+    for name, df in blocks.items():
+        target = f"{path.rstrip('/')}/{safe_name(name)}"
+        frame = _plain_columns(df) if fmt == "parquet" else df
+        writer = frame.write.mode(mode)
+        if fmt == "csv":
+            writer = writer.option("header", True)
+        writer.format(fmt).save(target)
+        out[name] = target
+    return out
