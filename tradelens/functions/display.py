@@ -13,7 +13,7 @@ from ..schema import NAME_NOT_AVAILABLE, PLACEHOLDER_NAMES, USD_TO_INR
 
 def _fixed(x: Column, decimals: int) -> Column:
     # toFixed(): round half away from zero on the decimal value, no grouping.
-    return F.format_string(f"%.{decimals}f", F.round(x.cast("decimal(38,10)"), decimals))
+    return F.format_string(f"%.{decimals}f", F.round(x.cast("decimal(38,10)"), decimals).cast("double"))
 
 
 def format_usd(value: Column) -> Column:
