@@ -21,7 +21,8 @@ from .operators import reports as R
 from .operators import watchlist as W
 from .plans import report_sets as E
 from .sources import fixture_exports
-from .sources.fixture import raw_import_from_tpch
+from .sources.fixture import raw_import_file
+from .sources.raw import read_raw
 
 # Fixed report parameters for the test tables.
 COMPANY = "SUPPLIER#000000003"
@@ -167,10 +168,30 @@ def _stored_view(df: DataFrame) -> DataFrame:
 
 QUERIES.update({
     "ingest_accepted": lambda spark, sf_dir: _stored_view(S.ingest_plan(
-        raw_import_from_tpch(spark, sf_dir), "fruits", "b1")["accepted"]),
+        read_raw(spark, raw_import_file(spark, sf_dir), "csv"), "fruits", "b1")["accepted"]),
     "import_report": lambda spark, sf_dir: S.ingest_plan(
-        raw_import_from_tpch(spark, sf_dir), "vegetables", "b2")["report"],
+        read_raw(spark, raw_import_file(spark, sf_dir), "csv"), "vegetables", "b2")["report"],
     "dedup_exports": lambda spark, sf_dir: _stored_view(S.dedup_exports(
         S.with_sequence(_e(spark, sf_dir).drop("ingest_seq")
                         .unionByName(_e(spark, sf_dir).drop("ingest_seq"))), None)),
 })
+
+
+# ---- incremental ingest (S16): each part file of the stand-in upload is one
+# dropped file; the stream ingests them one by one into a fresh store.
+def _incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from .session import work_dir
+    from .streaming.incremental import run_to_completion
+
+    run = work_dir(spark, f"stream-{uuid.uuid4().hex[:12]}")
+    stored = run_to_completion(spark, raw_import_file(spark, sf_dir), f"{run}/checkpoint", f"{run}/store",
+                               category_of=lambda path: "fruits")
+    return stored.select(*[F.col(c).cast("double").alias(c) if c == "fob_value" else F.col(c)
+                           for c in _STORED if c != "upload_batch"])
+
+
+QUERIES["incremental_ingest"] = _incremental_ingest

@@ -49,10 +49,12 @@ def avg_fob(alias: str) -> Column:
 def concat_distinct(col: str, alias: str) -> Column:
     """Distinct non-NULL values joined by ',' in sorted order (NULL if none).
 
-    The set holds the distinct values of one output group, i.e. it is no
-    larger than the string the report returns.
+    Written as a DISTINCT aggregate so Catalyst plans it with the distinct
+    counts: values are de-duplicated per (group, value) through the shuffle
+    first, and the final per-group list only ever holds the distinct values
+    the report returns — a hot group never builds a list of its raw rows.
     """
-    values = F.array_sort(F.collect_set(col))
+    values = F.array_sort(F.expr("collect_list(DISTINCT `" + col.replace("`", "``") + "`)"))
     return F.when(F.size(values) > 0, F.array_join(values, ",")).alias(alias)
 
 

@@ -573,3 +573,6 @@ SQL["import_report"] = with_view(
     "COUNT(*) FILTER (WHERE quantity < 5) + COUNT(*) FILTER (WHERE quantity > 45) AS skipped, "
     "COUNT(*) FILTER (WHERE quantity > 45) AS no_id_count, 'vegetables' AS data_type, "
     f"{q(','.join(RAW_HEADERS))} AS columns_found FROM exports")
+SQL["incremental_ingest"] = with_view(
+    "SELECT " + ", ".join(c for c in _stored("fruits", "x")[len("SELECT "):-len(" FROM exports")].split(", ")
+                          if not c.endswith("upload_batch")) + " FROM exports")

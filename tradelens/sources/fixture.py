@@ -17,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 from ..schema import EXPORT_COLUMNS
+from ..session import work_dir
 
 FIXTURE_BATCH = "fixture"
 
@@ -126,3 +129,18 @@ def raw_import_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[(F.col(h) if h == "Qty" else F.lit("USD") if h == "Currency" else blank).alias(h)
           for h in RAW_HEADERS], "quantity")
     return sheet.unionByName(again).unionByName(junk).drop("quantity")
+
+
+_SHEETS: dict[tuple[str, str], str] = {}
+
+
+def raw_import_file(spark: SparkSession, sf_dir: str) -> str:
+    """The stand-in sheet written once per session as a CSV upload (header
+    row, one file per task) in the shared checkpoint folder; returns its path."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    path = _SHEETS.get(key)
+    if path is None:
+        path = work_dir(spark, f"raw-import-{uuid.uuid4().hex[:12]}")
+        raw_import_from_tpch(spark, sf_dir).write.option("header", True).csv(path)
+        _SHEETS[key] = path
+    return path

@@ -1,0 +1,91 @@
+"""Incremental ingest of dropped import files with Structured Streaming.
+
+A file-source stream lists new files in the drop folder (``binaryFile``
+format, only the ``path`` column is selected, so contents are not read by the
+stream itself). Each micro-batch hands its new paths to ``foreachBatch``,
+which runs the batch ingest (S1-S15) once per file, in path order: every file
+is one upload, exactly like the upload endpoint.
+
+Exactly-once result under at-least-once delivery: the upload batch id is
+derived from the file path (not the clock), the batch's own earlier rows are
+excluded from the dedup and its partitions are overwritten, so a replayed
+micro-batch leaves the store as if it ran once. Progress is tracked in the
+stream checkpoint, so a restarted job only sees files it has not finished.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+from typing import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+
+from ..operators.ingest import check_category, ingest_file
+from ..schema import CATEGORIES
+from ..sources.store import read_exports
+
+
+# Fixed schema of the binaryFile source (a stream source needs it up front).
+BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
+
+
+def batch_id_for(path: str) -> str:
+    """Stable upload-batch id of a dropped file: name + short path hash."""
+    stem = os.path.splitext(os.path.basename(path.rstrip("/")))[0]
+    safe = "".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in stem)[:40]
+    return f"{safe}-{hashlib.sha1(path.encode()).hexdigest()[:10]}"
+
+
+def category_from_folder(path: str) -> str:
+    """Category = name of the folder the file was dropped into."""
+    folder = os.path.basename(os.path.dirname(path.rstrip("/")))
+    return check_category(folder if folder in CATEGORIES else folder.lower())
+
+
+def store_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        read_exports(spark, path).schema
+        return True
+    except AnalysisException:
+        return False
+
+
+def incremental_ingest(spark: SparkSession, in_dir: str, checkpoint: str, store_path: str,
+                       fmt: str = "csv", category_of: Callable[[str], str] = category_from_folder,
+                       max_files_per_trigger: int | None = None, available_now: bool = True,
+                       reports: list | None = None):
+    """Start the stream; with ``available_now`` it processes every file
+    present and stops. Returns the StreamingQuery. Per-file import reports
+    are appended to ``reports`` when a list is given."""
+    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+              .option("pathGlobFilter", f"*.{fmt}")
+              .option("recursiveFileLookup", "true"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    files = reader.load(in_dir).select("path")
+
+    def per_batch(batch: DataFrame, epoch_id: int) -> None:
+        # The new file paths of this trigger (metadata, bounded by the trigger size).
+        paths = sorted(r.path for r in batch.collect())
+        for p in paths:
+            rep = ingest_file(spark, p, fmt, category_of(p), batch_id_for(p), store_path,
+                              store_exists=store_exists(spark, store_path))
+            if reports is not None:
+                reports.append(rep.first().asDict())
+
+    writer = (files.writeStream.foreachBatch(per_batch)
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
+
+
+def run_to_completion(spark: SparkSession, in_dir: str, checkpoint: str, store_path: str,
+                      **kw) -> DataFrame:
+    """Process every file present now, then return the stored table."""
+    q = incremental_ingest(spark, in_dir, checkpoint, store_path, available_now=True, **kw)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return read_exports(spark, store_path)
