@@ -63,6 +63,8 @@ QUERIES: dict[str, Query] = {
     "dashboard_top_exporters": _q(lambda e: R.dashboard_top_exporters(e, CUR)),
     "dashboard_top_exporters_all": _q(lambda e: R.dashboard_top_exporters(e)),
     "dashboard_top_countries": _q(lambda e: R.dashboard_top_countries(e, CUR)),
+    "dashboard_top_exporters_display": _q(lambda e: R.with_display(
+        R.dashboard_top_exporters(e), "exporter_name", "total_fob")),
     "product_breakdown": _q(lambda e: R.product_breakdown(e)),
     "product_breakdown_entity": _q(lambda e: R.product_breakdown(e, EXPORTER, "exporter", CUR)),
     "country_breakdown": _q(lambda e: R.country_breakdown(e)),

@@ -311,5 +311,14 @@ def dashboard_top_countries(e: DataFrame, month: str | None = None, k: int = 10)
                   where=month_is(month))
 
 
+def with_display(df: DataFrame, name_col: str, usd_col: str) -> DataFrame:
+    """Adds the dashboard's display columns (G23-G25): a cleaned name and the
+    USD / INR amount strings."""
+    from ..functions import display as D
+    return df.select("*", D.clean_name(F.col(name_col)).alias("display_name"),
+                     D.format_usd(F.col(usd_col)).alias(f"{usd_col}_usd_text"),
+                     D.format_inr(F.col(usd_col)).alias(f"{usd_col}_inr_text"))
+
+
 __all__ = [n for n in dir() if not n.startswith("_") and n not in {"F", "M", "DataFrame"}]
 _ = role_column  # re-exported helper used by callers building entity filters

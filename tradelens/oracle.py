@@ -576,3 +576,34 @@ SQL["import_report"] = with_view(
 SQL["incremental_ingest"] = with_view(
     "SELECT " + ", ".join(c for c in _stored("fruits", "x")[len("SELECT "):-len(" FROM exports")].split(", ")
                           if not c.endswith("upload_batch")) + " FROM exports")
+
+
+# ---------------------------------------------------------------- display columns
+def _fixed(x: str, d: int) -> str:
+    return f"printf('%.{d}f', CAST(ROUND(CAST({x} AS DECIMAL(38,10)), {d}) AS DOUBLE))"
+
+
+def _usd_text(v: str) -> str:
+    return (f"CASE WHEN {v} IS NULL OR {v} = 0 THEN '$0' "
+            f"WHEN {v} >= 1000000 THEN '$' || {_fixed(v + ' / 1000000', 2)} || 'M' "
+            f"WHEN {v} >= 1000 THEN '$' || {_fixed(v + ' / 1000', 1)} || 'K' "
+            f"ELSE '$' || {_fixed(v, 2)} END")
+
+
+def _inr_text(v: str) -> str:
+    i = f"({v} * 83.5)"
+    return (f"CASE WHEN {v} IS NULL OR {v} = 0 THEN '₹0' "
+            f"WHEN {i} >= 10000000 THEN '₹' || {_fixed(i + ' / 10000000', 2)} || ' Cr' "
+            f"WHEN {i} >= 100000 THEN '₹' || {_fixed(i + ' / 100000', 2)} || ' L' "
+            f"WHEN {i} >= 1000 THEN '₹' || {_fixed(i + ' / 1000', 1)} || 'K' "
+            f"ELSE '₹' || {_fixed(i, 0)} END")
+
+
+_PLACEHOLDERS = inlist(["TO ORDER", "TO THE ORDER", "NULL", "N/A", "NA", "NONE", "-", "--", "NIL", "NOT AVAILABLE"])
+SQL["dashboard_top_exporters_display"] = with_view(
+    "SELECT t.*, CASE WHEN exporter_name IS NULL OR exporter_name = '' THEN 'Name Not Available' "
+    f"WHEN UPPER(TRIM(exporter_name)) IN ({_PLACEHOLDERS}) OR LENGTH(UPPER(TRIM(exporter_name))) < 2 "
+    "THEN 'Name Not Available' ELSE exporter_name END AS display_name, "
+    f"{_usd_text('total_fob')} AS total_fob_usd_text, {_inr_text('total_fob')} AS total_fob_inr_text "
+    f"FROM (SELECT exporter_name, {SHIP} AS shipment_count, {FOB} AS total_fob FROM exports "
+    f"GROUP BY exporter_name ORDER BY total_fob {D}, exporter_name {A} LIMIT 10) t")
