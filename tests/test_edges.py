@@ -151,3 +151,18 @@ def test_write_report_one_dataset_per_block(exports):
     assert all(os.path.isdir(p) for p in out.values())
     spark = exports.sparkSession
     assert spark.read.parquet(out["shipments"]).count() == blocks["shipments"].count()
+
+
+def test_report_views_build_every_block(exports):
+    from tradelens.plans import report_views as V
+    views = [V.dashboard(exports, "1998-06"), V.entity_details(exports, "SUPPLIER#000000005", "exporter"),
+             V.entity_details(exports, "CUSTOMER#000000022", "consignee"),
+             V.monthly_comparison(exports, ["SUPPLIER#000000001"], ["CUSTOMER#000000022"], "1998-06", "1998-05"),
+             V.benchmarking(exports, "SUPPLIER#000000003", ["SUPPLIER#000000001"], "1998-06"),
+             V.competitor_analysis(exports, ["SUPPLIER#000000001"], "1998-06", "1998-05"),
+             V.cross_sell(exports, "SUPPLIER#000000003"), V.custom_report(exports, countries="NATION_1")]
+    for view in views:
+        for name, df in view.items():
+            assert df.columns, name
+            df.limit(1).collect()
+    assert "suppliers" in views[2] and "clients" in views[1]

@@ -56,7 +56,10 @@ def _type_label(pred) -> F.Column:
 def export_benchmarking(e: DataFrame, company: str, wl: Watchlist, month: str | None = None):
     """(a) company and competitors matched by LIKE %name% for every name,
     with type label and INR; (b) the company's clients and all their vendors."""
-    names = [company] + list(active_names(wl) if not isinstance(wl, DataFrame) else [])
+    if isinstance(wl, DataFrame):
+        raise TypeError("export_benchmarking matches every name by LIKE %name%; pass the watchlist "
+                        "as a list of names (e.g. active names collected from the watchlist table)")
+    names = [company] + list(active_names(wl))
     rows = apply_filter(e.filter(like_any(F.upper(F.col("exporter_name")), names)), month_is(month))
     companies = rows.groupBy("exporter_name").agg(
         M.shipments("Shipments"), M.fob_total("Total FOB (USD)"),

@@ -1,0 +1,113 @@
+"""Multi-block report views: the blocks one application screen shows,
+as ``dict[block name -> DataFrame]``.
+
+Each block is an independent lazy plan over the fact table (month partition
+filters and pushed entity filters apply to each); nothing is cached, so a
+block's cost is one pruned scan and a lost executor only re-runs tasks of
+the block in flight. Write a view with ``sources.sink.write_report``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators import benchmark as B
+from ..operators import compare as C
+from ..operators import custom as X
+from ..operators import intelligence as I
+from ..operators import reports as R
+from ..operators.base import Watchlist
+
+
+def dashboard(e: DataFrame, month: str | None = None) -> dict[str, DataFrame]:
+    """Totals, per category, top exporters, top countries."""
+    return {"summary": R.dashboard_summary(e, month), "by_category": R.dashboard_by_category(e, month),
+            "top_exporters": R.dashboard_top_exporters(e, month),
+            "top_countries": R.dashboard_top_countries(e, month)}
+
+
+def competitor_analysis(e: DataFrame, wl: Watchlist, month: str | None = None,
+                        compare_month: str | None = None) -> dict[str, DataFrame]:
+    """A2/A3: tracked exporters, with the compare month when both are given."""
+    out = {"competitors": R.competitor_summary(e, wl, month)}
+    if month and compare_month:
+        out["comparison"] = R.competitor_baseline(e, wl, compare_month)
+    return out
+
+
+def client_analysis(e: DataFrame, wl: Watchlist, month: str | None = None,
+                    compare_month: str | None = None) -> dict[str, DataFrame]:
+    """A4/A5: tracked consignees, with the compare month when both are given."""
+    out = {"clients": R.client_summary(e, wl, month)}
+    if month and compare_month:
+        out["comparison"] = R.client_baseline(e, wl, compare_month)
+    return out
+
+
+def entity_details(e: DataFrame, entity: str, role: str, month: str | None = None) -> dict[str, DataFrame]:
+    """One exporter's or consignee's profile."""
+    out = {"summary": R.entity_summary(e, entity, role, month),
+           "products": R.entity_products(e, entity, role, month),
+           "countries": R.entity_countries(e, entity, role, month),
+           "ports": R.entity_ports(e, entity, role, month),
+           "monthly_trend": R.entity_monthly_trend(e, entity, role)}
+    if role in ("consignee", "client"):
+        out["suppliers"] = R.entity_suppliers(e, entity, month)
+    else:
+        out["clients"] = R.entity_clients(e, entity, month)
+    out["recent_shipments"] = R.entity_recent_shipments(e, entity, role, month)
+    return out
+
+
+def shipments(e: DataFrame, entity: str, role: str, month: str | None = None, page: int = 1,
+              limit: int = 50) -> dict[str, DataFrame]:
+    """One page of lines and the total line count."""
+    return {"shipments": R.shipments_page(e, entity, role, month, page, limit),
+            "total": R.shipments_total(e, entity, role, month)}
+
+
+def monthly_comparison(e: DataFrame, competitors: Watchlist, clients: Watchlist, cur: str,
+                       prev: str) -> dict[str, DataFrame]:
+    """M1-M4: competitor and client comparison, new suppliers, new pairs."""
+    return {"competitor_comparison": C.competitor_month_comparison(e, competitors, cur, prev),
+            "client_comparison": C.client_month_comparison(e, clients, cur, prev),
+            "new_suppliers_to_clients": C.new_suppliers_to_tracked_clients(e, clients, cur, prev),
+            "clients_new_suppliers": C.new_relationships(e, cur, prev)}
+
+
+def monthly_comparison_details(e: DataFrame, entity: str, role: str, cur: str,
+                               prev: str) -> dict[str, DataFrame]:
+    """M5-M7: one entity's lines, products and countries in both months."""
+    return {"rows": C.entity_month_rows(e, entity, role, cur, prev),
+            "products": C.entity_month_products(e, entity, role, cur, prev),
+            "countries": C.entity_month_countries(e, entity, role, cur, prev)}
+
+
+def benchmarking(e: DataFrame, company: str, wl: Watchlist, month: str | None = None) -> dict[str, DataFrame]:
+    """Own company, competitors, market, share, rank, client vendors."""
+    return {"company": B.company_benchmark(e, company, month),
+            "competitors": B.competitor_benchmark(e, wl, month),
+            "market": B.market_totals(e, month),
+            "market_share": B.market_share(e, company, month),
+            "rank": B.company_rank(e, company, month),
+            "client_vendors": B.client_vendor_analysis(e, company, month),
+            "market_position": B.market_position(e, company, wl, month)}
+
+
+def prospective_clients(e: DataFrame, company: str) -> dict[str, DataFrame]:
+    """The company's products and the prospective buyers."""
+    return {"company_products": I.company_products(e, company),
+            "prospective_clients": I.prospective_clients(e, company)}
+
+
+def cross_sell(e: DataFrame, company: str) -> dict[str, DataFrame]:
+    """The company's clients, its HS codes, cross-sell opportunities."""
+    return {"clients": I.company_clients(e, company), "hs_codes": I.company_hs_codes(e, company),
+            "opportunities": I.cross_sell(e, company)}
+
+
+def custom_report(e: DataFrame, countries: str | None = None, exporters: str | None = None,
+                  consignees: str | None = None, month: str | None = None) -> dict[str, DataFrame]:
+    """Grouped summary and line details of a filtered report."""
+    return {"summary": X.custom_report_summary(e, countries, exporters, consignees, month),
+            "details": X.custom_report_details(e, countries, exporters, consignees, month)}
