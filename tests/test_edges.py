@@ -166,3 +166,11 @@ def test_report_views_build_every_block(exports):
             assert df.columns, name
             df.limit(1).collect()
     assert "suppliers" in views[2] and "clients" in views[1]
+
+
+def test_approximate_counts_are_close(exports):
+    exact = R.dashboard_summary(exports).first()
+    approx = R.dashboard_summary(exports, exact=False).first()
+    for f in ("total_shipments", "unique_exporters", "unique_consignees", "unique_countries", "unique_products"):
+        assert abs(approx[f] - exact[f]) <= max(2, 0.05 * exact[f]), f
+    assert approx.total_fob == exact.total_fob

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from ..schema import USD_TO_INR
 
 
-def shipments(alias: str = "shipment_count") -> Column:
+# Relative standard deviation of the opt-in approximate distinct counts.
+APPROX_RSD = 0.01
+
+
+def shipments(alias: str = "shipment_count", exact: bool = True) -> Column:
     """Number of shipments = distinct declarations."""
-    return F.count_distinct("declaration_id").alias(alias)
+    return n_distinct("declaration_id", alias, exact)
 
 
 def lines(alias: str = "line_count") -> Column:
@@ -37,8 +41,13 @@ def qty_total(alias: str = "total_quantity") -> Column:
     return F.sum("quantity").alias(alias)
 
 
-def n_distinct(col: str, alias: str) -> Column:
-    return F.count_distinct(col).alias(alias)
+def n_distinct(col: str, alias: str, exact: bool = True) -> Column:
+    """COUNT(DISTINCT col). ``exact=False`` uses a HyperLogLog++ sketch
+    (``approx_count_distinct``): fixed-size partial states merged map-side,
+    no per-value shuffle — the option for very large scans."""
+    if exact:
+        return F.count_distinct(col).alias(alias)
+    return F.approx_count_distinct(col, rsd=APPROX_RSD).alias(alias)
 
 
 def avg_fob(alias: str) -> Column:

@@ -269,11 +269,13 @@ def country_breakdown(e: DataFrame, entity: str | None = None, role: str | None
                   where=all_of([_optional_entity(entity, role), month_is(month)]))
 
 
-def monthly_trends(e: DataFrame, entity: str | None = None, role: str | None = None) -> DataFrame:
+def monthly_trends(e: DataFrame, entity: str | None = None, role: str | None = None,
+                   exact: bool = True) -> DataFrame:
     """Per month: shipments, fob, products (entity filter needs a role)."""
     ent = entity_is(entity, role) if entity and role else None
     return rollup(e, ["month_year"],
-                  [M.shipments(), M.fob_total(), M.n_distinct("product_description", "product_count")],
+                  [M.shipments(exact=exact), M.fob_total(),
+                   M.n_distinct("product_description", "product_count", exact)],
                   order_by=[asc("month_year")],
                   where=all_of([F.col("month_year").isNotNull(), ent]))
 
@@ -281,14 +283,14 @@ def monthly_trends(e: DataFrame, entity: str | None = None, role: str | None = N
 # ---------------------------------------------------------------- A19-A22 dashboard
 
 
-def dashboard_summary(e: DataFrame, month: str | None = None) -> DataFrame:
-    """One row of market totals."""
+def dashboard_summary(e: DataFrame, month: str | None = None, exact: bool = True) -> DataFrame:
+    """One row of market totals (``exact=False``: approximate distinct counts)."""
     rows = e if month is None else e.filter(month_is(month))
-    return rows.agg(M.shipments("total_shipments"), M.fob_total(),
-                    M.n_distinct("exporter_name", "unique_exporters"),
-                    M.n_distinct("consignee_name", "unique_consignees"),
-                    M.n_distinct("country_of_destination", "unique_countries"),
-                    M.n_distinct("product_description", "unique_products"))
+    return rows.agg(M.shipments("total_shipments", exact), M.fob_total(),
+                    M.n_distinct("exporter_name", "unique_exporters", exact),
+                    M.n_distinct("consignee_name", "unique_consignees", exact),
+                    M.n_distinct("country_of_destination", "unique_countries", exact),
+                    M.n_distinct("product_description", "unique_products", exact))
 
 
 def dashboard_by_category(e: DataFrame, month: str | None = None) -> DataFrame:

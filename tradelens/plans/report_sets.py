@@ -286,12 +286,12 @@ def export_company_comparison_rows(e: DataFrame, company: str, wl: Watchlist,
     return out.orderBy(F.col("Company").asc_nulls_last(), desc("Shipment Date"))
 
 
-def export_summary(e: DataFrame, month: str | None = None) -> DataFrame:
+def export_summary(e: DataFrame, month: str | None = None, exact: bool = True) -> DataFrame:
     """Every exporter with shipments, fob, products, countries, clients
-    and categories; by fob desc."""
+    and categories; by fob desc (``exact=False``: approximate counts)."""
     out = apply_filter(e, month_is(month)).groupBy(F.col("exporter_name").alias("Exporter")).agg(
-        M.shipments("Shipments"), M.fob_total("Total FOB"),
-        M.n_distinct("product_description", "Products"),
-        M.n_distinct("country_of_destination", "Countries"),
-        M.n_distinct("consignee_name", "Clients"), M.concat_distinct("data_type", "Categories"))
+        M.shipments("Shipments", exact), M.fob_total("Total FOB"),
+        M.n_distinct("product_description", "Products", exact),
+        M.n_distinct("country_of_destination", "Countries", exact),
+        M.n_distinct("consignee_name", "Clients", exact), M.concat_distinct("data_type", "Categories"))
     return out.orderBy(*by_then_keys([desc("Total FOB")], ["Exporter"]))
