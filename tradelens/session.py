@@ -27,6 +27,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TRADELENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Group keys an object-hash aggregate (the per-group value lists of
+        # concatenated-distinct columns) keeps before falling back to sorting.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
