@@ -39,3 +39,19 @@ def test_two_step_reports_are_single_plans(exports):
 def test_rank_uses_scalar_subquery_not_cross_join(exports):
     p = plan(B.company_rank(exports, K.COMPANY))
     assert "Subquery" in p and "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+FORBIDDEN = ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduct",
+             "BroadcastNestedLoopJoin", "FlatMapGroupsInPandas", "MapInPandas")
+
+
+def test_no_udf_or_cross_join_in_any_registered_query(spark):
+    from conftest import SF_SMALL
+
+    from tradelens.catalog import QUERIES
+    for name, fn in QUERIES.items():
+        if name == "incremental_ingest":  # a streaming run; its batches are ingest_file plans
+            continue
+        p = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        bad = [f for f in FORBIDDEN if f in p]
+        assert not bad, (name, bad)
