@@ -37,9 +37,9 @@ def e(spark):
         line("D3", "NEW CO", "BUYER B", "Grapes", "0806", "50.00", DEC),
         line("D4", "OLD CO", "BUYER B", "Grapes", "0806", "70.00", NOV),
         # own company under two legal names, selling 0804 to BUYER A and a placeholder buyer
-        line("D5", "AGNA ORG PVT LTD", "BUYER A", "Mango", "0804", "300.00", DEC),
-        line("D6", "AGNA ORG INDIA", "TO ORDER", "Mango", "0804", "30.00", DEC),
-        line("D7", "AGNA ORG INDIA", "NULL", "Mango", "0804", "30.00", DEC),
+        line("D5", "ACME AGRO PVT LTD", "BUYER A", "Mango", "0804", "300.00", DEC),
+        line("D6", "ACME AGRO INDIA", "TO ORDER", "Mango", "0804", "30.00", DEC),
+        line("D7", "ACME AGRO INDIA", "NULL", "Mango", "0804", "30.00", DEC),
         # other buyers of the company's HS code
         line("D8", "RIVAL", "BUYER C", "Mango", "0804", "40.00", DEC),
         line("D9", "RIVAL", "BUYER C", "Mango", "0804", "45.00", NOV),
@@ -86,25 +86,25 @@ def test_empty_watchlist(e):
 
 
 def test_company_matched_by_like_across_legal_names(e):
-    bench = B.company_benchmark(e, "agna org").first()
+    bench = B.company_benchmark(e, "acme agro").first()
     assert bench.shipments == 3 and bench.total_fob == 360.0
-    assert [r.company_rank for r in B.company_rank(e, "AGNA ORG").collect()] == [1]
+    assert [r.company_rank for r in B.company_rank(e, "ACME AGRO").collect()] == [1]
 
 
 def test_prospects_skip_blank_and_null_names(e):
-    out = I.prospective_clients(e, "AGNA ORG", min_shipments=1).collect()
+    out = I.prospective_clients(e, "ACME AGRO", min_shipments=1).collect()
     names = {r.consignee_name for r in out}
     assert "BUYER C" in names and "" not in names and "NULL" not in names
     assert "BUYER A" in names  # buyers of the company are not excluded
 
 
 def test_cross_sell_and_company_without_hs_codes(e):
-    out = I.cross_sell(e, "AGNA ORG").collect()
+    out = I.cross_sell(e, "ACME AGRO").collect()
     assert {(r.client_name, r.hs_code) for r in out} == {("BUYER A", "0703")}
     # A company with no HS codes: the report keeps every code, the export is empty.
-    e2 = e.withColumn("hs_code", F.when(F.col("exporter_name").contains("AGNA"), F.lit("")).otherwise(F.col("hs_code")))
-    assert {r.hs_code for r in I.cross_sell(e2, "AGNA ORG").collect()} == {"0804", "0703"}
-    assert E.export_cross_sell(e2, "AGNA ORG")["opportunities"].count() == 0
+    e2 = e.withColumn("hs_code", F.when(F.col("exporter_name").contains("ACME AGRO"), F.lit("")).otherwise(F.col("hs_code")))
+    assert {r.hs_code for r in I.cross_sell(e2, "ACME AGRO").collect()} == {"0804", "0703"}
+    assert E.export_cross_sell(e2, "ACME AGRO")["opportunities"].count() == 0
 
 
 def test_wildcard_terms_keep_like_semantics(e):
@@ -115,7 +115,7 @@ def test_wildcard_terms_keep_like_semantics(e):
 
 
 def test_placeholder_names_shown_as_not_available(e):
-    out = R.with_display(R.entity_clients(e, "AGNA ORG INDIA"), "consignee_name", "total_fob").collect()
+    out = R.with_display(R.entity_clients(e, "ACME AGRO INDIA"), "consignee_name", "total_fob").collect()
     assert {r.display_name for r in out} == {"Name Not Available"}
 
 
