@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.match import all_of, entity_is, month_is, role_column
+from ..functions.match import all_of, entity_is, month_is
 from .base import Watchlist, asc, by_then_keys, desc, keep_members, rollup
 
 # ---------------------------------------------------------------- A1
@@ -321,6 +321,3 @@ def with_display(df: DataFrame, name_col: str, usd_col: str) -> DataFrame:
                      D.format_usd(F.col(usd_col)).alias(f"{usd_col}_usd_text"),
                      D.format_inr(F.col(usd_col)).alias(f"{usd_col}_inr_text"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"F", "M", "DataFrame"}]
-_ = role_column  # re-exported helper used by callers building entity filters
