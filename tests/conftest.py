@@ -8,8 +8,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tradelens.session import local_session
-    s = local_session("*", shuffle_partitions=8, app_name="tradelens-tests")
+    from trade_insights.session import local_session
+    s = local_session("*", shuffle_partitions=8, app_name="trade_insights-tests")
     yield s
 
 
@@ -18,5 +18,5 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def exports(spark):
-    from tradelens.sources import fixture_exports
+    from trade_insights.sources import fixture_exports
     return fixture_exports(spark, SF_SMALL)

@@ -8,15 +8,15 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tradelens.operators import benchmark as B
-from tradelens.operators import compare as C
-from tradelens.operators import custom as X
-from tradelens.operators import intelligence as I
-from tradelens.operators import reports as R
-from tradelens.operators import watchlist as W
-from tradelens.plans import report_sets as E
-from tradelens.schema import EXPORTS_SCHEMA
-from tradelens.sources import write_report
+from trade_insights.operators import benchmark as B
+from trade_insights.operators import compare as C
+from trade_insights.operators import custom as X
+from trade_insights.operators import intelligence as I
+from trade_insights.operators import reports as R
+from trade_insights.operators import watchlist as W
+from trade_insights.plans import report_sets as E
+from trade_insights.schema import EXPORTS_SCHEMA
+from trade_insights.sources import write_report
 
 NOV, DEC = "2024-11", "2024-12"
 
@@ -146,7 +146,7 @@ def test_category_fob_adds_up(exports):
 
 def test_write_report_one_dataset_per_block(exports):
     blocks = E.export_entity_details(exports, "SUPPLIER#000000005", "exporter")
-    out = write_report(blocks, tempfile.mkdtemp(prefix="tradelens-report-"), "parquet")
+    out = write_report(blocks, tempfile.mkdtemp(prefix="trade_insights-report-"), "parquet")
     assert set(out) == {"summary", "products", "countries", "shipments"}
     assert all(os.path.isdir(p) for p in out.values())
     spark = exports.sparkSession
@@ -154,7 +154,7 @@ def test_write_report_one_dataset_per_block(exports):
 
 
 def test_report_views_build_every_block(exports):
-    from tradelens.plans import report_views as V
+    from trade_insights.plans import report_views as V
     views = [V.dashboard(exports, "1998-06"), V.entity_details(exports, "SUPPLIER#000000005", "exporter"),
              V.entity_details(exports, "CUSTOMER#000000022", "consignee"),
              V.monthly_comparison(exports, ["SUPPLIER#000000001"], ["CUSTOMER#000000022"], "1998-06", "1998-05"),

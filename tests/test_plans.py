@@ -1,11 +1,11 @@
 """Plan shape: partition pruning, pushed filters, no Python UDFs, semi joins
 instead of driver-side key lists."""
 
-from tradelens import catalog as K
-from tradelens.operators import benchmark as B
-from tradelens.operators import compare as C
-from tradelens.operators import intelligence as I
-from tradelens.operators import reports as R
+from trade_insights import catalog as K
+from trade_insights.operators import benchmark as B
+from trade_insights.operators import compare as C
+from trade_insights.operators import intelligence as I
+from trade_insights.operators import reports as R
 
 
 def plan(df):
@@ -48,7 +48,7 @@ FORBIDDEN = ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "CartesianProduc
 def test_no_udf_or_cross_join_in_any_registered_query(spark):
     from conftest import SF_SMALL
 
-    from tradelens.catalog import QUERIES
+    from trade_insights.catalog import QUERIES
     for name, fn in QUERIES.items():
         if name == "incremental_ingest":  # a streaming run; its batches are ingest_file plans
             continue

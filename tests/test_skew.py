@@ -5,9 +5,9 @@ must aggregate partially before shuffling."""
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tradelens.operators import ingest as S
-from tradelens.operators import reports as R
-from tradelens.schema import EXPORT_COLUMNS
+from trade_insights.operators import ingest as S
+from trade_insights.operators import reports as R
+from trade_insights.schema import EXPORT_COLUMNS
 
 
 def hot(exports):
@@ -18,7 +18,7 @@ def hot(exports):
 
 def test_hot_exporter_summary_matches_brute_force(exports):
     e = hot(exports)
-    from tradelens.plans.report_sets import export_summary
+    from trade_insights.plans.report_sets import export_summary
     got = {r.Exporter: (r.Shipments, round(r["Total FOB"], 2), r.Categories) for r in export_summary(e).collect()}
     pdf = e.select("exporter_name", "declaration_id", "fob_value", "data_type").toPandas()
     pdf["fob_value"] = pdf["fob_value"].astype(float)

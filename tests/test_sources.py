@@ -6,10 +6,10 @@ import tempfile
 
 import pytest
 
-from tradelens.operators import ingest as S
-from tradelens.plans import report_sets as E
-from tradelens.sources import read_raw, write_report
-from tradelens.sources.raw import EmptyImportError, require_rows
+from trade_insights.operators import ingest as S
+from trade_insights.plans import report_sets as E
+from trade_insights.sources import read_raw, write_report
+from trade_insights.sources.raw import EmptyImportError, require_rows
 
 ROW = {"SB No": "D9", "Shipper": " acme ", "Buyer": "b co", "Item": "Mango", "HS Code": "0804",
        "Qty": 12.5, "FOB (USD)": "$1,000.00", "Shipment Date": "2024-03-01"}
@@ -20,7 +20,7 @@ def _clean(spark, raw):
 
 
 def test_json_import_cells_become_text(spark):
-    folder = tempfile.mkdtemp(prefix="tradelens-src-")
+    folder = tempfile.mkdtemp(prefix="trade_insights-src-")
     path = os.path.join(folder, "in.json")
     with open(path, "w") as f:
         f.write(json.dumps(ROW) + "\n")
@@ -31,7 +31,7 @@ def test_json_import_cells_become_text(spark):
 
 
 def test_parquet_import(spark):
-    folder = tempfile.mkdtemp(prefix="tradelens-src-")
+    folder = tempfile.mkdtemp(prefix="trade_insights-src-")
     path = os.path.join(folder, "in.parquet")
     spark.createDataFrame([ROW]).write.parquet(path)
     row = _clean(spark, read_raw(spark, path, "parquet"))
@@ -39,7 +39,7 @@ def test_parquet_import(spark):
 
 
 def test_empty_import_is_an_error(spark):
-    folder = tempfile.mkdtemp(prefix="tradelens-src-")
+    folder = tempfile.mkdtemp(prefix="trade_insights-src-")
     path = os.path.join(folder, "empty.csv")
     with open(path, "w") as f:
         f.write("SB No,Shipper\n")
@@ -54,6 +54,6 @@ def test_unknown_format_rejected(spark):
 
 def test_csv_report_keeps_display_headers(exports):
     blocks = E.export_entity_details(exports, "CUSTOMER#000000022", "consignee")
-    out = write_report(blocks, tempfile.mkdtemp(prefix="tradelens-report-"), "csv")
+    out = write_report(blocks, tempfile.mkdtemp(prefix="trade_insights-report-"), "csv")
     back = exports.sparkSession.read.option("header", True).csv(out["summary"])
     assert "Total FOB (USD)" in back.columns and back.count() == 1

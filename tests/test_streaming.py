@@ -4,8 +4,8 @@ import csv
 import os
 import tempfile
 
-from tradelens.sources import read_exports
-from tradelens.streaming.incremental import batch_id_for, run_to_completion
+from trade_insights.sources import read_exports
+from trade_insights.streaming.incremental import batch_id_for, run_to_completion
 
 HEAD = ["Declaration ID", "Exporter Name", "Consignee Name", "Product Description", "HS Code",
         "Quantity", "FOB Value", "Shipment Date"]
@@ -21,7 +21,7 @@ def _drop(folder, category, name, rows):
 
 
 def test_replay_leaves_store_unchanged(spark):
-    root = tempfile.mkdtemp(prefix="tradelens-stream-")
+    root = tempfile.mkdtemp(prefix="trade_insights-stream-")
     inbox, store = os.path.join(root, "in"), os.path.join(root, "store")
     _drop(inbox, "fruits", "nov.csv", [("D1", "acme", "b1", "Mango", "0804", "10", "$10", "2024-11-03"),
                                        ("D2", "acme", "b2", "Mango", "0804", "5", "$7", "")])

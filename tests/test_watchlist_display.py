@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tradelens.functions import display as D
-from tradelens.operators import custom as X
-from tradelens.operators import watchlist as W
-from tradelens.schema import WATCHLIST_SCHEMA
+from trade_insights.functions import display as D
+from trade_insights.operators import custom as X
+from trade_insights.operators import watchlist as W
+from trade_insights.schema import WATCHLIST_SCHEMA
 
 
 def test_active_and_changes(spark):

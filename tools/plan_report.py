@@ -39,8 +39,8 @@ def summarize(plan: str) -> dict:
 
 
 def main() -> None:
-    from tradelens.catalog import QUERIES
-    from tradelens.session import local_session
+    from trade_insights.catalog import QUERIES
+    from trade_insights.session import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8)

@@ -1,4 +1,4 @@
-"""tradelens — customs shipment analytics as PySpark DataFrame plans.
+"""trade_insights — customs shipment analytics as PySpark DataFrame plans.
 
 Layout
 ------

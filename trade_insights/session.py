@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "tradelens") -> SparkSession:
+                  app_name: str = "trade_insights") -> SparkSession:
     """A local session configured the way the tests and bench.py run."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -25,7 +25,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("TRADELENS_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("TRADE_INSIGHTS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         # Group keys an object-hash aggregate (the per-group value lists of
         # concatenated-distinct columns) keeps before falling back to sorting.
@@ -50,7 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="tradelens-ckpt-")
+        conf = tempfile.mkdtemp(prefix="trade_insights-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
