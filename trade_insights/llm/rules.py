@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, stored, words
+from .common import stored, words
 
 WINDOW = 5
 MIN_WORDS, MOST_REPEATED_PCT = 10, 20
@@ -33,12 +33,12 @@ MIN_GROUP = 40
 CORE = 0.75
 STEPS = 4
 #: Quantiles of the chi-square distribution with five degrees of freedom.
-CHI2_MEDIAN, CHI2_CUT = 4.351, 40.0
+CHI2_MEDIAN, CHI2_CUT = 4.351, 36.0
 #: Words that count as half the evidence in the distance of a short text.
-HALF_EVIDENCE = 40
+HALF_EVIDENCE = 15
 #: Least standard deviations: of the log of the mean word length, and of the
 #: square roots of shares.
-FLOORS = (0.05, 0.05, 0.08, 0.08, 0.06)
+FLOORS = (0.05, 0.04, 0.15, 0.15, 0.06)
 P = len(FLOORS)
 ACCURACY = 1000
 
@@ -64,7 +64,7 @@ def counts(docs: DataFrame) -> DataFrame:
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
                       F.inline(F.array(F.struct(
                           text.alias("text"), words(text).alias("w"), lines.alias("lines"),
-                          F.char_length(F.regexp_replace(text, BLANK_RUN, "")).cast("long").alias("word_chars")))))
+                          F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars")))))
     at = lambda i, k: F.get(F.col("w"), i + k)
     windows = F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
     # a generator's output is computed once, however often it is used below
@@ -87,7 +87,7 @@ def vectors(counted: DataFrame) -> DataFrame:
     return out.withColumns({f"x{i}": F.when(~failed, x) for i, x in enumerate(xs)})
 
 
-def _distance(start: bool = False) -> Column:
+def _distance() -> Column:
     """Squared distance of x from the centre m under the group's estimate:
     forward substitution with the Cholesky factor l."""
     y: list[Column] = []
