@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality, rules
+from . import bpe, lines, mixing, quality, rules
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six tenths of all tokens, from up to four epochs of a source."""
+    return mixing.mixed_in(table(spark, sf_dir, "documents"), mixing.shelf(F.col("source")), mixing.chosen_weights(), share=0.6, max_epochs=4)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BPE_FILE)
 
@@ -19,9 +25,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_rules, op9_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op4_lines, op7_rules, op8_mix, op9_bpe, op10_quality)}
 ORACLE: dict[str, str] = {}
