@@ -132,3 +132,28 @@ class RangeHash:
 
     def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((prefix[end] - prefix[start]) * self.down[start])
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1) -> Iterator[pa.Table]:
+    """From batches sorted by ``key``, tables that hold whole groups: one group
+    each, or as many as it takes for about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.asarray(batch.column(key))
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
+        if held and held[-1].column(key)[-1].as_py() != keys[0] and size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        at = 0
+        for start, end in zip(cuts, cuts[1:]):
+            if start and size + start - at >= rows and start > at:
+                held.append(batch.slice(at, start - at))
+                yield pa.Table.from_batches(held)
+                held, size, at = [], 0, start
+        held.append(batch.slice(at))
+        size += batch.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, quality, rules
+from . import bpe, lines, mixing, near, quality, rules
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,9 +29,13 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.joined(table(spark, sf_dir, "documents"))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_lines, op7_rules, op8_mix, op9_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op4_lines, op5_near, op7_rules, op8_mix, op9_bpe, op10_quality)}
 ORACLE: dict[str, str] = {}
