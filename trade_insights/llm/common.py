@@ -29,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps read to a new folder below the
     cluster's shared checkpoint folder, and read it back: the lineage ends
-    there, and a lost executor costs no recomputation."""
+    there, and a lost executor costs no recomputation. The driver's garbage is
+    collected, which lets Spark remove the shuffle files of the finished step."""
     spark = df.sparkSession
     path = work_dir(spark, f"llm/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
