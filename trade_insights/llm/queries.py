@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, near, quality, rules, substrings
+from . import bpe, lines, mixing, near, quality, rules, substrings, suffixes
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cleaned(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cleaned(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op4_lines, op5_near, op7_rules, op8_mix, op9_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op3_suffixes, op4_lines, op5_near, op7_rules, op8_mix, op9_bpe, op10_quality)}
 ORACLE: dict[str, str] = {}
