@@ -23,6 +23,8 @@ weight 0 gets nothing. Columns of other names are not looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,9 +73,9 @@ def budgets(leaves: DataFrame, weights: dict[str, Column], share: float | None,
         path = list(LEVELS[: k + 1])
         nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"), F.sum("n_units").alias("n_units")).withColumn("weight", _weight(weights[name]))
         if level is None:
-            whole = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
-            wanted = F.lit(float(target)) if target is not None else F.floor(F.col("all_tokens") * F.lit(share)).cast("double")
-            nodes = nodes.join(F.broadcast(whole), how="cross").withColumn("parent_budget", wanted).drop("all_tokens")  # a single row
+            if target is None:
+                target = math.floor((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
+            nodes = nodes.withColumn("parent_budget", F.lit(float(target)))
         else:
             nodes = nodes.join(level.select(*above, F.col("budget").alias("parent_budget")), above)
         level, above = divided(nodes, above, name), path

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, near, quality, rules, substrings, suffixes
+from . import bpe, lines, mixing, near, quality, rules, substrings, suffixes, topk
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.cleaned(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.cleaned(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
@@ -45,5 +49,16 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op3_suffixes, op4_lines, op5_near, op7_rules, op8_mix, op9_bpe, op10_quality)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_topk, op3_suffixes, op4_lines, op5_near, op7_rules, op8_mix, op9_bpe, op10_quality)}
+ORACLE: dict[str, str] = {
+    "op2_topk": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+        WHERE rank <= 20""",
+}
