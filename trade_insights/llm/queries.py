@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, near, quality, rules, substrings, suffixes, topk
+from . import bpe, lines, mixing, near, quality, rules, substrings, suffixes, topk, warc
 from .common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,12 +45,21 @@ def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.joined(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("digest_holds")
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_topk, op3_suffixes, op4_lines, op5_near, op7_rules, op8_mix, op9_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_topk, op3_suffixes, op4_lines, op5_near, op6_warc, op7_rules, op8_mix, op9_bpe, op10_quality)}
 ORACLE: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to FROM m""",
     "op2_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
