@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import stored, word_count
 
 LEVELS = ("domain", "lang", "source")
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: Added to a null name of a node, which no other name starts with.
 NO_NAME = "\x00"
 

@@ -20,7 +20,8 @@ Vectors that are null or hold a null or non-finite component, and rows with a
 null id, take no part. Shorter vectors count as padded with zeros. Rows that
 agree in id and vector are one; of different vectors under one id each is a
 candidate, and each a query, but never for its own id. With fewer candidates
-than k all are returned. Ties go to the smaller id. Empty tables give an empty
+than k all are returned. Ties go to the smaller id. Scores that do not fit 64
+bits raise an error. Empty tables give an empty
 result; further columns are ignored.
 """
 
@@ -137,6 +138,8 @@ class Best:
         if not len(row):
             return
         exact = np.abs(self.q).max() * np.abs(v).max() * v.shape[1] < EXACT
+        if not exact and np.abs(self.q[here] @ v.T).max() > 9e18:
+            raise OverflowError("an inner product does not fit a 64-bit integer")
         q, w = (self.q[here], v) if exact else (self.q[here].astype(np.int64), v.astype(np.int64))
         if len(row) > DENSE * keep.size:
             score = (q @ w.T)[row, column]
