@@ -11,13 +11,14 @@ and their exact similarities are then computed from the whole texts, in blocks.
 Texts with equal sets are one class and stand in the forest once. Nothing
 lists all pairs of a group: buckets give a link from each member to one, and
 exact similarities are counted where they are computed, with links within a
-block reduced to a spanning label. A connected group of any size is dealt out
+block reduced to a spanning label. Joins whose sides both grow with the corpus
+are sort-merge joins at every size. A connected group of any size is dealt out
 in pairs of blocks of about ``BLOCK`` classes.
 
 Null, empty and blank texts have no shingles, no links and a class of their
 own. A text of fewer than five words has one shingle, the whole of it. Rows
 that agree in doc_id and set count once; a null doc_id is a document like any
-other. An empty table gives an empty result; further columns are ignored.
+other, and the smallest. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import NO_ID
 from .common import arrow_pass, as_bytes, mixed, small_pieces, sorted_groups, stored
 from .graph import components
 from .text_arrays import shingles
@@ -67,7 +69,8 @@ def node_of(found: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node (of the set; null without shingles) and signature."""
+    """doc_id, node (of the set; null without shingles) and signature of rows
+    doc_id (long) and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_pieces(batches):
@@ -78,7 +81,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 signs.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], ["doc_id", "node", "sign"])
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, node long, sign binary")
+    return arrow_pass(docs.select("doc_id", "text"), run, "doc_id long, node long, sign binary")
 
 
 def candidates(classes: DataFrame, depth: int) -> DataFrame:
@@ -87,11 +90,11 @@ def candidates(classes: DataFrame, depth: int) -> DataFrame:
     trees = classes.select("node", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     trees = trees.select("node", "tree", *(cut(k).alias(f"p{k}") for k in range(depth, DEPTH + 1)))
     shared = stored(trees.groupBy(f"p{depth}").agg(F.count("*").alias("n")).where("n > 1").select(f"p{depth}"), "near-shared")
-    rows, links = stored(trees.join(shared, f"p{depth}", "left_semi"), "near-rows"), None
+    rows, links = stored(trees.join(shared.hint("merge"), f"p{depth}", "left_semi"), "near-rows"), None
     for k in range(DEPTH, depth - 1, -1):
         # one of those that share the longer prefix goes on to the shorter one
         heads = stored(rows.groupBy(f"p{k}").agg(F.min("node").alias("head"), *(F.first(f"p{j}").alias(f"q{j}") for j in range(depth, k))), f"near-heads{k}")
-        found = rows.join(heads.select(f"p{k}", "head"), f"p{k}").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+        found = rows.join(heads.select(f"p{k}", "head").hint("merge"), f"p{k}").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
         links = found if links is None else links.unionByName(found)
         rows = heads.select(F.col("head").alias("node"), *(F.col(f"q{j}").alias(f"p{j}") for j in range(depth, k)))
     return links.distinct()
@@ -157,10 +160,12 @@ def joined(docs: DataFrame, words: int = WORDS, threshold: float = SIMILARITY, r
     """doc_id, node (the class of equal sets; null without shingles), class_id
     (smallest doc_id of the connected group), n_links (documents with at least
     the similarity) and n_linked_classes (of them, classes of other sets)."""
-    own = stored(sets(docs, words), "near-sets")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = stored(sets(texts, words), "near-sets")
     # rows that agree in doc_id and set count once
-    classes = own.where("node is not null").groupBy("node", "doc_id").agg(F.first("sign").alias("sign")).groupBy("node").agg(F.first("sign").alias("sign"), F.min("doc_id").alias("head_id"), F.count("*").alias("copies"))
-    classes = stored(classes, "near-classes")
+    ids = own.where("node is not null").select("node", "doc_id").distinct().groupBy("node").agg(F.min("doc_id").alias("head_id"), F.count("*").alias("copies"))
+    signs = own.where("node is not null").groupBy("node").agg(F.first("sign").alias("sign"))
+    classes = stored(signs.join(ids.hint("merge"), "node"), "near-classes")
     groups = components(candidates(classes, prefix_depth(threshold, recall)), "near-candidates")
     size = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     placed = groups.join(stored(size, "near-sizes"), "root").join(classes.select("node", "head_id", "copies"), "node")
@@ -168,20 +173,20 @@ def joined(docs: DataFrame, words: int = WORDS, threshold: float = SIMILARITY, r
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     placed = placed.select("node", "head_id", "copies", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "root")
     placed = stored(placed.withColumn("cell", F.xxhash64("root", "first", "second")), "near-placed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = placed.groupBy("head_id").agg(F.collect_list(F.struct("cell", "first", "second", "block", "node", "copies")).alias("places"))
-    members = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("head_id"))).select("text", F.inline("places"))
+    members = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("head_id")).select("text", F.inline("places"))
     found = stored(verified(members.repartition("cell").sortWithinPartitions("cell"), words, threshold), "near-verified")
     links = found.groupBy("node").agg(F.sum("classes").alias("classes"), F.sum("documents").alias("documents"))
     roots = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")), "near-links")
     head = classes.join(roots, "node", "left").select("node", "head_id", "copies", F.coalesce("root", "node").alias("root"))
     smallest = stored(head.groupBy("root").agg(F.min("head_id").alias("class_id")), "near-smallest")
     facts = stored(head.join(smallest, "root").join(links, "node", "left").select("node", "class_id", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("classes", F.lit(0)).cast("long").alias("n_linked_classes")), "near-facts")
-    out = own.select("doc_id", "node").distinct().join(facts, "node", "left")
-    return out.select("doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_classes", F.lit(0)).alias("n_linked_classes"))
+    out = own.select("doc_id", "node").distinct().join(facts.hint("merge"), "node", "left")
+    named = lambda c: F.when(c != NO_ID, c)
+    return out.select(named(F.col("doc_id")).alias("doc_id"), "node", named(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_classes", F.lit(0)).alias("n_linked_classes"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its group."""
     heads = joined(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("head_id")).distinct()
-    return docs.join(stored(heads, "near-heads"), docs["doc_id"].cast("long").eqNullSafe(F.col("head_id")), "left_semi")
+    return docs.join(stored(heads, "near-heads").hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("head_id")), "left_semi")
