@@ -192,19 +192,19 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text: encoded,
-    then decoded from the ids, in one pass over the texts."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, and the ids
+    if wanted: encoded, then decoded from the ids, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for b in small_pieces(batches):
-            n, of_ids, of_text = [], [], []
-            for x in b.column("text").to_pylist():
-                ids = bpe.encode(x or "")
-                n.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return arrow_pass(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, DIGESTS)
+            found = [bpe.encode(x or "") for x in b.column("text").to_pylist()]
+            out = {"doc_id": b.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()),
+                   "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+                   "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in found], pa.string())}
+            if with_ids:
+                out["ids"] = pa.array([np.frombuffer(x, "<i4") for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(out)
+
+    return arrow_pass(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, DIGESTS + ", ids array<int>" * with_ids)

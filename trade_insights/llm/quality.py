@@ -129,6 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
     return Model(good, bad, slope, float(offset))
 
 
+def probability(model: Model, difference):
+    return 1 / (1 + np.exp(-np.clip(model.slope * 100 * difference + model.offset, -30, 30)))
+
+
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_column``, ``difference`` and ``score`` of each row."""
 
@@ -137,7 +141,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
         for b in small_pieces(batches):
             if model.constant is None:
                 x = np.array([difference(t) for t in as_bytes(b.column(1))], float)
-                s = 1 / (1 + np.exp(-np.clip(model.slope * 100 * x + model.offset, -30, 30)))
+                s = probability(model, x)
             else:
                 x = np.zeros(b.num_rows)
                 s = np.full(b.num_rows, model.constant)
@@ -146,6 +150,21 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
     return arrow_pass(docs.select(F.col(id_column).cast("long"), F.col(text).cast("string")), run, f"`{id_column}` long, difference double, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)), F.col(f"`{text}`").cast("string").alias("scored"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        difference = Differences(model.good, model.bad)
+        for b in small_pieces(batches):
+            keep = [(probability(model, difference(t)) if model.constant is None else model.constant) >= threshold for t in as_bytes(b.column("scored"))]
+            yield b.select(names).filter(pa.array(keep))
+
+    kept = arrow_pass(plain, run, plain.select(*names).schema)
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
+
+
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
     out = score(docs, fit(docs, labels))
