@@ -65,7 +65,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, digest and positions (from 0, in order) of the lines that
     recurring templates cover, with the words that stand in them."""
     keyed = _keyed(docs)
-    leaves = F.transform(F.split("text", "\n"), lambda x: _leaf(_tokens(x)))
+    leaves = F.transform(F.transform(F.split("text", "\n"), _tokens), _leaf)
     placed = stored(keyed.select(*KEY, leaves.alias("leaves")).dropDuplicates(KEY), "lines-leaves")
     once = placed.select(F.explode(F.array_distinct("leaves")).alias("leaf")).where("leaf is not null")
     common = stored(once.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "lines-common")
