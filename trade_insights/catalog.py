@@ -8,9 +8,11 @@ fact table; month and entity parameters are the operators' own filters.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import benchmark as B
 from .operators import compare as C
@@ -21,8 +23,10 @@ from .operators import reports as R
 from .operators import watchlist as W
 from .plans import report_sets as E
 from .sources import fixture_exports
-from .sources.fixture import raw_import_file
-from .sources.raw import read_raw
+from .session import work_dir
+from .sources.fixture import raw_import_file, read_table
+from .sources.sink import write_report
+from .streaming.incremental import run_to_completion
 
 # Fixed report parameters for the test tables.
 COMPANY = "SUPPLIER#000000003"
@@ -158,42 +162,71 @@ QUERIES.update({
     "export_summary": _q(lambda e: E.export_summary(e)),
 })
 
-# ---- ingest (S2-S15) over an import sheet rendered from the test tables
+# ---- ingest (S2-S15) over import sheets rendered from the test tables
 _STORED = [c for c in R.PAGE_COLUMNS if c != "created_at"]
 
 
-def _stored_view(df: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-    return df.select(*[F.col(c).cast("double").alias(c) if c == "fob_value" else F.col(c)
-                       for c in _STORED])
+def _stored_view(df: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """Stored columns with money as a double; generated ids without the digest
+    that makes them unique."""
+    cells = {"fob_value": F.col("fob_value").cast("double"),
+             "declaration_id": F.regexp_replace("declaration_id", "^(AUTO-.{20})-[0-9a-f]{64}$", "$1")}
+    return df.select(*[cells.get(c, F.col(c)).alias(c) for c in _STORED if c not in without])
 
 
-QUERIES.update({
-    "ingest_accepted": lambda spark, sf_dir: _stored_view(S.ingest_plan(
-        read_raw(spark, raw_import_file(spark, sf_dir), "csv"), "fruits", "b1")["accepted"]),
-    "import_report": lambda spark, sf_dir: S.ingest_plan(
-        read_raw(spark, raw_import_file(spark, sf_dir), "csv"), "vegetables", "b2")["report"],
-    "dedup_exports": lambda spark, sf_dir: _stored_view(S.dedup_exports(
-        S.with_sequence(_e(spark, sf_dir).drop("ingest_seq")
-                        .unionByName(_e(spark, sf_dir).drop("ingest_seq"))), None)),
-})
+def _ingest_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = S.staged_import(spark, raw_import_file(spark, sf_dir), "csv", "fruits", "b1")
+    return _stored_view(S.dedup_exports(staged.filter(~F.col("rejected"))))
 
 
-# ---- incremental ingest (S16): each part file of the stand-in upload is one
-# dropped file; the stream ingests them one by one into a fresh store.
-def _incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    from pyspark.sql import functions as F
+def _import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = S.staged_import(spark, raw_import_file(spark, sf_dir), "csv", "vegetables", "b2")
+    return S.import_report(staged, S.dedup_exports(staged.filter(~F.col("rejected")))).drop("columns_found")
 
-    from .session import work_dir
-    from .streaming.incremental import run_to_completion
 
-    run = work_dir(spark, f"stream-{uuid.uuid4().hex[:12]}")
+# ---- incremental ingest (S16): each part file of the stand-in uploads is one
+# dropped file; the stream ingests them into a fresh store.
+def _incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = work_dir(spark, f"stream-{uuid.uuid4().hex}")
     stored = run_to_completion(spark, raw_import_file(spark, sf_dir), f"{run}/checkpoint", f"{run}/store",
                                category_of=lambda path: "fruits")
-    return stored.select(*[F.col(c).cast("double").alias(c) if c == "fob_value" else F.col(c)
-                           for c in _STORED if c != "upload_batch"])
+    return _stored_view(stored, ("upload_batch",))
+
+
+# ---- watchlists (W1, W2) drawn from the suppliers and customers, and a report
+# written and read back
+def _watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third supplier is tracked, every ninth no longer."""
+    s = read_table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 3 == 0)
+    return s.select(F.upper("s_name").alias("name"), F.lit(None).cast("timestamp").alias("created_at"),
+                    (F.col("s_suppkey") % 9 != 0).alias("active"))
 
 
-QUERIES["incremental_ingest"] = _incremental_ingest
+def _watchlist_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    adds = read_table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 2 == 0).select(
+        F.col("s_suppkey").cast("long").alias("seq"), F.concat(F.lit(" \t"), F.lower("s_name")).alias("given"))
+    removes = read_table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 5 == 0).select(F.col("s_name").alias("name"))
+    return W.apply_changes(_watchlist(spark, sf_dir), adds, removes)
+
+
+def _written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, f"report-{uuid.uuid4().hex}")
+    write_report(E.export_benchmarking(_e(spark, sf_dir), COMPANY, COMPETITORS, CUR), path)
+    return spark.read.parquet(f"{path}/companies")
+
+
+QUERIES.update({
+    "ingest_accepted": _ingest_accepted,
+    "import_report": _import_report,
+    "dedup_exports": lambda spark, sf_dir: _stored_view(S.dedup_exports(
+        S.with_sequence(_e(spark, sf_dir).drop("ingest_seq")
+                        .unionByName(_e(spark, sf_dir).drop("ingest_seq"))), None)),
+    "incremental_ingest": _incremental_ingest,
+    "active_watchlist": lambda spark, sf_dir: W.active(_watchlist(spark, sf_dir)).select("name"),
+    "watchlist_after_changes": lambda spark, sf_dir: _watchlist_changes(spark, sf_dir)[0].select("name", "active"),
+    "watchlist_added": lambda spark, sf_dir: _watchlist_changes(spark, sf_dir)[1],
+    "watchlist_errors": lambda spark, sf_dir: _watchlist_changes(spark, sf_dir)[2],
+    "written_report": _written_report,
+    "competitor_summary_table": lambda spark, sf_dir: R.competitor_summary(_e(spark, sf_dir), _watchlist(spark, sf_dir), CUR),
+    "company_comparison_table": lambda spark, sf_dir: R.company_comparison(_e(spark, sf_dir), COMPANY, _watchlist(spark, sf_dir), CUR),
+})

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import USD_TO_INR
+from ..schema import CATEGORIES, USD_TO_INR
 
 
 # Relative standard deviation of the opt-in approximate distinct counts.
@@ -67,6 +67,14 @@ def concat_distinct(col: str, alias: str) -> Column:
     return F.when(F.size(values) > 0, F.array_join(values, ",")).alias(alias)
 
 
+def categories(alias: str) -> Column:
+    """The categories present, joined by ',' in sorted order (NULL if none).
+    An import is tagged with one of the known ones, so a flag for each does,
+    and no distinct aggregate is needed."""
+    found = F.concat_ws(",", *(F.max(F.when(F.col("data_type") == F.lit(c), F.lit(c))) for c in sorted(CATEGORIES)))
+    return F.when(found != F.lit(""), found).alias(alias)
+
+
 def money(c: Column) -> Column:
     """Exact decimal money amount -> DOUBLE for output."""
     return c.cast("double")
@@ -74,7 +82,7 @@ def money(c: Column) -> Column:
 
 def inr_exact(usd: Column) -> Column:
     """USD decimal amount -> INR rounded to 2 decimals, still decimal."""
-    return F.round(usd.cast("decimal(18,2)") * F.lit(USD_TO_INR).cast("decimal(3,1)"), 2)
+    return F.round(usd.cast("decimal(32,2)") * F.lit(USD_TO_INR).cast("decimal(3,1)"), 2)
 
 
 def to_inr(usd: Column, alias: str) -> Column:

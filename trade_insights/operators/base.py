@@ -7,19 +7,15 @@ from typing import Iterable, Sequence, Union
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import metrics as M
 from ..functions.match import apply_filter, norm_name
 
-# A watchlist is either a list of names (known on the driver, so its size is
-# known) or a DataFrame with a ``name`` column (and optionally ``active``).
+# A watchlist is either a list of names, which becomes an IN filter that
+# Parquet can use to skip row groups, or a DataFrame with a ``name`` column
+# (and optionally ``active``), which is joined. The caller chooses; nothing
+# switches with the size.
 Watchlist = Union[Sequence[str], DataFrame]
 
-# Lists up to this many names become an IN filter that Parquet can use for
-# row-group skipping; longer lists become a broadcast semi join.
-MAX_INLINE_NAMES = 1_000
-# Driver-side lists are broadcast only up to this size; beyond it the semi
-# join is left to the planner (shuffle, or AQE's runtime broadcast check).
-MAX_BROADCAST_NAMES = 200_000
-
 
 def rollup(df: DataFrame, keys: Sequence[str | Column], aggs: Sequence[Column],
            order_by: Sequence[Column] | None = None, k: int | None = None,
@@ -37,6 +33,32 @@ def rollup(df: DataFrame, keys: Sequence[str | Column], aggs: Sequence[Column],
     return out
 
 
+def with_lists(top: DataFrame, rows: DataFrame, keys: dict[str, str], lists: dict[str, str],
+               all_groups: bool) -> DataFrame:
+    """Add the concatenated distinct values of ``rows`` (alias -> column) to
+    the groups in ``top``, whose key columns ``keys`` maps to those of rows.
+
+    The lists are built for the groups of ``top`` only, which a limit has made
+    few. With ``all_groups`` there is no such limit; then each list is made
+    from the distinct (group, value) pairs of its own, so no group ever holds
+    its lines.
+    """
+    names = list(keys)
+    same = lambda a, b: [a[k].eqNullSafe(b[f"__{k}"]) for k in names]
+    keyed = [F.col(c).alias(f"__{k}") for k, c in keys.items()]
+    if not all_groups:
+        wanted = top.select(*names)
+        rows = rows.join(wanted, [rows[c].eqNullSafe(wanted[k]) for k, c in keys.items()], "left_semi")
+        parts = [rows.groupBy(*keyed).agg(*(M.concat_distinct(c, a) for a, c in lists.items()))]
+    else:
+        parts = [rows.select(*keyed, F.col(c).alias(a)).distinct().groupBy(*(f"__{k}" for k in names)).agg(M.concat_distinct(a, a))
+                 for a, c in lists.items()]
+    out = top
+    for part in parts:
+        out = out.join(part, same(out, part), "left").drop(*(f"__{k}" for k in names))
+    return out
+
+
 def desc(col: str) -> Column:
     return F.col(col).desc_nulls_last()
 
@@ -70,13 +92,7 @@ def keep_members(df: DataFrame, col: str, wl: Watchlist) -> DataFrame:
     """Rows whose ``col`` is an active watchlist name (a semi join)."""
     names = active_names(wl)
     if isinstance(names, list):
-        if len(names) <= MAX_INLINE_NAMES:
-            return df.filter(F.col(col).isin(names))
-        spark = df.sparkSession
-        names_df = spark.createDataFrame([(n,) for n in names], "name string")
-        if len(names) <= MAX_BROADCAST_NAMES:
-            names_df = F.broadcast(names_df)
-        return df.join(names_df, df[col] == names_df["name"], "left_semi")
+        return df.filter(F.col(col).isin(names))
     return df.join(names, df[col] == names["name"], "left_semi")
 
 
@@ -84,12 +100,7 @@ def member_flag(df: DataFrame, col: str, wl: Watchlist, alias: str) -> DataFrame
     """Adds boolean ``alias``: is ``col`` an active watchlist name."""
     names = active_names(wl)
     if isinstance(names, list):
-        if len(names) <= MAX_INLINE_NAMES:
-            return df.withColumn(alias, F.col(col).isin(names) if names else F.lit(False))
-        small = len(names) <= MAX_BROADCAST_NAMES
-        names = df.sparkSession.createDataFrame([(n,) for n in names], "name string")
-        if small:
-            names = F.broadcast(names)
+        return df.withColumn(alias, F.col(col).isin(names) if names else F.lit(False))
     flagged = names.select(F.col("name").alias("__wl_name"), F.lit(True).alias("__wl_hit"))
     out = df.join(flagged, df[col] == flagged["__wl_name"], "left")
     return out.withColumn(alias, F.coalesce(F.col("__wl_hit"), F.lit(False))) \

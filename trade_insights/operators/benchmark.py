@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.match import apply_filter, company_like, month_is
+from ..schema import MONEY
 from .base import Watchlist, by_then_keys, desc, keep_members, rollup
 
 
@@ -69,7 +70,7 @@ def market_share(e: DataFrame, company: str, month: str | None = None) -> DataFr
     sums = rows.agg(
         F.sum(F.when(company_like(company), F.col("fob_value"))).alias("c"),
         F.sum("fob_value").alias("m"))
-    c = M.money(F.coalesce(F.col("c"), F.lit(0).cast("decimal(18,2)")))
+    c = M.money(F.coalesce(F.col("c"), F.lit(0).cast(MONEY)))
     m = M.money(F.col("m"))
     share = F.round((c / m * F.lit(100.0)).cast("decimal(20,8)"), 2).cast("double")
     return sums.select(
@@ -80,10 +81,9 @@ def market_share(e: DataFrame, company: str, month: str | None = None) -> DataFr
 def company_rank(e: DataFrame, company: str, month: str | None = None) -> DataFrame:
     """1 + number of exporters whose total fob is strictly above the
     company's combined total (all matching names together)."""
-    rows = apply_filter(e, month_is(month))
-    company_total = rows.filter(company_like(company)).agg(
-        F.coalesce(F.sum("fob_value"), F.lit(0).cast("decimal(18,2)")).alias("t"))
-    per_exporter = rows.groupBy("exporter_name").agg(F.sum("fob_value").alias("t"))
+    per_exporter = apply_filter(e, month_is(month)).groupBy("exporter_name").agg(F.sum("fob_value").alias("t"))
+    company_total = per_exporter.filter(company_like(company)).agg(
+        F.coalesce(F.sum("t"), F.lit(0).cast(MONEY)).alias("t"))
     above = per_exporter.filter(F.col("t") > company_total.scalar())
     return above.agg((F.count(F.lit(1)) + F.lit(1)).alias("company_rank"))
 

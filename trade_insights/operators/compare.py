@@ -2,8 +2,9 @@
 
 Both months are read with one ``month_year IN (cur, prev)`` partition
 filter. Per-entity metrics are aggregated per (entity, month) in one pass and
-only then split and joined: the join sides hold one row per entity, never
-shipment lines.
+only then split and joined: the join sides hold one row per entity. New
+relationships come from one aggregation per pair over both months, with a flag
+for the month before; their product lists are built for the top k pairs only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.match import entity_is, months_in, role_column
-from .base import Watchlist, by_then_keys, desc, keep_members, rollup
+from .base import Watchlist, by_then_keys, desc, keep_members, rollup, with_lists
 
 COMPETITOR_METRICS = ["shipments", "total_fob", "total_qty", "products", "countries", "clients"]
 CLIENT_METRICS = ["shipments", "total_fob", "total_qty", "products", "suppliers"]
@@ -73,43 +74,47 @@ def client_month_comparison(e: DataFrame, wl: Watchlist, cur: str, prev: str) ->
 PAIR = ["consignee_name", "exporter_name"]
 
 
-def _new_pairs(cur_rows: DataFrame, prev_rows: DataFrame, k: int | None) -> DataFrame:
-    prev_pairs = prev_rows.select(*PAIR).distinct()
-    cond = [cur_rows[c].eqNullSafe(prev_pairs[c]) for c in PAIR]
-    fresh = cur_rows.join(prev_pairs, cond, "left_anti")
-    keys = [F.col("consignee_name").alias("client"), F.col("exporter_name").alias("new_supplier")]
-    return rollup(fresh, keys,
-                  [M.shipments("shipments"), M.fob_total(),
-                   M.concat_distinct("product_description", "products")],
-                  order_by=by_then_keys([desc("total_fob")], ["client", "new_supplier"]), k=k)
+def new_pairs(rows: DataFrame, cur: str, prev: str, aggs: list[Column], null_is_a_name: bool) -> DataFrame:
+    """Pairs with lines in ``cur`` but none in ``prev``, with ``aggs`` over
+    their lines of ``cur``; rows may hold both months. Where null is no name, a pair
+    with a null never counts as seen before."""
+    before = F.max(F.col("month_year") == F.lit(prev))
+    out = rows.filter(months_in(cur, prev)).groupBy(*PAIR).agg(
+        F.max(F.col("month_year") == F.lit(cur)).alias("__now"), before.alias("__before"), *aggs)
+    seen = F.col("__before")
+    if not null_is_a_name:
+        seen = seen & F.col(PAIR[0]).isNotNull() & F.col(PAIR[1]).isNotNull()
+    return out.filter(F.col("__now") & ~seen).drop("__now", "__before")
+
+
+def in_month(column: str, month: str) -> Column:
+    """The column for lines of the month, NULL for others."""
+    return F.when(F.col("month_year") == F.lit(month), F.col(column))
+
+
+def _new_pairs(rows: DataFrame, cur: str, prev: str, k: int | None, null_is_a_name: bool) -> DataFrame:
+    found = new_pairs(rows, cur, prev, [F.count_distinct(in_month("declaration_id", cur)).alias("shipments"),
+                                        M.money(F.sum(in_month("fob_value", cur))).alias("total_fob")], null_is_a_name)
+    found = found.withColumnsRenamed({"consignee_name": "client", "exporter_name": "new_supplier"})
+    order = by_then_keys([desc("total_fob")], ["client", "new_supplier"])
+    top = found.orderBy(*order) if k is None else found.orderBy(*order).limit(k)
+    keys = {"client": "consignee_name", "new_supplier": "exporter_name"}
+    return with_lists(top, rows.filter(F.col("month_year") == F.lit(cur)), keys,
+                      {"products": "product_description"}, k is None).orderBy(*order)
 
 
 def new_suppliers_to_tracked_clients(e: DataFrame, wl: Watchlist, cur: str, prev: str,
                                      k: int | None = 50) -> DataFrame:
     """M3: (tracked client, exporter) pairs present in ``cur`` but not ``prev``."""
-    rows = keep_members(e, "consignee_name", wl)
-    return _new_pairs(rows.filter(F.col("month_year") == cur),
-                      rows.filter(F.col("month_year") == prev), k)
+    return _new_pairs(keep_members(e, "consignee_name", wl), cur, prev, k, True)
 
 
 def new_relationships(e: DataFrame, cur: str, prev: str, k: int | None = 100,
                       require_names: bool = True) -> DataFrame:
-    """M4: all (consignee, exporter) pairs new in ``cur``; top k by fob.
-
-    The anti join runs on distinct pairs of the previous month; a side that
-    turns out small at runtime is broadcast by AQE, otherwise it is a
-    shuffled sort-merge anti join.
-    """
-    cur_rows = e.filter(F.col("month_year") == cur)
+    """M4: all (consignee, exporter) pairs new in ``cur``; top k by fob."""
     if require_names:
-        cur_rows = cur_rows.filter(F.col("consignee_name").isNotNull() & F.col("exporter_name").isNotNull())
-    prev_pairs = e.filter(F.col("month_year") == prev).select(*PAIR).distinct()
-    fresh = cur_rows.join(prev_pairs, PAIR, "left_anti")
-    keys = [F.col("consignee_name").alias("client"), F.col("exporter_name").alias("new_supplier")]
-    return rollup(fresh, keys,
-                  [M.shipments("shipments"), M.fob_total(),
-                   M.concat_distinct("product_description", "products")],
-                  order_by=by_then_keys([desc("total_fob")], ["client", "new_supplier"]), k=k)
+        e = e.filter(F.col("consignee_name").isNotNull() & F.col("exporter_name").isNotNull())
+    return _new_pairs(e, cur, prev, k, False)
 
 
 MONTH_ROW_COLUMNS = ["declaration_id", "shipment_date", "exporter_name", "consignee_name",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.match import company_like, not_placeholder_name
-from .base import by_then_keys, desc, rollup
+from .base import by_then_keys, desc, rollup, with_lists
 
 
 def _company_rows(e: DataFrame, company: str) -> DataFrame:
@@ -55,14 +55,15 @@ def prospective_clients(e: DataFrame, company: str, k: int | None = 100,
     aggs = [M.shipments("total_shipments"), M.fob_total()]
     if inr:
         aggs.append(M.fob_total_inr("total_fob_inr"))
-    aggs += [M.qty_total(), M.concat_distinct("hs_code", "hs_codes"),
-             M.concat_distinct("product_description", "products"),
-             M.concat_distinct("exporter_name", "current_suppliers")]
+    aggs.append(M.qty_total())
     out = rows.groupBy(*keys).agg(*aggs)
     if min_shipments is not None:
         out = out.filter(F.col("total_shipments") >= min_shipments)
-    out = out.orderBy(*by_then_keys([desc("total_fob")], keys))
-    return out.limit(k) if k is not None else out
+    order = by_then_keys([desc("total_fob")], keys)
+    if k is not None:
+        out = out.orderBy(*order).limit(k)
+    lists = {"hs_codes": "hs_code", "products": "product_description", "current_suppliers": "exporter_name"}
+    return with_lists(out, rows, {c: c for c in keys}, lists, k is None).orderBy(*order)
 
 
 def company_clients(e: DataFrame, company: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.match import all_of, entity_is, month_is
-from .base import Watchlist, asc, by_then_keys, desc, keep_members, rollup
+from ..functions.match import all_of, apply_filter, entity_is, month_is, months_in
+from .base import Watchlist, active_names, asc, by_then_keys, desc, keep_members, rollup, with_lists
 
 # ---------------------------------------------------------------- A1
 
@@ -35,7 +35,7 @@ def competitor_summary(e: DataFrame, wl: Watchlist, month: str | None = None) ->
         keep_members(e, "exporter_name", wl), ["exporter_name"],
         [M.shipments(), M.fob_total(), M.n_distinct("product_description", "product_count"),
          M.n_distinct("country_of_destination", "country_count"),
-         M.concat_distinct("data_type", "categories"),
+         M.categories("categories"),
          F.min("shipment_date").alias("first_shipment"),
          F.max("shipment_date").alias("last_shipment")],
         order_by=by_then_keys([desc("total_fob")], ["exporter_name"]),
@@ -55,7 +55,7 @@ def client_summary(e: DataFrame, wl: Watchlist, month: str | None = None) -> Dat
         keep_members(e, "consignee_name", wl), ["consignee_name"],
         [M.shipments(), M.fob_total(), M.n_distinct("product_description", "product_count"),
          M.n_distinct("exporter_name", "supplier_count"),
-         M.concat_distinct("data_type", "categories"),
+         M.categories("categories"),
          F.min("shipment_date").alias("first_shipment"),
          F.max("shipment_date").alias("last_shipment")],
         order_by=by_then_keys([desc("total_fob")], ["consignee_name"]),
@@ -68,25 +68,35 @@ def client_baseline(e: DataFrame, wl: Watchlist, compare_month: str) -> DataFram
                   [M.shipments(), M.fob_total()], where=month_is(compare_month))
 
 
-def with_trend(cur: DataFrame, base: DataFrame, key: str) -> DataFrame:
-    """Current rows + previous-month values + fob % change.
-
-    Both sides are one row per watchlist name, so the left join is small.
-    """
-    prev = base.select(F.col(key), F.col("shipment_count").alias("prev_shipment_count"),
-                       F.col("total_fob").alias("prev_total_fob"))
-    out = cur.join(prev, key, "left")
-    return out.withColumn("fob_change_pct", M.pct_change(F.col("total_fob"), F.col("prev_total_fob")))
+def _trend(e: DataFrame, wl: Watchlist, key: str, extra: list, month: str, compare_month: str) -> DataFrame:
+    """The current month's rows with the compare month's shipments and
+    fob and the fob % change, by fob. One scan of both months, aggregated per
+    name and month; the months then meet in a second, small aggregation."""
+    rows = keep_members(e, key, wl).filter(months_in(month, compare_month))
+    own = [M.shipments(), M.fob_total(), *extra, M.categories("categories"),
+           F.min("shipment_date").alias("first_shipment"), F.max("shipment_date").alias("last_shipment")]
+    per_month = rows.groupBy(key, "month_year").agg(*own)
+    of = lambda m, c: F.max(F.when(F.col("month_year") == F.lit(m), F.col(c)))
+    names = [c for c in per_month.columns if c not in (key, "month_year")]
+    out = per_month.groupBy(key).agg(
+        *[of(month, c).alias(c) for c in names],
+        of(compare_month, "shipment_count").alias("prev_shipment_count"),
+        of(compare_month, "total_fob").alias("prev_total_fob"))
+    return (out.filter(F.col("shipment_count").isNotNull())
+               .withColumn("fob_change_pct", M.pct_change(F.col("total_fob"), F.col("prev_total_fob")))
+               .orderBy(*by_then_keys([desc("total_fob")], [key])))
 
 
 def competitor_trend(e: DataFrame, wl: Watchlist, month: str, compare_month: str) -> DataFrame:
-    return with_trend(competitor_summary(e, wl, month), competitor_baseline(e, wl, compare_month),
-                      "exporter_name")
+    return _trend(e, wl, "exporter_name",
+                  [M.n_distinct("product_description", "product_count"),
+                   M.n_distinct("country_of_destination", "country_count")], month, compare_month)
 
 
 def client_trend(e: DataFrame, wl: Watchlist, month: str, compare_month: str) -> DataFrame:
-    return with_trend(client_summary(e, wl, month), client_baseline(e, wl, compare_month),
-                      "consignee_name")
+    return _trend(e, wl, "consignee_name",
+                  [M.n_distinct("product_description", "product_count"),
+                   M.n_distinct("exporter_name", "supplier_count")], month, compare_month)
 
 
 # ---------------------------------------------------------------- A6
@@ -102,19 +112,19 @@ def company_comparison(e: DataFrame, company: str, wl: Watchlist,
     true distinct counts per exporter instead. ``categories`` lists the
     exporter's categories by category fob, largest first.
     """
-    names = [company] + (list(wl) if not isinstance(wl, DataFrame) else [])
-    sub = keep_members(e, "exporter_name", names)
-    if isinstance(wl, DataFrame):
-        sub = sub.unionByName(keep_members(e, "exporter_name", wl)
-                              .filter(F.col("exporter_name") != F.lit(company.strip().upper())))
-    sub = sub if month is None else sub.filter(month_is(month))
     company_u = company.strip().upper()
+    if isinstance(wl, DataFrame):
+        own = e.sparkSession.createDataFrame([(company_u,)], "name string")
+        names = active_names(wl).unionByName(own).distinct()
+    else:
+        names = [company, *wl]
+    sub = apply_filter(keep_members(e, "exporter_name", names), month_is(month))
     if exact:
         out = sub.groupBy("exporter_name").agg(
             M.shipments(), M.fob_total(), M.n_distinct("product_description", "product_count"),
             M.n_distinct("country_of_destination", "country_count"),
             M.n_distinct("consignee_name", "client_count"),
-            M.concat_distinct("data_type", "categories"))
+            M.categories("categories"))
     else:
         per_cat = sub.groupBy("exporter_name", "data_type").agg(
             M.shipments(), M.fob_sum_exact().alias("cat_fob"),
@@ -192,9 +202,10 @@ def entity_monthly_trend(e: DataFrame, entity: str, role: str) -> DataFrame:
 def entity_suppliers(e: DataFrame, consignee: str, month: str | None = None,
                      k: int | None = 20) -> DataFrame:
     """A consignee's exporters with their distinct products; top k by fob."""
-    return rollup(_entity_rows(e, consignee, "consignee", month), ["exporter_name"],
-                  [M.shipments(), M.fob_total(), M.concat_distinct("product_description", "products")],
-                  order_by=by_then_keys([desc("total_fob")], ["exporter_name"]), k=k)
+    rows = _entity_rows(e, consignee, "consignee", month)
+    order = by_then_keys([desc("total_fob")], ["exporter_name"])
+    top = rollup(rows, ["exporter_name"], [M.shipments(), M.fob_total()], order_by=order, k=k)
+    return with_lists(top, rows, {"exporter_name": "exporter_name"}, {"products": "product_description"}, k is None).orderBy(*order)
 
 
 def entity_clients(e: DataFrame, exporter: str, month: str | None = None,
@@ -227,17 +238,49 @@ PAGE_COLUMNS = ["declaration_id", "exporter_name", "consignee_name", "product_de
                 "shipment_date", "month_year", "upload_batch", "created_at"]
 
 
+def _page_rows(e: DataFrame, entity: str, role: str, month: str | None) -> DataFrame:
+    return _entity_rows(e, entity, role, month).select(
+        *[M.money(F.col(c)).alias(c) if c == "fob_value" else F.col(c) for c in PAGE_COLUMNS])
+
+
+PAGE_ORDER = ["shipment_date", *[c for c in PAGE_COLUMNS if c != "shipment_date"]]
+
+
 def shipments_page(e: DataFrame, entity: str, role: str, month: str | None = None,
                    page: int = 1, limit: int = 50) -> DataFrame:
-    """One page of the entity's lines, newest first (LIMIT/OFFSET)."""
-    rows = _entity_rows(e, entity, role, month).select(
-        *[M.money(F.col(c)).alias(c) if c == "fob_value" else F.col(c) for c in PAGE_COLUMNS])
-    rest = [c for c in PAGE_COLUMNS if c != "shipment_date"]
-    ordered = rows.orderBy(*by_then_keys([desc("shipment_date")], rest))
+    """One page of the entity's lines, newest first (LIMIT/OFFSET). A
+    task keeps all rows up to the page's end; for deep pages use
+    ``shipments_after``."""
+    rows = _page_rows(e, entity, role, month)
+    ordered = rows.orderBy(*by_then_keys([desc("shipment_date")], PAGE_ORDER[1:]))
     offset = max(page - 1, 0) * limit
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
+def shipments_after(e: DataFrame, entity: str, role: str, last: dict | None, month: str | None = None,
+                    limit: int = 50) -> DataFrame:
+    """A15 by key: the page after the row ``last`` (a row of the page before,
+    as a dict; None for the first page). Any page costs the same: each task
+    keeps ``limit`` rows. Rows equal to ``last`` in all columns belong to its
+    page."""
+    rows = _page_rows(e, entity, role, month)
+    if last is not None:
+        later, equal = F.lit(False), F.lit(True)
+        for c in PAGE_ORDER:
+            value, kind = last[c], rows.schema[c].dataType
+            here = F.lit(value).cast(kind)
+            if value is None:
+                beyond, same = F.lit(False), F.col(c).isNull()
+            elif c == "shipment_date":
+                beyond, same = (F.col(c) < here) | F.col(c).isNull(), F.col(c) == here
+            else:
+                beyond, same = (F.col(c) > here) | F.col(c).isNull(), F.col(c) == here
+            later = later | (equal & beyond)
+            equal = equal & same
+        rows = rows.filter(F.coalesce(later, F.lit(False)))
+    return rows.orderBy(*by_then_keys([desc("shipment_date")], PAGE_ORDER[1:])).limit(limit)
+
+
 def shipments_total(e: DataFrame, entity: str, role: str, month: str | None = None) -> DataFrame:
     """A15 total: number of lines of the entity (one row)."""
     return _entity_rows(e, entity, role, month).agg(F.count(F.lit(1)).alias("total"))
@@ -285,8 +328,7 @@ def monthly_trends(e: DataFrame, entity: str | None = None, role: str | None = N
 
 def dashboard_summary(e: DataFrame, month: str | None = None, exact: bool = True) -> DataFrame:
     """One row of market totals (``exact=False``: approximate distinct counts)."""
-    rows = e if month is None else e.filter(month_is(month))
-    return rows.agg(M.shipments("total_shipments", exact), M.fob_total(),
+    return apply_filter(e, month_is(month)).agg(M.shipments("total_shipments", exact), M.fob_total(),
                     M.n_distinct("exporter_name", "unique_exporters", exact),
                     M.n_distinct("consignee_name", "unique_consignees", exact),
                     M.n_distinct("country_of_destination", "unique_countries", exact),

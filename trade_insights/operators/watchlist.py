@@ -14,6 +14,7 @@ from pyspark.sql import Window
 
 from ..functions import metrics as M
 from ..functions.match import like_any
+from ..functions.parse import trimmed
 from ..schema import WATCHLIST_SCHEMA
 from .base import Watchlist, by_then_keys, desc, member_flag
 
@@ -29,29 +30,39 @@ def active(wl: DataFrame) -> DataFrame:
     return wl.filter(F.col("active")).orderBy("name")
 
 
-def apply_changes(wl: DataFrame, adds: Sequence[str] = (), removes: Sequence[str] = ()
+def _requests(spark: SparkSession, names: "Sequence[str] | DataFrame") -> DataFrame:
+    """seq, given of the names as requested, in order."""
+    if isinstance(names, DataFrame):
+        return names.select("seq", "given")
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "seq long, given string")
+
+
+def apply_changes(wl: DataFrame, adds: "Sequence[str] | DataFrame" = (), removes: "Sequence[str] | DataFrame" = ()
                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Add names (trim + upper, blanks skipped) and soft-delete names.
 
-    Returns ``(new_watchlist, added, errors)``. A name already present —
-    even inactive — or repeated within ``adds`` is an error row
+    Names come as lists, or as DataFrames (seq, given) and (name). Returns
+    ``(new_watchlist, added, errors)``. A name already present — even
+    inactive — or repeated within ``adds`` is an error row
     ``(name, error='Already exists')`` carrying the name as given.
     """
-    spark = wl.sparkSession
-    req = spark.createDataFrame([(i, n) for i, n in enumerate(adds)], "seq long, given string")
-    req = req.filter(F.col("given").isNotNull() & (F.trim("given") != F.lit(""))) \
-             .withColumn("name", F.upper(F.trim("given")))
+    req = _requests(wl.sparkSession, adds)
+    req = req.withColumn("name", F.upper(trimmed(F.col("given")))).filter(F.col("name") != F.lit(""))
     first = F.row_number().over(Window.partitionBy("name").orderBy("seq"))
     req = req.withColumn("__first", first == 1)
     existing = wl.select("name")
     fresh = req.filter("__first").join(existing, "name", "left_anti")
-    added = fresh.select("name").orderBy(*[F.col("name")])
+    added = fresh.select("name").orderBy("name")
     errors = (req.join(fresh.select("seq"), "seq", "left_anti")
                  .select(F.col("given").alias("name"), F.lit(ALREADY_EXISTS).alias("error"), "seq")
                  .orderBy("seq").drop("seq"))
-    remove_names = [r.strip().upper() for r in removes if r and r.strip()]
-    kept = wl.withColumn("active", F.when(F.col("name").isin(remove_names), F.lit(False))
-                         .otherwise(F.col("active")))
+    if isinstance(removes, DataFrame):
+        gone = removes.select(F.upper(trimmed(F.col("name"))).alias("__gone")).distinct()
+        kept = (wl.join(gone, F.col("name") == F.col("__gone"), "left")
+                  .withColumn("active", F.col("active") & F.col("__gone").isNull()).drop("__gone"))
+    else:
+        remove_names = [r.strip().upper() for r in removes if r and r.strip()]
+        kept = wl.withColumn("active", F.col("active") & ~F.col("name").isin(remove_names))
     new_rows = fresh.select("name", F.current_timestamp().alias("created_at"),
                             F.lit(True).alias("active"))
     return kept.unionByName(new_rows), added, errors
@@ -75,10 +86,10 @@ def _search(e: DataFrame, col: str, q: str | None, wl: Watchlist, k: int, extra:
         rows = rows.filter(F.lit(False))
     elif words:
         rows = rows.filter(like_any(F.upper(F.col(col)), words))
+    order = by_then_keys([desc("shipment_count")], ["name"])
     top = (rows.groupBy(F.col(col).alias("name"))
-               .agg(M.lines("shipment_count"), M.fob_total(), *extra)
-               .orderBy(*by_then_keys([desc("shipment_count")], ["name"])).limit(k))
-    return member_flag(top, "name", wl, "already_tracked")
+               .agg(M.lines("shipment_count"), M.fob_total(), *extra).orderBy(*order).limit(k))
+    return member_flag(top, "name", wl, "already_tracked").orderBy(*order)
 
 
 def search_exporters(e: DataFrame, q: str | None, wl: Watchlist, k: int = 20) -> DataFrame:

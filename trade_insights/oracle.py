@@ -565,17 +565,55 @@ def _stored(category: str | None, batch: str) -> str:
     return "SELECT " + ", ".join(cols) + " FROM exports"
 
 
-SQL["ingest_accepted"] = with_view(_stored("fruits", "b1"))
+# The import files (sources/fixture.py): what a line becomes once it is read.
+_NO_ID, _UNDATED = "CAST(declaration_id AS BIGINT) % 89 = 0", "CAST(declaration_id AS BIGINT) % 97 = 0"
+# A generated id starts with the first 15 bytes of the exporter's cell.
+_CELL = "CASE WHEN CAST(quantity AS BIGINT) % 2 = 0 THEN exporter_name ELSE '  ' || lower(exporter_name) || ' ' || chr(9) END"
+_AUTO = f"'AUTO-' || to_base64(encode(substr({_CELL}, 1, 15)))"
+
+
+def _ingested(category: str, batch: str | None) -> str:
+    """Accepted rows: each line once, but lines that are never duplicates (no
+    date, or a generated id) a second time from the second upload."""
+    cells = {"declaration_id": f"CASE WHEN {_NO_ID} THEN {_AUTO} ELSE declaration_id END",
+             "fob_value": "CAST(fob_value AS DOUBLE)", "data_type": q(category), "product_category": q(category),
+             "shipment_date": f"CASE WHEN NOT ({_UNDATED}) THEN shipment_date END",
+             "month_year": f"CASE WHEN NOT ({_UNDATED}) THEN month_year END"}
+    if batch:
+        cells["upload_batch"] = q(batch)
+    names = [c for c in _STORED if batch or c != "upload_batch"]
+    one = "SELECT " + ", ".join(f"{cells.get(c, c)} AS {c}" for c in names) + " FROM exports"
+    two = "SELECT " + ", ".join(f"{q('SECOND PORT') if c == 'port_of_loading' else cells.get(c, c)} AS {c}" for c in names) + " FROM exports"
+    return f"{one} UNION ALL {two} WHERE quantity < 5 AND ({_NO_ID} OR {_UNDATED})"
+
+
+SQL["ingest_accepted"] = with_view(_ingested("fruits", "b1"))
+SQL["incremental_ingest"] = with_view(_ingested("fruits", None))
 SQL["dedup_exports"] = with_view(_stored(None, "fixture"))
 SQL["import_report"] = with_view(
-    "SELECT COUNT(*) + COUNT(*) FILTER (WHERE quantity < 5) + COUNT(*) FILTER (WHERE quantity > 45) "
-    "AS rows_processed, COUNT(*) AS inserted, "
-    "COUNT(*) FILTER (WHERE quantity < 5) + COUNT(*) FILTER (WHERE quantity > 45) AS skipped, "
-    "COUNT(*) FILTER (WHERE quantity > 45) AS no_id_count, 'vegetables' AS data_type, "
-    f"{q(','.join(RAW_HEADERS))} AS columns_found FROM exports")
-SQL["incremental_ingest"] = with_view(
-    "SELECT " + ", ".join(c for c in _stored("fruits", "x")[len("SELECT "):-len(" FROM exports")].split(", ")
-                          if not c.endswith("upload_batch")) + " FROM exports")
+    "SELECT 'b2' AS upload_batch, n + again + junk AS rows_processed, n + twice AS inserted, "
+    "again + junk - twice AS skipped, junk AS no_id_count, undated AS undated_count, "
+    "CAST(0 AS BIGINT) AS fob_overflow_count, 'vegetables' AS data_type FROM (SELECT COUNT(*) AS n, "
+    "COUNT(*) FILTER (WHERE quantity < 5) AS again, COUNT(*) FILTER (WHERE quantity > 45) AS junk, "
+    f"COUNT(*) FILTER (WHERE quantity < 5 AND ({_NO_ID} OR {_UNDATED})) AS twice, "
+    f"COUNT(*) FILTER (WHERE {_UNDATED}) + COUNT(*) FILTER (WHERE quantity < 5 AND {_UNDATED}) AS undated FROM exports)")
+
+# ---------------------------------------------------------------- watchlists (W1, W2), report read back
+_TRACKED = "SELECT upper(s_name) AS name, s_suppkey % 9 <> 0 AS active FROM supplier WHERE s_suppkey % 3 = 0"
+SQL["active_watchlist"] = f"SELECT name FROM ({_TRACKED}) WHERE active"
+_ADDS = "SELECT s_suppkey AS seq, ' ' || chr(9) || lower(s_name) AS given, upper(s_name) AS name FROM supplier WHERE s_suppkey % 2 = 0"
+_REMOVED = "SELECT upper(s_name) FROM supplier WHERE s_suppkey % 5 = 0"
+_FRESH = f"SELECT name, seq FROM ({_ADDS}) WHERE name NOT IN (SELECT name FROM ({_TRACKED}))"
+SQL["watchlist_after_changes"] = (f"SELECT name, active AND name NOT IN ({_REMOVED}) AS active FROM ({_TRACKED}) "
+                                  f"UNION ALL SELECT name, TRUE AS active FROM ({_FRESH})")
+SQL["watchlist_added"] = f"SELECT name FROM ({_FRESH})"
+SQL["watchlist_errors"] = f"SELECT given AS name, 'Already exists' AS error FROM ({_ADDS}) WHERE seq NOT IN (SELECT seq FROM ({_FRESH}))"
+SQL["written_report"] = SQL["export_benchmarking_companies"]
+for _name, _written in (("Total FOB (USD)", "Total_FOB_USD"), ("Total FOB (INR)", "Total_FOB_INR"), ("Total Quantity", "Total_Quantity")):
+    SQL["written_report"] = SQL["written_report"].replace(f'"{_name}"', f'"{_written}"')
+_ACTIVE = f"SELECT name FROM ({_TRACKED}) WHERE active"
+SQL["competitor_summary_table"] = SQL["competitor_summary"].replace(inlist(K.COMPETITORS), _ACTIVE)
+SQL["company_comparison_table"] = SQL["company_comparison"].replace(inlist([K.COMPANY, *K.COMPETITORS]), f"{_ACTIVE} UNION SELECT {q(K.COMPANY)}")
 
 
 # ---------------------------------------------------------------- display columns

@@ -56,11 +56,17 @@ def _type_label(pred) -> F.Column:
 def export_benchmarking(e: DataFrame, company: str, wl: Watchlist, month: str | None = None):
     """(a) company and competitors matched by LIKE %name% for every name,
     with type label and INR; (b) the company's clients and all their vendors."""
-    if isinstance(wl, DataFrame):
-        raise TypeError("export_benchmarking matches every name by LIKE %name%; pass the watchlist "
-                        "as a list of names (e.g. active names collected from the watchlist table)")
-    names = [company] + list(active_names(wl))
-    rows = apply_filter(e.filter(like_any(F.upper(F.col("exporter_name")), names)), month_is(month))
+    scan = apply_filter(e, month_is(month))
+    exporters = scan.select("exporter_name").distinct()
+    upper, watched = F.upper(F.col("exporter_name")), active_names(wl)
+    if isinstance(watched, DataFrame):
+        # the watchlist's names as one array value, tried on each distinct exporter
+        exporters = exporters.select("exporter_name", watched.agg(F.collect_list("name")).scalar().alias("__names"))
+        watched_too = F.exists("__names", lambda n: F.like(upper, F.concat(F.lit("%"), n, F.lit("%"))))
+        matched = exporters.filter(like_any(upper, [company]) | watched_too).select("exporter_name")
+    else:
+        matched = exporters.filter(like_any(upper, [company, *watched]))
+    rows = scan.join(matched, "exporter_name", "left_semi")
     companies = rows.groupBy("exporter_name").agg(
         M.shipments("Shipments"), M.fob_total("Total FOB (USD)"),
         M.fob_total_inr("Total FOB (INR)"), M.qty_total("Total Quantity"),
@@ -72,7 +78,7 @@ def export_benchmarking(e: DataFrame, company: str, wl: Watchlist, month: str |
         *[c for c in companies.columns if c != "exporter_name"]
     ).orderBy(*by_then_keys([desc("Total FOB (USD)")], ["Company"]))
 
-    scoped = apply_filter(e, month_is(month))
+    scoped = scan
     clients = (scoped.filter(company_like(company) & F.col("consignee_name").isNotNull()
                              & (F.col("consignee_name") != F.lit("")))
                .select("consignee_name").distinct())
@@ -109,10 +115,9 @@ def export_monthly_comparison(e: DataFrame, competitors: Watchlist, clients: Wat
     cli = cli.select(F.col("consignee_name").alias("Client"), F.col("month_year").alias("Month"),
                      "Shipments", "FOB (USD)", "FOB (INR)", "Quantity", "Suppliers") \
              .orderBy("Client", "Month")
-    cur_rows = e.filter(F.col("month_year") == cur)
-    prev_pairs = e.filter(F.col("month_year") == prev).select(*C.PAIR).distinct()
-    fresh = cur_rows.join(prev_pairs, C.PAIR, "left_anti").groupBy(*C.PAIR).agg(
-        M.shipments("Shipments"), M.fob_total("FOB (USD)"), M.fob_total_inr("FOB (INR)"))
+    fob = F.sum(C.in_month("fob_value", cur))
+    fresh = C.new_pairs(e, cur, prev, [F.count_distinct(C.in_month("declaration_id", cur)).alias("Shipments"),
+                                       M.money(fob).alias("FOB (USD)"), M.to_inr(fob, "FOB (INR)")], False)
     new_rel = fresh.select(F.col("consignee_name").alias("Client"),
                            F.col("exporter_name").alias("New Supplier"),
                            "Shipments", "FOB (USD)", "FOB (INR)") \
@@ -203,7 +208,7 @@ def export_entity_details(e: DataFrame, entity: str, role: str, month: str | Non
     s = rows.agg(M.shipments("n"), M.fob_sum_exact().alias("fob"), F.sum("quantity").alias("q"),
                  M.n_distinct("product_description", "p"), M.n_distinct("country_of_destination", "c"),
                  F.min("shipment_date").alias("first"), F.max("shipment_date").alias("last"))
-    zero = F.lit(0).cast("decimal(18,2)")
+    zero = F.lit(0).cast("decimal(28,2)")
     summary = s.select(
         F.lit(entity).alias("Entity"),
         F.lit(LABEL_COMPETITOR if role_column(role) == "exporter_name" else LABEL_CLIENT).alias("Type"),
@@ -293,5 +298,5 @@ def export_summary(e: DataFrame, month: str | None = None, exact: bool = True) -
         M.shipments("Shipments", exact), M.fob_total("Total FOB"),
         M.n_distinct("product_description", "Products", exact),
         M.n_distinct("country_of_destination", "Countries", exact),
-        M.n_distinct("consignee_name", "Clients", exact), M.concat_distinct("data_type", "Categories"))
+        M.n_distinct("consignee_name", "Clients", exact), M.categories( "Categories"))
     return out.orderBy(*by_then_keys([desc("Total FOB")], ["Exporter"]))

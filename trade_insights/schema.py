@@ -6,6 +6,9 @@ from decimal import Decimal
 
 from pyspark.sql import types as T
 
+# Type of money amounts: sums of any number of them fit a DECIMAL(38,2).
+MONEY = "decimal(28,2)"
+
 # Canonical shipment-line table. One row per declaration line; a "shipment"
 # is a distinct declaration_id. Missing text is '' (never NULL) after ingest.
 EXPORTS_SCHEMA = T.StructType([
@@ -18,7 +21,7 @@ EXPORTS_SCHEMA = T.StructType([
     T.StructField("hs_code", T.StringType(), True),
     T.StructField("quantity", T.DoubleType(), True),
     T.StructField("unit", T.StringType(), True),
-    T.StructField("fob_value", T.DecimalType(18, 2), True),
+    T.StructField("fob_value", T.DecimalType(28, 2), True),
     T.StructField("fob_currency", T.StringType(), True),
     T.StructField("port_of_loading", T.StringType(), True),
     T.StructField("port_of_discharge", T.StringType(), True),

@@ -7,6 +7,7 @@ exists for tests and the benchmark only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,8 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder the cluster names for checkpoints.
 
     On a cluster ``spark.checkpoint.dir`` (or ``SparkContext.setCheckpointDir``)
-    names a folder every executor can reach; we use it as is. Only when it is
-    unset — local runs and tests — do we create a private folder.
+    names a folder every executor can reach; we use it as is. Where it is
+    unset, a local master gets a private folder, and any other raises, since
+    its executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="trade_insights-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from ..schema import EXPORT_COLUMNS
+from ..schema import EXPORT_COLUMNS, MONEY
 from ..session import work_dir
 
 FIXTURE_BATCH = "fixture"
@@ -69,7 +69,7 @@ def exports_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string")).alias("hs_code"),
         F.col("l_quantity").cast("double").alias("quantity"),
         F.lit("KGS").alias("unit"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("fob_value"),
+        F.col("l_extendedprice").cast(MONEY).alias("fob_value"),
         F.lit("USD").alias("fob_currency"),
         F.col("sn_name").alias("port_of_loading"),
         F.concat(F.col("r_name"), F.lit(" / "), F.col("c_mktsegment")).alias("port_of_discharge"),
@@ -83,32 +83,44 @@ def exports_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*EXPORT_COLUMNS)
 
 
-# Header row of the stand-in import sheet built from the test tables.
+# Header rows of the two stand-in import files built from the test tables.
 RAW_HEADERS = ["SB No", "Exporter Name", "Shipper", "Buyer", "Item Description", "HS", "Qty",
                "UOM", "FOB (USD)", "Currency", "Port", "POD", "Destination Country", "SB Date"]
+SECOND_HEADERS = ["SB Date", "Buyer", *[h for h in RAW_HEADERS if h not in ("SB Date", "Buyer")]]
 
+# What the second upload says in a column that is not part of the key.
+SECOND_PORT = "SECOND PORT"
 
-def raw_import_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An import sheet as a customs export file would look: loose headers,
-    text cells ('23.0 KGS', '$68,423.46', '6/5/1998', day serials), names
-    padded and lower-cased, some lines uploaded twice (quantity < 5) and a
-    junk row with no identifying cell for lines with quantity > 45.
+# Date layouts by declaration number modulo 12; a day serial for 0.
+DATE_LAYOUTS = {1: "M/d/yyyy", 2: "yyyy-MM-dd", 3: "yyyy-MM-dd HH:mm:ss", 4: "yyyy/MM/dd", 5: "M/d/yy", 6: "M/d/yyyy H:mm",
+                7: "dd-MMM-yy", 8: "d MMM yyyy", 9: "MMM d, yyyy", 10: "dd-MMMM-yyyy", 11: "yyyy-MM-dd'T'HH:mm:ss"}
+UNDATED_EVERY, NO_ID_EVERY = 97, 89
+
+
+def raw_import_from_tpch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two import sheets as customs export files would look: loose headers in
+    two orders, text cells ('23.0 KGS', '$68,423.46', dates in many layouts,
+    day serials), names padded with blanks, tabs and no-break spaces and
+    lower-cased, lines without a date and without a declaration number, a junk
+    row with no identifying cell for lines with quantity > 45, and in the
+    second file the lines with quantity < 5 again, with another port.
 
     Only renders rows; all parsing, matching and dedup is the ingest job's.
     """
     lines = exports_from_tpch(spark, sf_dir)
-    d = F.col("shipment_date")
-    date_cell = (F.when(F.col("declaration_id").cast("long") % 3 == 0,
-                        F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string"))
-                 .when(F.col("declaration_id").cast("long") % 3 == 1, F.date_format(d, "M/d/yyyy"))
-                 .otherwise(F.date_format(d, "yyyy-MM-dd")))
+    number, d = F.col("declaration_id").cast("long"), F.col("shipment_date")
+    date_cell = F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")
+    for k, layout in DATE_LAYOUTS.items():
+        date_cell = F.when(number % 12 == k, F.date_format(d.cast("timestamp") + F.expr("INTERVAL 13 HOURS 5 MINUTES"), layout)).otherwise(date_cell)
+    date_cell = F.when(number % 12 == 2, F.concat(F.lit("\t"), date_cell)).otherwise(date_cell)
+    date_cell = F.when(number % UNDATED_EVERY == 0, F.lit("not known")).otherwise(date_cell)
     qty_cell = F.concat(F.col("quantity").cast("string"), F.lit(" KGS"))
     sheet = lines.select(
-        F.col("declaration_id").alias("SB No"),
+        F.when(number % NO_ID_EVERY == 0, F.lit("\u00a0")).otherwise(F.concat(F.col("declaration_id"), F.lit("\t"))).alias("SB No"),
         F.when(F.col("quantity").cast("long") % 2 == 0, F.col("exporter_name"))
-         .otherwise(F.lit("")).alias("Exporter Name"),
-        F.concat(F.lit("  "), F.lower("exporter_name"), F.lit(" ")).alias("Shipper"),
-        F.col("consignee_name").alias("Buyer"),
+         .otherwise(F.lit("\t\u00a0")).alias("Exporter Name"),
+        F.concat(F.lit("  "), F.lower("exporter_name"), F.lit(" \t")).alias("Shipper"),
+        F.concat(F.lit("\u00a0"), F.col("consignee_name"), F.lit("\t")).alias("Buyer"),
         F.col("product_description").alias("Item Description"),
         F.col("hs_code").alias("HS"),
         qty_cell.alias("Qty"),
@@ -121,26 +133,29 @@ def raw_import_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
         date_cell.alias("SB Date"),
         F.col("quantity"),
     )
-    again = sheet.filter(F.col("quantity") < 5)
+    again = sheet.filter(F.col("quantity") < 5).withColumn("Port", F.lit(SECOND_PORT))
     blank = F.lit("")
     # Junk rows keep only cells no identity field can match, not even through
     # the header matcher's substring phase ('Port' would match 'exporter').
     junk = sheet.filter(F.col("quantity") > 45).select(
         *[(F.col(h) if h == "Qty" else F.lit("USD") if h == "Currency" else blank).alias(h)
           for h in RAW_HEADERS], "quantity")
-    return sheet.unionByName(again).unionByName(junk).drop("quantity")
+    return sheet.unionByName(junk).select(*RAW_HEADERS), again.select(*SECOND_HEADERS)
 
 
 _SHEETS: dict[tuple[str, str], str] = {}
 
 
 def raw_import_file(spark: SparkSession, sf_dir: str) -> str:
-    """The stand-in sheet written once per session as a CSV upload (header
-    row, one file per task) in the shared checkpoint folder; returns its path."""
+    """The stand-in sheets written once per session as CSV uploads (header
+    row, one file per task, the first upload's folder first by name) in the
+    shared checkpoint folder; returns the folder that holds both."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     path = _SHEETS.get(key)
     if path is None:
         path = work_dir(spark, f"raw-import-{uuid.uuid4().hex[:12]}")
-        raw_import_from_tpch(spark, sf_dir).write.option("header", True).csv(path)
+        for name, sheet in zip(("first", "second"), raw_import_from_tpch(spark, sf_dir)):
+            (sheet.write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+                  .option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{name}"))
         _SHEETS[key] = path
     return path

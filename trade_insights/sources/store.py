@@ -18,7 +18,10 @@ from __future__ import annotations
 
 import uuid
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import EXPORTS_SCHEMA, PARTITION_COLUMNS
 from ..session import work_dir
@@ -30,18 +33,53 @@ def _layout(df: DataFrame) -> DataFrame:
               .sortWithinPartitions("month_year", "upload_batch", "exporter_name"))
 
 
-def write_exports(df: DataFrame, path: str) -> None:
+def _files(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this job has written."""
+    fs, there = _files(spark, path)
+    fs.delete(there, True)
+
+
+def store_exists(spark: SparkSession, path: str) -> bool:
+    fs, there = _files(spark, path)
+    return fs.exists(there)
+
+
+def _partitions(spark: SparkSession, path: str, batches: list[str]) -> dict[tuple, str]:
+    """The partition folders of the batches, by (month, batch)."""
+    if not store_exists(spark, path):
+        return {}
+    rows = (read_exports(spark, path).filter(F.col("upload_batch").isin(batches))
+            .select(*PARTITION_COLUMNS, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")).distinct().collect())
+    return {(r.month_year, r.upload_batch): unquote(r.folder) for r in rows}
+
+
+def write_exports(df: DataFrame, path: str, replaced: list[str] | None = None) -> None:
     """Write (or re-write) the batches contained in ``df`` into the store.
 
     Dynamic partition overwrite: partitions of other batches are untouched,
     partitions of the batches in ``df`` are replaced, so writing a retried
-    batch twice leaves the table as if it were written once.
+    batch twice leaves the table as if it were written once. Of the batches in
+    ``replaced`` the partitions of other months than those of ``df`` are
+    removed after the write, so a corrected file leaves none of its old rows.
     """
+    spark = df.sparkSession
+    stale = _partitions(spark, path, replaced) if replaced else {}
     (_layout(df).write
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITION_COLUMNS)
         .parquet(path))
+    if stale:
+        # the months that the written batches have: a few for each of them
+        kept = {(r.month_year, r.upload_batch) for r in df.select(*PARTITION_COLUMNS).distinct().collect()}
+        for key, folder in stale.items():
+            if key not in kept:
+                delete_folder(spark, folder)
 
 
 def read_exports(spark: SparkSession, path: str) -> DataFrame:

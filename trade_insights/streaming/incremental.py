@@ -2,13 +2,14 @@
 
 A file-source stream lists new files in the drop folder (``binaryFile``
 format, only the ``path`` column is selected, so contents are not read by the
-stream itself). Each micro-batch hands its new paths to ``foreachBatch``,
-which runs the batch ingest (S1-S15) once per file, in path order: every file
-is one upload, exactly like the upload endpoint.
+stream itself). Each micro-batch hands its new paths, at most
+``max_files_per_trigger`` of them, to ``foreachBatch``, which ingests them all
+in one plan (S1-S15): every file is one upload batch, exactly like the upload
+endpoint, and the earlier file's row stays where two files hold the same one.
 
 Exactly-once result under at-least-once delivery: the upload batch id is
-derived from the file path (not the clock), the batch's own earlier rows are
-excluded from the dedup and its partitions are overwritten, so a replayed
+derived from the file path (not the clock), the batches' own earlier rows are
+left out of the dedup and what the store holds of them is replaced, so a replayed
 micro-batch leaves the store as if it ran once. Progress is tracked in the
 stream checkpoint, so a restarted job only sees files it has not finished.
 """
@@ -19,12 +20,16 @@ import hashlib
 import os
 from typing import Callable
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 
-from ..operators.ingest import check_category, ingest_file
+from ..operators.ingest import check_category, ingest_files
 from ..schema import CATEGORIES
-from ..sources.store import read_exports
+from ..sources.store import read_exports, store_exists
+
+# Files that a trigger takes in at most, unless the caller says otherwise.
+MAX_FILES = 500
 
 
 # Fixed schema of the binaryFile source (a stream source needs it up front).
@@ -32,10 +37,11 @@ BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length LONG, cont
 
 
 def batch_id_for(path: str) -> str:
-    """Stable upload-batch id of a dropped file: name + short path hash."""
+    """Stable upload-batch id of a dropped file: the start of its name, for
+    readers, and the digest of its whole path, which tells files apart."""
     stem = os.path.splitext(os.path.basename(path.rstrip("/")))[0]
     safe = "".join(ch if ch.isalnum() or ch in "-_" else "_" for ch in stem)[:40]
-    return f"{safe}-{hashlib.sha1(path.encode()).hexdigest()[:10]}"
+    return f"{safe}-{hashlib.sha256(path.encode()).hexdigest()}"
 
 
 def category_from_folder(path: str) -> str:
@@ -44,36 +50,29 @@ def category_from_folder(path: str) -> str:
     return check_category(folder if folder in CATEGORIES else folder.lower())
 
 
-def store_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        read_exports(spark, path).schema
-        return True
-    except AnalysisException:
-        return False
-
-
 def incremental_ingest(spark: SparkSession, in_dir: str, checkpoint: str, store_path: str,
                        fmt: str = "csv", category_of: Callable[[str], str] = category_from_folder,
-                       max_files_per_trigger: int | None = None, available_now: bool = True,
+                       max_files_per_trigger: int = MAX_FILES, available_now: bool = True,
                        reports: list | None = None):
     """Start the stream; with ``available_now`` it processes every file
     present and stops. Returns the StreamingQuery. Per-file import reports
     are appended to ``reports`` when a list is given."""
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
               .option("pathGlobFilter", f"*.{fmt}")
-              .option("recursiveFileLookup", "true"))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    files = reader.load(in_dir).select("path")
+              .option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", str(max_files_per_trigger)))
+    files = reader.load(in_dir).select("_metadata.file_path")
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        # The new file paths of this trigger (metadata, bounded by the trigger size).
-        paths = sorted(r.path for r in batch.collect())
-        for p in paths:
-            rep = ingest_file(spark, p, fmt, category_of(p), batch_id_for(p), store_path,
-                              store_exists=store_exists(spark, store_path))
-            if reports is not None:
-                reports.append(rep.first().asDict())
+        # The new file paths of this trigger: metadata, bounded by max_files_per_trigger.
+        rows = [(f, category_of(unquote(f)), batch_id_for(unquote(f))) for f in sorted(r.file_path for r in batch.collect())]
+        if not rows:
+            return
+        paths = [unquote(f) for f, _, _ in rows]
+        own = spark.createDataFrame(rows, "source_file string, category string, batch_id string")
+        report = ingest_files(spark, paths, fmt, store_path, store_exists(spark, store_path), own)
+        if reports is not None:
+            reports.extend(r.asDict() for r in report.collect())
 
     writer = (files.writeStream.foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint))
