@@ -85,3 +85,14 @@ def test_scratch_folder_of_a_cluster_must_be_named(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_views_share_one_scan(exports):
+    from trade_insights.plans import report_views as V
+    views = (V.entity_details(exports, K.EXPORTER, "exporter"), V.monthly_comparison(exports, K.COMPETITORS, K.CLIENTS, K.CUR, K.PREV),
+             V.monthly_comparison_details(exports, K.EXPORTER, "exporter", K.CUR, K.PREV))
+    plain = (R.entity_products(exports, K.EXPORTER, "exporter"), C.new_relationships(exports, K.CUR, K.PREV), C.entity_month_products(exports, K.EXPORTER, "exporter", K.CUR, K.PREV))
+    for view, name, want in zip(views, ("products", "clients_new_suppliers", "products"), plain):
+        assert rows(view[name]) == rows(want)
+        for block in view.values():
+            assert "/view-" in block.inputFiles()[0] and not any("/exports-" in f for f in block.inputFiles())

@@ -1,22 +1,35 @@
 """Multi-block report views: the blocks one application screen shows,
 as ``dict[block name -> DataFrame]``.
 
-Each block is an independent lazy plan over the fact table (month partition
-filters and pushed entity filters apply to each); nothing is cached, so a
-block's cost is one pruned scan and a lost executor only re-runs tasks of
-the block in flight. Write a view with ``sources.sink.write_report``.
+A view over few of the table's lines (one entity, two months) first writes
+these lines to the shared checkpoint folder, in one pruned scan of the table,
+and its blocks read them from there. The other views' blocks are independent
+lazy plans over the table with their own filters. Nothing is cached, so a lost
+executor costs no more than the tasks in flight. Write a view with
+``sources.sink.write_report``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import Column, DataFrame
+
+from ..functions.match import entity_is, months_in
 from ..operators import benchmark as B
 from ..operators import compare as C
 from ..operators import custom as X
 from ..operators import intelligence as I
 from ..operators import reports as R
 from ..operators.base import Watchlist
+from ..session import work_dir
+
+
+def _subset(e: DataFrame, which: Column) -> DataFrame:
+    """The lines that a view's blocks share, written once and read back."""
+    path = work_dir(e.sparkSession, f"view-{uuid.uuid4().hex}")
+    e.filter(which).write.parquet(path)
+    return e.sparkSession.read.schema(e.schema).parquet(path)
 
 
 def dashboard(e: DataFrame, month: str | None = None) -> dict[str, DataFrame]:
@@ -45,7 +58,8 @@ def client_analysis(e: DataFrame, wl: Watchlist, month: str | None = None,
 
 
 def entity_details(e: DataFrame, entity: str, role: str, month: str | None = None) -> dict[str, DataFrame]:
-    """One exporter's or consignee's profile."""
+    """One exporter's or consignee's profile, from one scan."""
+    e = _subset(e, entity_is(entity, role))
     out = {"summary": R.entity_summary(e, entity, role, month),
            "products": R.entity_products(e, entity, role, month),
            "countries": R.entity_countries(e, entity, role, month),
@@ -68,7 +82,9 @@ def shipments(e: DataFrame, entity: str, role: str, month: str | None = None, pa
 
 def monthly_comparison(e: DataFrame, competitors: Watchlist, clients: Watchlist, cur: str,
                        prev: str) -> dict[str, DataFrame]:
-    """M1-M4: competitor and client comparison, new suppliers, new pairs."""
+    """M1-M4: competitor and client comparison, new suppliers, new pairs,
+    from one scan of the two months."""
+    e = _subset(e, months_in(cur, prev))
     return {"competitor_comparison": C.competitor_month_comparison(e, competitors, cur, prev),
             "client_comparison": C.client_month_comparison(e, clients, cur, prev),
             "new_suppliers_to_clients": C.new_suppliers_to_tracked_clients(e, clients, cur, prev),
@@ -77,7 +93,9 @@ def monthly_comparison(e: DataFrame, competitors: Watchlist, clients: Watchlist,
 
 def monthly_comparison_details(e: DataFrame, entity: str, role: str, cur: str,
                                prev: str) -> dict[str, DataFrame]:
-    """M5-M7: one entity's lines, products and countries in both months."""
+    """M5-M7: one entity's lines, products and countries in both months,
+    from one scan."""
+    e = _subset(e, entity_is(entity, role) & months_in(cur, prev))
     return {"rows": C.entity_month_rows(e, entity, role, cur, prev),
             "products": C.entity_month_products(e, entity, role, cur, prev),
             "countries": C.entity_month_countries(e, entity, role, cur, prev)}
