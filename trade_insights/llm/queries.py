@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, lines, mixing, near, quality, rules, substrings, suffixes, topk, warc
 from .common import table
+from .oracle import ORACLE  # noqa: F401
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,7 +43,7 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.joined(table(spark, sf_dir, "documents"))
+    return near.joined(table(spark, sf_dir, "documents")).drop("node")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,20 +55,3 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substrings, op2_topk, op3_suffixes, op4_lines, op5_near, op6_warc, op7_rules, op8_mix, op9_bpe, op10_quality)}
-ORACLE: dict[str, str] = {
-    "op6_warc": """
-        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
-        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to FROM m""",
-    "op2_topk": """
-        WITH v AS (
-            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        p AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
-        SELECT query_id, rank::INTEGER AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
-        WHERE rank <= 20""",
-}
