@@ -36,7 +36,8 @@ def test_a_table_gives_the_rows_of_a_list(spark, exports):
     table = as_table(spark, K.COMPETITORS)
     for report in (lambda w: R.competitor_summary(exports, w, K.CUR), lambda w: R.company_comparison(exports, K.COMPANY, w, K.CUR),
                    lambda w: R.competitor_trend(exports, w, K.CUR, K.PREV), lambda w: W.search_exporters(exports, K.SEARCH_EXPORTER_Q, w),
-                   lambda w: E.export_benchmarking(exports, K.COMPANY, w, K.CUR)["companies"]):
+                   lambda w: E.export_benchmarking(exports, K.COMPANY, w, K.CUR)["companies"],
+                   lambda w: E.export_company_comparison_rows(exports, K.COMPANY, w, K.CUR).orderBy("Company", "Declaration ID", "Product", "Quantity")):
         assert rows(report(table)) == rows(report(K.COMPETITORS))
 
 

@@ -88,6 +88,14 @@ def active_names(wl: Watchlist) -> list[str] | DataFrame:
     return out
 
 
+def with_company(e: DataFrame, company: str, wl: Watchlist) -> Watchlist:
+    """The watchlist with the company's own name, in the form it came in."""
+    if not isinstance(wl, DataFrame):
+        return [company, *wl]
+    own = e.sparkSession.createDataFrame([(norm_name(company),)], "name string")
+    return active_names(wl).unionByName(own).distinct()
+
+
 def keep_members(df: DataFrame, col: str, wl: Watchlist) -> DataFrame:
     """Rows whose ``col`` is an active watchlist name (a semi join)."""
     names = active_names(wl)

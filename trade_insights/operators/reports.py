@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.match import all_of, apply_filter, entity_is, month_is, months_in
-from .base import Watchlist, active_names, asc, by_then_keys, desc, keep_members, rollup, with_lists
+from .base import Watchlist, asc, by_then_keys, desc, keep_members, rollup, with_company, with_lists
 
 # ---------------------------------------------------------------- A1
 
@@ -113,12 +113,7 @@ def company_comparison(e: DataFrame, company: str, wl: Watchlist,
     exporter's categories by category fob, largest first.
     """
     company_u = company.strip().upper()
-    if isinstance(wl, DataFrame):
-        own = e.sparkSession.createDataFrame([(company_u,)], "name string")
-        names = active_names(wl).unionByName(own).distinct()
-    else:
-        names = [company, *wl]
-    sub = apply_filter(keep_members(e, "exporter_name", names), month_is(month))
+    sub = apply_filter(keep_members(e, "exporter_name", with_company(e, company, wl)), month_is(month))
     if exact:
         out = sub.groupBy("exporter_name").agg(
             M.shipments(), M.fob_total(), M.n_distinct("product_description", "product_count"),

@@ -20,7 +20,7 @@ from ..functions.match import (all_of, apply_filter, company_like, entity_is, li
 from ..operators import compare as C
 from ..operators import custom as X
 from ..operators import intelligence as I
-from ..operators.base import Watchlist, active_names, by_then_keys, desc, keep_members
+from ..operators.base import Watchlist, active_names, by_then_keys, desc, keep_members, with_company
 from ..schema import LABEL_CLIENT, LABEL_COMPETITOR, LABEL_OWN
 
 
@@ -276,11 +276,7 @@ def export_company_comparison_rows(e: DataFrame, company: str, wl: Watchlist,
                                    month: str | None = None) -> DataFrame:
     """12-column lines of the company and the tracked exporters (exact
     match), type label by equality; exporter, date desc."""
-    names = [company] + (list(wl) if not isinstance(wl, DataFrame) else [])
-    rows = apply_filter(keep_members(e, "exporter_name", names), month_is(month))
-    if isinstance(wl, DataFrame):
-        rows = rows.unionByName(apply_filter(keep_members(e, "exporter_name", wl), month_is(month))
-                                .filter(F.col("exporter_name") != F.lit(company.strip().upper())))
+    rows = apply_filter(keep_members(e, "exporter_name", with_company(e, company, wl)), month_is(month))
     cols = [("exporter_name", "Company"), ("declaration_id", "Declaration ID"),
             ("consignee_name", "Client"), *_ROW_TAIL,
             ("country_of_destination", "Country"), ("shipment_date", "Shipment Date")]
