@@ -11,6 +11,7 @@ words are removed.
 
 A key that recurs more than ``HOT`` times has its extensions dealt out and
 aggregated one by one, so no task holds a group that grows with the corpus.
+Windows are equal if the 64-bit hashes of both anchor and window are.
 
 Null, empty and blank texts have no words; texts of fewer than 20 words lose
 none. Rows that agree in doc_id and text are one document (neither is earlier)

@@ -12,7 +12,9 @@ corpus: strings of one offset, sorted by dictionary suffix and parse, are
 neighbours if they are equal. Equal strings are marked wherever they occur.
 
 A start that recurs more than ``HOT`` times has its strings dealt out and
-counted one by one, so no task holds a group that grows with the corpus. Equal
+counted one by one (by the 64-bit hashes of start and string; elsewhere the
+bytes themselves are compared), so no task holds a group that grows with the
+corpus. Equal
 texts are one text here; all of it recurs if it is long enough.
 
 Null and empty texts have no bytes; shorter texts than 200 bytes lose none.
