@@ -14,6 +14,7 @@ have the name of an output column, which replaces them.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import struct
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, small_pieces
+from .common import arrow_pass, held, small_pieces
 
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_MERGE = 1 << 60
+ID_BITS = 20
+ID_MASK = (1 << ID_BITS) - 1
 #: Pieces in each of the two generations whose ids a worker keeps.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 #: Longer pieces are not kept.
 KEPT_LENGTH = 64
 
@@ -64,10 +67,11 @@ class Bpe(dict):
         model, letters = spec["model"], byte_letters()
         vocab: dict[str, int] = model["vocab"]
         self.byte_ids = [vocab[c] for c in letters]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        #: rank << ID_BITS | id of the merged token, by pair of ids
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.merges[vocab[a] << ID_BITS | vocab[b]] = rank << ID_BITS | vocab[a + b]
         of_letter = {c: b for b, c in enumerate(letters)}
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         size = max([*vocab.values(), *self.added.values()]) + 1
@@ -92,51 +96,50 @@ class Bpe(dict):
         return ids
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
+        """Ids of one piece. A leaf holds rank and result of the pair that
+        starts there, a node the lower of its children."""
         ids = [self.byte_ids[b] for b in piece]
-        m, ranks = len(ids), self.ranks
+        m, found = len(ids), self.merges.get
         if m < 2:
             return ids
-        none = (NO_MERGE, 0)
-        pairs = [ranks.get(p, none) for p in zip(ids, ids[1:])]
-        leaves = 1 << (m - 2).bit_length() if m > 2 else 1
-        tree = [NO_MERGE] * (2 * leaves)
-        tree[leaves : leaves + m - 1] = [p[0] for p in pairs]
+        leaves = 1 << (m - 2).bit_length()
+        tree = [NO_MERGE] * leaves + [found(a << ID_BITS | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
+        tree += [NO_MERGE] * (2 * leaves - len(tree))
         for node in range(leaves - 1, 0, -1):
             a, b = tree[2 * node], tree[2 * node + 1]
-            tree[node] = a if a <= b else b
+            tree[node] = a if a < b else b
         after, before = list(range(1, m + 1)), list(range(-1, m - 1))
-        pairs.append(none)
-
-        def put(i: int, pair: tuple[int, int]) -> None:
-            pairs[i] = pair
-            node = leaves + i
-            tree[node] = pair[0]
-            while node > 1:
-                a, b, node = tree[node], tree[node ^ 1], node >> 1
-                low = a if a <= b else b
-                if tree[node] == low:
-                    break
-                tree[node] = low
-
-        while tree[1] != NO_MERGE:
+        while (low := tree[1]) != NO_MERGE:
             node = 1
             while node < leaves:
                 node *= 2
-                if tree[node + 1] < tree[node]:
+                if tree[node] != low:
                     node += 1
             i = node - leaves
-            j = after[i]
-            ids[i], ids[j] = pairs[i][1], -1
+            new = low & ID_MASK
+            j, h = after[i], before[i]
             k = after[i] = after[j]
+            ids[i], ids[j] = new, -1
+            put = [(j + leaves, NO_MERGE)] if j < m - 1 else []
             if k < m:
                 before[k] = i
-            if j < m - 1:
-                put(j, none)
-            put(i, ranks.get((ids[i], ids[k]), none) if k < m else none)
-            h = before[i]
+                put.append((i + leaves, found(new << ID_BITS | ids[k], NO_MERGE)))
+            else:
+                put.append((i + leaves, NO_MERGE))
             if h >= 0:
-                put(h, ranks.get((ids[h], ids[i]), none))
+                put.append((h + leaves, found(ids[h] << ID_BITS | new, NO_MERGE)))
+            for node, value in put:
+                if tree[node] != value:
+                    tree[node] = value
+                    node >>= 1
+                    while node:
+                        a, b = tree[2 * node], tree[2 * node + 1]
+                        if b < a:
+                            a = b
+                        if tree[node] == a:
+                            break
+                        tree[node] = a
+                        node >>= 1
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -156,11 +159,22 @@ class Bpe(dict):
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
-def loaded(path: str) -> Bpe:
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
+def loaded(path: str) -> Bpe:
+    """The coder that this worker keeps while its tasks encode or decode."""
+    held[__name__] = _free
+    return _loaded(path)
+
+
+def _free() -> None:
+    _loaded.cache_clear()
+    gc.collect()
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the column ``ids`` (array of int) of the ids of ``text``."""
     kept = [c for c in docs.columns if c != ids]

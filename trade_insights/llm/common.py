@@ -56,10 +56,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: In a Python worker: how to free the tables that operators keep between its
+#: tasks, by module.
+held: dict[str, Callable[[], None]] = {}
+
+
+def free_others(own: str) -> None:
+    for module in [m for m in held if m != own]:
+        held.pop(module)()
+
+
 def arrow_pass(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers. Spark uses
+    a worker for one step after the other; what other operators have kept in
+    it is freed first."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    own = getattr(run, "func", run).__module__
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_others(own)
+        yield from run(batches)
+
+    return df.mapInArrow(passed, schema)
 
 
 def small_pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
