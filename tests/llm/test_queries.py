@@ -1,6 +1,7 @@
 import re
 
-from trade_insights.llm.common import sorted_groups
+from trade_insights.llm.common import clear, scratch, sorted_groups, stored
+from trade_insights.sources.store import store_exists
 from trade_insights.llm.oracle import ORACLE
 from trade_insights.llm.queries import QUERIES
 
@@ -17,6 +18,14 @@ def test_ten_queries_and_the_pipeline():
     assert {*QUERIES, "pipeline"} <= set(queries())
 
 
+def test_clear_removes_the_tables_of_this_application(spark):
+    df = stored(spark.range(5), "test")
+    assert df.count() == 5 and store_exists(spark, scratch(spark))
+    clear(spark)
+    assert not store_exists(spark, scratch(spark))
+    assert stored(spark.range(5), "test").count() == 5
+
+
 @pytest.mark.parametrize("rows", [1, 3, 100])
 @pytest.mark.parametrize("cuts", [[], [1], [2, 5], [1, 2, 3, 4, 5, 6, 7], [0, 3, 3, 8]])
 def test_sorted_groups_hold_whole_groups(rows, cuts):

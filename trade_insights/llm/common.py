@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
+from ..sources.store import delete_folder
 
 #: The words of the contracts: runs of anything but these six ASCII blanks.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -26,13 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str = "") -> str:
+    """A new folder for a table, or the one that holds all tables of this
+    application, below the shared checkpoint folder."""
+    own = work_dir(spark, f"llm/{spark.sparkContext.applicationId}")
+    return f"{own}/{name}-{uuid.uuid4().hex}" if name else own
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that the operators have written in this application.
+    Their results read them, so this comes after the last use of a result."""
+    delete_folder(spark, scratch(spark))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps read to a new folder below the
     cluster's shared checkpoint folder, and read it back: the lineage ends
     there, and a lost executor costs no recomputation. The driver's garbage is
     collected, which lets Spark remove the shuffle files of the finished step."""
     spark = df.sparkSession
-    path = work_dir(spark, f"llm/{name}-{uuid.uuid4().hex}")
+    path = scratch(spark, name)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -34,8 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import work_dir
-from .common import arrow_pass, as_bytes, small_pieces, stored
+from .common import arrow_pass, as_bytes, scratch, small_pieces, stored
 
 MIN_REVISIT = 1000
 KEY_HEADER = "X-Page-Id"
@@ -262,7 +261,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each
     page: pages to ARC files, these converted to WARC archives, these read."""
     spark = pages.sparkSession
-    path = work_dir(spark, f"llm/warc-{uuid.uuid4().hex}")
+    path = scratch(spark, "warc")
     written(revisited(converted(arc_files(pages))), path)
     read = stored(read_back(spark, path), "warc-read")
     return resolved(read).select(F.col("key").alias("page_id"), "payload_bytes", F.col("sha1").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "digest_holds")
