@@ -45,3 +45,36 @@ def test_no_python_on_the_path(spark):
 
 def test_empty_table(spark):
     assert lines.cleaned(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def name(i):
+    return "".join(chr(97 + int(c)) for c in f"{i:04d}")
+
+
+def page(i, line):
+    return (i, "\n".join([" ".join(f"{name(i)}{name(k)}" for k in range(30)), line]))
+
+
+def left(spark, docs):
+    """Last lines of the documents that keep them."""
+    rows = lines.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    last = {i: t.split("\n")[-1] for i, t in docs}
+    assert all(r.n_lines == 2 and r.n_dropped in (0, 1) and not r.left_whole for r in rows)
+    return sorted(last[r.doc_id] for r in rows if not r.n_dropped)
+
+
+def test_two_templates_in_a_leaf(spark):
+    footers = ["Please read our terms before you use any part of this site", "Please read our news every morning and tell all friends about them"]
+    assert left(spark, [page(i, footers[i % 2]) for i in range(40)]) == []
+    # a field of words, no two of them alike, in either template
+    footers = ["Posted by user {} at noon in the large public reading room", "Posted by user {} who has left us many years ago already"]
+    assert left(spark, [page(i, footers[i % 2].format(name(i))) for i in range(40)]) == []
+
+
+def test_template_among_prose(spark):
+    prose = ["Please read our " + " ".join(f"{name(i)}{x}" for x in "klmnopqrs") for i in range(300)]
+    footer = "Please read our terms before you use any part of this site"
+    docs = [page(i, t) for i, t in enumerate([footer] * 20 + prose)]
+    assert left(spark, docs) == sorted(prose)
+    rare = "Please read our terms or leave this site now and for ever"
+    assert left(spark, [*docs, *(page(1000 + i, rare) for i in range(9))]) == sorted(prose + [rare] * 9)

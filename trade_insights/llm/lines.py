@@ -7,6 +7,13 @@ becomes variable otherwise; a line belongs to the leaf's template if at least
 ``SIMILAR`` of its tokens are the template's. Templates whose lines stand in
 ``MIN_DOCS`` documents or more recur, and their lines are dropped.
 
+A leaf holds further templates, since positions become variable where it mixes
+lines of several kinds or furniture and prose. Each of its lines keeps the
+tokens that recur at their position in the leaf; lines that keep the same ones
+and stand in ``MIN_DOCS`` documents make a template. A line belongs to it if
+``SIMILAR`` of its tokens, and of those after the leading ones, are the
+template's, or if it is the template itself.
+
 A document more than half of whose words stand in such lines is a copy of
 others rather than a page with furniture; it is left whole, as whole copies
 are the work of near-duplicate detection.
@@ -61,6 +68,41 @@ def _leaf(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= MIN_TOKENS, F.xxhash64(F.size(tokens), *(_masked(F.get(tokens, F.lit(i))) for i in range(LEAD))))
 
 
+def _equal(tokens: Column, template: Column) -> Column:
+    """Number of tokens that are the template's; a variable position has none."""
+    return F.size(F.filter(F.zip_with(tokens, template, lambda a, b: (a == b) & (b != VARIABLE)), lambda x: x))
+
+
+def _rest(tokens: Column) -> Column:
+    return F.slice(tokens, LEAD + 1, F.size(tokens) - LEAD)
+
+
+def _near(tokens: Column, template: Column) -> Column:
+    """Whether a line belongs to a further template of its leaf: as the leading
+    tokens are equal in all the leaf, the others must be similar by themselves."""
+    rest = _equal(_rest(tokens), _rest(template))
+    similar = (rest >= (F.size(tokens) - LEAD) * SIMILAR) | ((tokens == template) & (rest > 0))
+    return similar & (_equal(tokens, template) >= F.size(tokens) * SIMILAR)
+
+
+def _further(found: DataFrame, kinds: DataFrame, spots: DataFrame, min_docs: int) -> DataFrame:
+    """The further templates of each leaf: of each line, the tokens that stand
+    at their position in ``min_docs`` of the leaf's lines are constant, and
+    lines of equal constants make a template if they stand in ``min_docs``
+    documents."""
+    often = spots.where((F.col("n") >= min_docs) & (F.col("i") >= LEAD) & (F.col("token") != VARIABLE)).select("leaf", "i", "token")
+    constant = kinds.select("leaf", "line", F.posexplode("tokens").alias("i", "token")).join(often, ["leaf", "i", "token"], "left_semi")
+    constant = constant.groupBy("leaf", "line").agg(F.collect_list("i").alias("at"))
+    pattern = F.transform("tokens", lambda t, i: F.when((i < LEAD) | F.array_contains("at", i), t).otherwise(VARIABLE))
+    own = kinds.join(constant, ["leaf", "line"]).select("leaf", "line", "n", "tokens", _once(pattern, "pattern")).where(_near(F.col("tokens"), F.col("pattern")))
+    own = stored(own.select("leaf", "line", "n", "pattern", F.xxhash64("pattern").alias("kind")), "lines-patterns")
+    wanted = own.groupBy("leaf", "kind").agg(F.sum("n").alias("n"), F.first("pattern").alias("pattern")).where(F.col("n") >= min_docs)
+    wanted = stored(wanted.drop("n"), "lines-wanted")
+    at = found.select("leaf", "line", *KEY).join(own.join(wanted, ["leaf", "kind"], "left_semi").select("leaf", "line", "kind"), ["leaf", "line"])
+    enough = at.select("leaf", "kind", *KEY).distinct().groupBy("leaf", "kind").count().where(F.col("count") >= min_docs)
+    return wanted.join(enough, ["leaf", "kind"], "left_semi").groupBy("leaf").agg(F.collect_list("pattern").alias("further"))
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, digest and positions (from 0, in order) of the lines that
     recurring templates cover, with the words that stand in them."""
@@ -80,16 +122,19 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     found = stored(found, "lines-candidates")
     kinds = stored(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")), "lines-kinds")
     spots = kinds.select("leaf", "n", F.posexplode("tokens").alias("i", "token"))
-    spots = spots.groupBy("leaf", "i", "token").agg(F.sum("n").alias("n"))
+    spots = stored(spots.groupBy("leaf", "i", "token").agg(F.sum("n").alias("n")), "lines-spots")
+    further = stored(_further(found, kinds, spots, min_docs), "lines-further")
     spots = spots.groupBy("leaf", "i").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") >= F.col("all") * CONSTANT, F.col("top.token")).otherwise(F.lit(VARIABLE))
     templates = stored(spots.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", constant.alias("token")))).alias("template")).select("leaf", F.col("template.token").alias("template")), "lines-templates")
-    equal = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: (a == b) & (b != VARIABLE)), lambda x: x))
-    member = stored(kinds.join(templates, "leaf").where(equal >= F.size("tokens") * SIMILAR).select("leaf", "line", F.size("tokens").alias("n_tokens")), "lines-members")
+    main = _equal(F.col("tokens"), F.col("template")) >= F.size("tokens") * SIMILAR
+    near = F.coalesce(F.exists("further", lambda x: _near(F.col("tokens"), x)), F.lit(False))
+    member = kinds.join(templates, "leaf").join(further, "leaf", "left").select("leaf", "line", F.size("tokens").alias("n_tokens"), main.alias("main"), near.alias("near"))
+    member = stored(member.where("main or near"), "lines-members")
     covered = found.drop("tokens").join(member, ["leaf", "line"])
-    wide = stored(covered.groupBy("leaf", *KEY).agg(F.collect_list("place").alias("places"), F.sum("n_tokens").alias("words")), "lines-covered")
-    enough = stored(wide.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "lines-recurring")
-    kept = wide.join(enough, "leaf", "left_semi")
+    wide = stored(covered.groupBy("leaf", "near", *KEY).agg(F.collect_list("place").alias("places"), F.sum("n_tokens").alias("words"), F.max("main").alias("main")), "lines-covered")
+    enough = stored(wide.where("main").select("leaf", *KEY).distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "lines-recurring")
+    kept = wide.where("near").unionByName(wide.where("not near").join(enough, "leaf", "left_semi").select(wide.columns))
     return kept.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.sum("words").alias("words_found"))
 
 
