@@ -78,3 +78,10 @@ def test_template_among_prose(spark):
     assert left(spark, docs) == sorted(prose)
     rare = "Please read our terms or leave this site now and for ever"
     assert left(spark, [*docs, *(page(1000 + i, rare) for i in range(9))]) == sorted(prose + [rare] * 9)
+
+
+def test_short_lines_with_a_common_start_stay(spark):
+    lines_ = [f"This is a {name(i)}" for i in range(12)] + [f"There was once {name(i)} {name(i + 50)}" for i in range(12)]
+    docs = [page(i, t) for i, t in enumerate(lines_)]
+    assert left(spark, docs) == sorted(lines_)
+    assert left(spark, [*docs, *(page(100 + i, "Here is our menu") for i in range(10))]) == sorted(lines_)

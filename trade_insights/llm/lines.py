@@ -4,7 +4,8 @@ Lines fall down a tree of fixed depth: by their number of tokens, then by their
 leading tokens, where a token with a digit is a variable field. In a leaf, a
 position keeps its token if ``CONSTANT`` of the leaf's lines have it there and
 becomes variable otherwise; a line belongs to the leaf's template if at least
-``SIMILAR`` of its tokens are the template's. Templates whose lines stand in
+``SIMILAR`` of its tokens are the template's, one beyond the leading tokens
+among them, since those are equal in all the leaf. Templates whose lines stand in
 ``MIN_DOCS`` documents or more recur, and their lines are dropped.
 
 A leaf holds further templates, since positions become variable where it mixes
@@ -127,7 +128,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     spots = spots.groupBy("leaf", "i").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") >= F.col("all") * CONSTANT, F.col("top.token")).otherwise(F.lit(VARIABLE))
     templates = stored(spots.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", constant.alias("token")))).alias("template")).select("leaf", F.col("template.token").alias("template")), "lines-templates")
-    main = _equal(F.col("tokens"), F.col("template")) >= F.size("tokens") * SIMILAR
+    main = (_equal(F.col("tokens"), F.col("template")) >= F.size("tokens") * SIMILAR) & (_equal(_rest(F.col("tokens")), _rest(F.col("template"))) > 0)
     near = F.coalesce(F.exists("further", lambda x: _near(F.col("tokens"), x)), F.lit(False))
     member = kinds.join(templates, "leaf").join(further, "leaf", "left").select("leaf", "line", F.size("tokens").alias("n_tokens"), main.alias("main"), near.alias("near"))
     member = stored(member.where("main or near"), "lines-members")
