@@ -67,3 +67,9 @@ def test_converted_records_read_back(spark, tmp_path):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(df).collect() == []
+
+
+def test_pages_with_urls_of_other_records(spark):
+    pages = [(1, "dns:x.example", "one"), (2, "filedesc://x.arc", "2 0 Org"), (3, "http://x.example/", "three"), (4, "filedesc://", "")]
+    rows = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.digest_holds) for r in rows) == [(i, len(t), hashlib.sha1(t.encode()).hexdigest(), True) for i, _, t in pages]

@@ -84,7 +84,7 @@ def unpacked(content: bytes) -> bytes:
 
 def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bool]]:
     """Offset, header fields, block and whether it is whole, of each record."""
-    content, at, fields = unpacked(content), 0, FIELDS["1"]
+    content, at, fields, first = unpacked(content), 0, FIELDS["1"], True
     while at < len(content):
         if content[at : at + 1] in b"\r\n":
             at += 1
@@ -92,7 +92,7 @@ def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bo
         end = content.find(b"\n", at)
         end = len(content) if end < 0 else end
         line = content[at:end].decode("utf-8", errors="replace").rstrip("\r")
-        if line.startswith("filedesc://"):
+        if first and line.startswith("filedesc://"):
             # the body's first line has the version, its second one the fields
             body = content[end + 1 :].split(b"\n", 2)
             fields = FIELDS.get(body[0].split(b" ")[0].decode(), FIELDS["1"])
@@ -101,7 +101,7 @@ def arc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bo
             raise ValueError(f"no header line of {len(fields)} fields at byte {at}: {line[:200]!r}")
         block = content[end + 1 : end + 1 + int(parts[-1])]
         yield at, dict(zip(fields, parts)), block, len(block) == int(parts[-1])
-        at = end + 1 + int(parts[-1])
+        at, first = end + 1 + int(parts[-1]), False
 
 
 def iso(date: str) -> str:
@@ -143,15 +143,15 @@ def converted(files: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 out: list[list] = [[] for _ in names]
                 name, size = b.column("name")[i].as_py() or "", 0
-                for at, fields, block, whole in arc_records(b.column("content")[i].as_py() or b""):
+                for k, (at, fields, block, whole) in enumerate(arc_records(b.column("content")[i].as_py() or b"")):
                     uri, kind, content_type, head, payload = fields["URL"], "resource", fields["Content-type"], b"", block
-                    if uri.startswith("filedesc://"):
+                    if k == 0 and uri.startswith("filedesc://"):
                         kind, content_type = "warcinfo", "application/warc-fields"
-                    elif uri.startswith("dns:"):
-                        kind, content_type = "response", "text/dns"
                     elif block.startswith(b"HTTP/"):
                         kind, content_type = "response", "application/http; msgtype=response"
                         head, payload = http_parts(block)
+                    elif uri.startswith("dns:"):
+                        kind, content_type = "response", "text/dns"
                     digest = sha1(payload)
                     row = (f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{at}')}>", kind, uri, iso(fields["Archive-date"]), fields["IP-address"], content_type, key_of(head), len(payload), *digest, sha1(block)[1], whole, head, payload)
                     for o, v in zip(out, row):
