@@ -115,6 +115,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK_RUN), "")
 
 
+def once(c: Column, name: str) -> Column:
+    """A column computed once for a row though expressions on it, lambdas too,
+    read it often: the optimiser does not move a generator's output."""
+    return F.inline(F.array(F.struct(c.alias(name))))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text without building them."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
