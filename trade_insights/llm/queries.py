@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, near, quality, rules, substrings, suffixes, topk, warc
+from . import alignment, bpe, fingerprints, lines, mixing, near, periodic, quality, rules, substrings, suffixes, topk, warc
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +55,17 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_topk, op3_suffixes, op4_lines, op5_near, op6_warc, op7_rules, op8_mix, op9_bpe, op10_quality)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), BPE_FILE, PIECE_FILE)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, of which one in ten repeats its own words."""
+    return periodic.digests(periodic.planted(table(spark, sf_dir, "documents"))).drop("n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_topk, op3_suffixes, op4_lines, op5_near, op6_warc, op7_rules, op8_mix, op9_bpe, op10_quality, op11_alignment, op12_fingerprints, op13_periodic)}
