@@ -22,7 +22,7 @@ from .operators import intelligence as I
 from .operators import reports as R
 from .operators import watchlist as W
 from .plans import report_sets as E
-from .sources import fixture_exports
+from .sources import Store, fixture_exports, fixture_store
 from .session import work_dir
 from .sources.fixture import raw_import_file, read_table
 from .sources.sink import write_report
@@ -58,11 +58,27 @@ def _q(fn) -> Query:
     return run
 
 
+def _s(fn) -> Query:
+    """A query on the store: its indexes, or its lines in the order it needs."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(fixture_store(spark, sf_dir))
+    return run
+
+
+def _c(fn) -> Query:
+    """A query by consignees, on the lines in their order."""
+    return _s(lambda s: fn(s.by_consignee))
+
+
+def _filtered(report, countries, exporters, consignees, *more) -> Query:
+    return _s(lambda s: report(X.stored_lines(s, countries, exporters, consignees), countries, exporters, consignees, *more))
+
+
 QUERIES: dict[str, Query] = {
     # ---- dashboard / breakdowns
     "months": _q(R.months),
-    "dashboard_summary": _q(lambda e: R.dashboard_summary(e)),
-    "dashboard_summary_month": _q(lambda e: R.dashboard_summary(e, CUR)),
+    "dashboard_summary": _s(R.dashboard_summary_stored),
+    "dashboard_summary_month": _s(lambda s: R.dashboard_summary_stored(s, CUR)),
     "dashboard_by_category": _q(lambda e: R.dashboard_by_category(e)),
     "dashboard_top_exporters": _q(lambda e: R.dashboard_top_exporters(e, CUR)),
     "dashboard_top_exporters_all": _q(lambda e: R.dashboard_top_exporters(e)),
@@ -72,48 +88,48 @@ QUERIES: dict[str, Query] = {
     "product_breakdown": _q(lambda e: R.product_breakdown(e)),
     "product_breakdown_entity": _q(lambda e: R.product_breakdown(e, EXPORTER, "exporter", CUR)),
     "country_breakdown": _q(lambda e: R.country_breakdown(e)),
-    "country_breakdown_entity": _q(lambda e: R.country_breakdown(e, CONSIGNEE, "consignee")),
-    "monthly_trends": _q(lambda e: R.monthly_trends(e)),
+    "country_breakdown_entity": _c(lambda e: R.country_breakdown(e, CONSIGNEE, "consignee")),
+    "monthly_trends": _s(R.monthly_trends_stored),
     "monthly_trends_entity": _q(lambda e: R.monthly_trends(e, EXPORTER, "exporter")),
     # ---- watchlist summaries
     "competitor_summary": _q(lambda e: R.competitor_summary(e, COMPETITORS, CUR)),
     "competitor_summary_all": _q(lambda e: R.competitor_summary(e, COMPETITORS)),
     "competitor_baseline": _q(lambda e: R.competitor_baseline(e, COMPETITORS, PREV)),
-    "client_summary": _q(lambda e: R.client_summary(e, CLIENTS, CUR)),
-    "client_baseline": _q(lambda e: R.client_baseline(e, CLIENTS, PREV)),
+    "client_summary": _c(lambda e: R.client_summary(e, CLIENTS, CUR)),
+    "client_baseline": _c(lambda e: R.client_baseline(e, CLIENTS, PREV)),
     "competitor_trend": _q(lambda e: R.competitor_trend(e, COMPETITORS, CUR, PREV)),
-    "client_trend": _q(lambda e: R.client_trend(e, CLIENTS, CUR, PREV)),
+    "client_trend": _c(lambda e: R.client_trend(e, CLIENTS, CUR, PREV)),
     "company_comparison": _q(lambda e: R.company_comparison(e, COMPANY, COMPETITORS, CUR)),
     "company_comparison_all": _q(lambda e: R.company_comparison(e, COMPANY, COMPETITORS)),
     # ---- entity detail
     "entity_summary": _q(lambda e: R.entity_summary(e, EXPORTER, "exporter", CUR)),
-    "entity_summary_consignee": _q(lambda e: R.entity_summary(e, CONSIGNEE, "consignee")),
+    "entity_summary_consignee": _c(lambda e: R.entity_summary(e, CONSIGNEE, "consignee")),
     "entity_products": _q(lambda e: R.entity_products(e, EXPORTER, "exporter")),
     "entity_countries": _q(lambda e: R.entity_countries(e, EXPORTER, "exporter")),
-    "entity_ports": _q(lambda e: R.entity_ports(e, CONSIGNEE, "consignee")),
+    "entity_ports": _c(lambda e: R.entity_ports(e, CONSIGNEE, "consignee")),
     "entity_monthly_trend": _q(lambda e: R.entity_monthly_trend(e, EXPORTER, "exporter")),
-    "entity_suppliers": _q(lambda e: R.entity_suppliers(e, CONSIGNEE)),
+    "entity_suppliers": _c(lambda e: R.entity_suppliers(e, CONSIGNEE)),
     "entity_clients": _q(lambda e: R.entity_clients(e, EXPORTER)),
     "entity_recent_shipments": _q(lambda e: R.entity_recent_shipments(e, EXPORTER, "exporter")),
     "shipments_page": _q(lambda e: R.shipments_page(e, EXPORTER, "exporter", page=2, limit=50)),
     "shipments_total": _q(lambda e: R.shipments_total(e, EXPORTER, "exporter")),
     # ---- intelligence
-    "company_products": _q(lambda e: I.company_products(e, COMPANY)),
+    "company_products": _s(lambda s: I.company_products(X.company_lines(s, COMPANY), COMPANY)),
     "prospective_clients": _q(lambda e: I.prospective_clients(e, COMPANY)),
-    "company_clients": _q(lambda e: I.company_clients(e, COMPANY)),
-    "company_hs_codes": _q(lambda e: I.company_hs_codes(e, COMPANY)),
+    "company_clients": _s(lambda s: I.company_clients(X.company_lines(s, COMPANY), COMPANY)),
+    "company_hs_codes": _s(lambda s: I.company_hs_codes(X.company_lines(s, COMPANY), COMPANY)),
     "cross_sell": _q(lambda e: I.cross_sell(e, COMPANY)),
     # ---- month comparison (M1-M7)
     "competitor_month_comparison": _q(lambda e: C.competitor_month_comparison(e, COMPETITORS, CUR, PREV)),
-    "client_month_comparison": _q(lambda e: C.client_month_comparison(e, CLIENTS, CUR, PREV)),
+    "client_month_comparison": _c(lambda e: C.client_month_comparison(e, CLIENTS, CUR, PREV)),
     "new_suppliers_to_tracked_clients": _q(
         lambda e: C.new_suppliers_to_tracked_clients(e, CLIENTS, CUR, PREV)),
     "new_relationships": _q(lambda e: C.new_relationships(e, CUR, PREV)),
     "entity_month_rows": _q(lambda e: C.entity_month_rows(e, EXPORTER, "competitor", CUR, PREV)),
     "entity_month_products": _q(lambda e: C.entity_month_products(e, EXPORTER, "competitor", CUR, PREV)),
-    "entity_month_countries": _q(lambda e: C.entity_month_countries(e, CONSIGNEE, "client", CUR, PREV)),
+    "entity_month_countries": _c(lambda e: C.entity_month_countries(e, CONSIGNEE, "client", CUR, PREV)),
     # ---- benchmarking
-    "company_benchmark": _q(lambda e: B.company_benchmark(e, COMPANY)),
+    "company_benchmark": _s(lambda s: B.company_benchmark(X.company_lines(s, COMPANY), COMPANY)),
     "competitor_benchmark": _q(lambda e: B.competitor_benchmark(e, COMPETITORS, CUR)),
     "market_totals": _q(lambda e: B.market_totals(e, CUR)),
     "client_vendor_analysis": _q(lambda e: B.client_vendor_analysis(e, COMPANY, CUR)),
@@ -122,22 +138,18 @@ QUERIES: dict[str, Query] = {
     "company_rank_month": _q(lambda e: B.company_rank(e, COMPANY, CUR)),
     "market_position": _q(lambda e: B.market_position(e, COMPANY, COMPETITORS, CUR)),
     # ---- custom reports
-    "custom_report_summary": _q(lambda e: X.custom_report_summary(
-        e, FILTER_COUNTRIES, FILTER_EXPORTERS, None)),
-    "custom_report_summary_exporters": _q(lambda e: X.custom_report_summary(
-        e, None, FILTER_EXPORTERS, None, CUR)),
-    "custom_report_summary_consignees": _q(lambda e: X.custom_report_summary(
-        e, None, None, FILTER_CONSIGNEES)),
-    "custom_report_details": _q(lambda e: X.custom_report_details(
-        e, FILTER_COUNTRIES, FILTER_EXPORTERS, None, CUR)),
+    "custom_report_summary": _filtered(X.custom_report_summary, FILTER_COUNTRIES, FILTER_EXPORTERS, None),
+    "custom_report_summary_exporters": _filtered(X.custom_report_summary, None, FILTER_EXPORTERS, None, CUR),
+    "custom_report_summary_consignees": _filtered(X.custom_report_summary, None, None, FILTER_CONSIGNEES),
+    "custom_report_details": _filtered(X.custom_report_details, FILTER_COUNTRIES, FILTER_EXPORTERS, None, CUR),
     # ---- name search
-    "search_exporters": _q(lambda e: W.search_exporters(e, SEARCH_EXPORTER_Q, COMPETITORS)),
-    "search_consignees": _q(lambda e: W.search_consignees(e, SEARCH_CONSIGNEE_Q, CLIENTS)),
+    "search_exporters": _s(lambda s: W.search_exporters_stored(s, SEARCH_EXPORTER_Q, COMPETITORS)),
+    "search_consignees": _s(lambda s: W.search_consignees_stored(s, SEARCH_CONSIGNEE_Q, CLIENTS)),
 }
 
 
-def _export_blocks(name: str, build) -> dict[str, Query]:
-    return {f"{name}_{block}": _q(lambda e, b=block: build(e)[b]) for block in build.blocks}
+def _export_blocks(name: str, build, on=_q) -> dict[str, Query]:
+    return {f"{name}_{block}": on(lambda e, b=block: build(e)[b]) for block in build.blocks}
 
 
 QUERIES.update(_export_blocks("export_benchmarking",
@@ -153,10 +165,10 @@ QUERIES.update(_export_blocks("export_prospective_clients",
 QUERIES.update(_export_blocks("export_cross_sell", E.bound(E.export_cross_sell, company=COMPANY)))
 QUERIES.update(_export_blocks("export_entity_details",
                               E.bound(E.export_entity_details, entity=CONSIGNEE, role="consignee",
-                                      month=None)))
+                                      month=None), _c))
 QUERIES.update({
     "export_competitor_rows": _q(lambda e: E.export_competitor_rows(e, COMPETITORS, CUR)),
-    "export_client_rows": _q(lambda e: E.export_client_rows(e, CLIENTS)),
+    "export_client_rows": _c(lambda e: E.export_client_rows(e, CLIENTS)),
     "export_company_comparison_rows": _q(
         lambda e: E.export_company_comparison_rows(e, COMPANY, COMPETITORS, CUR)),
     "export_summary": _q(lambda e: E.export_summary(e)),

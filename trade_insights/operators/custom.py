@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.match import all_of, like_any, month_is
+from ..functions.match import ROLE_COLUMNS, all_of, like_any, month_is
+from ..sources.indexes import lines_of, names_like
+from ..sources.store import Store
 from .base import by_then_keys, desc
 
 
@@ -33,6 +35,25 @@ def custom_filter(countries: str | None = None, exporters: str | None = None,
     return pred
 
 
+def stored_lines(store: Store, countries: str | None = None, exporters: str | None = None,
+                 consignees: str | None = None) -> DataFrame:
+    """The lines of a store that can meet ``custom_filter``: its exporters or
+    consignees are looked up in the name index, and the names found become a
+    filter that Parquet skips by, in the order of the lines that suits it. The
+    reports below, applied to them, give what they give for all lines."""
+    terms = {"exporter": split_terms(exporters), "consignee": split_terms(consignees)}
+    role = next((r for r in ("exporter", "consignee") if terms[r]), None)
+    if role is None:
+        return store.lines
+    column = ROLE_COLUMNS[role]
+    return lines_of(store.by(column), column, names_like(store.names, store.grams, role, terms[role]))
+
+
+def company_lines(store: Store, company: str) -> DataFrame:
+    """The lines of the own company (LIKE match), found in the same way."""
+    return lines_of(store.lines, "exporter_name", names_like(store.names, store.grams, "exporter", [company]))
+
+
 def _group_column(countries, exporters) -> Column:
     if split_terms(countries):
         return F.col("country_of_destination")

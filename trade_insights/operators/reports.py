@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions.keys import DIGEST
 from ..functions.match import all_of, apply_filter, entity_is, month_is, months_in
+from ..sources.indexes import distinct_counts
+from ..sources.store import Store
 from .base import Watchlist, asc, by_then_keys, desc, keep_members, rollup, with_company, with_lists
 
 # ---------------------------------------------------------------- A1
@@ -318,6 +321,17 @@ def monthly_trends(e: DataFrame, entity: str | None = None, role: str | None = N
                   where=all_of([F.col("month_year").isNotNull(), ent]))
 
 
+def monthly_trends_stored(store: Store) -> DataFrame:
+    """A18 over all lines of a store, from its indexes."""
+    of = lambda table: getattr(store, table).filter("month_year is not null")
+    products = distinct_counts(of("bitmaps"), ["month_year"]).select("month_year", F.col("product_description").alias("product_count"))
+    shipped = of("declarations").groupBy("month_year").agg(F.count_distinct(*DIGEST).alias("shipment_count"))
+    money = of("names").filter(F.col("role") == "exporter").groupBy("month_year").agg(M.money(F.sum("fob")).alias("total_fob"))
+    rows = money.join(shipped, "month_year", "left").join(products, "month_year", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("month_year", zero("shipment_count"), "total_fob", zero("product_count")).orderBy(asc("month_year"))
+
+
 # ---------------------------------------------------------------- A19-A22 dashboard
 
 
@@ -330,6 +344,19 @@ def dashboard_summary(e: DataFrame, month: str | None = None, exact: bool = True
                     M.n_distinct("product_description", "unique_products", exact))
 
 
+def dashboard_summary_stored(store: Store, month: str | None = None) -> DataFrame:
+    """A19 from the store's indexes, equal to ``dashboard_summary`` of its
+    lines: names, countries and products are bits of united bitmaps, shipments
+    are counted from the months' sets of declarations, and money is added up
+    per exporter. No line is read."""
+    of = lambda table: apply_filter(getattr(store, table), month_is(month))
+    money = of("names").filter(F.col("role") == "exporter").agg(M.money(F.sum("fob")))
+    return distinct_counts(of("bitmaps"), []).select(
+        of("declarations").agg(F.count_distinct(*DIGEST)).scalar().alias("total_shipments"), money.scalar().alias("total_fob"),
+        F.col("exporter_name").alias("unique_exporters"), F.col("consignee_name").alias("unique_consignees"),
+        F.col("country_of_destination").alias("unique_countries"), F.col("product_description").alias("unique_products"))
+
+
 def dashboard_by_category(e: DataFrame, month: str | None = None) -> DataFrame:
     """Shipments and fob per category."""
     return rollup(e, ["data_type"], [M.shipments(), M.fob_total()],

@@ -16,6 +16,8 @@ from ..functions import metrics as M
 from ..functions.match import like_any
 from ..functions.parse import trimmed
 from ..schema import WATCHLIST_SCHEMA
+from ..sources.indexes import names_like
+from ..sources.store import Store
 from .base import Watchlist, by_then_keys, desc, member_flag
 
 ALREADY_EXISTS = "Already exists"
@@ -92,6 +94,30 @@ def _search(e: DataFrame, col: str, q: str | None, wl: Watchlist, k: int, extra:
     return member_flag(top, "name", wl, "already_tracked").orderBy(*order)
 
 
+def _search_stored(store: Store, role: str, q: str | None, wl: Watchlist, k: int) -> DataFrame:
+    words = search_words(q)
+    rows = store.names.filter((F.col("role") == role) & (F.col("name") != F.lit("")))
+    if words is None:
+        rows = rows.filter(F.lit(False))
+    elif words:
+        rows = rows.join(names_like(store.names, store.grams, role, words), "name", "left_semi")
+    order = by_then_keys([desc("shipment_count")], ["name"])
+    extra = [M.concat_distinct("country", "countries")] if role == "consignee" else []
+    top = rows.groupBy("name").agg(F.sum("lines").alias("shipment_count"), M.money(F.sum("fob")).alias("total_fob"), *extra).orderBy(*order).limit(k)
+    return member_flag(top, "name", wl, "already_tracked").orderBy(*order)
+
+
+def search_exporters_stored(store: Store, q: str | None, wl: Watchlist, k: int = 20) -> DataFrame:
+    """W3 from the store's name index, equal to ``search_exporters`` of its
+    lines: words are looked up by their grams, and no line is read."""
+    return _search_stored(store, "exporter", q, wl, k)
+
+
+def search_consignees_stored(store: Store, q: str | None, wl: Watchlist, k: int = 20) -> DataFrame:
+    """W4 from the store's name index."""
+    return _search_stored(store, "consignee", q, wl, k)
+
+
 def search_exporters(e: DataFrame, q: str | None, wl: Watchlist, k: int = 20) -> DataFrame:
     """Exporters whose name contains any search word; top k by lines;
     flagged when already tracked."""

@@ -1,36 +1,56 @@
-"""The stored fact table: Parquet partitioned by month_year / upload_batch.
+"""The stored shipment lines, in commits of whole upload batches.
+
+    <store>/lines/commit=<id>/month_year=<m>/upload_batch=<b>/
+    <store>/by_consignee/commit=<id>/...        the same lines in another order
+    <store>/<index>/commit=<id>/upload_batch=<b>/   see ``indexes``
+    <store>/_live/<number>.json                 which commits and batches count
 
 Layout choices for scale:
 
-* ``month_year`` is the first partition level, so every report's month
-  parameter becomes a partition filter (only that month's files are listed).
-* ``upload_batch`` is the second level, so a retried batch overwrites exactly
-  its own partitions (dynamic partition overwrite) and nothing else.
+* ``month_year`` is the first partition level of the lines, so every report's
+  month parameter becomes a partition filter (only that month's files are read).
 * Before the write, rows go through a REBALANCE on month_year: AQE sizes
   the write tasks from the real shuffle output, splitting a hot month over
   several tasks and merging small months, without a sampling pass. Each task
-  then writes files for only a few months. Rows are sorted by exporter inside
-  each task, so Parquet row-group min/max on ``exporter_name`` lets entity
-  filters skip row groups.
+  then writes files for only a few months.
+* ``lines`` are sorted by exporter inside each task and ``by_consignee`` by
+  consignee, with pages of ``PAGE_ROWS`` rows: filters on either name skip row
+  groups, by their dictionaries and bounds, and pages by theirs. The second
+  order doubles the space of the lines, as a covering index does.
+
+A write makes a new commit and touches no other. It counts from the moment
+that a new file below ``_live`` names it; what it replaces is out from the
+same moment and is removed afterwards. Readers resolve the newest complete
+file, so a write that ends anywhere leaves the old batches or the new ones.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-
+from dataclasses import dataclass, field
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import EXPORTS_SCHEMA, PARTITION_COLUMNS
 from ..session import work_dir
+from . import indexes
 from .fixture import exports_from_tpch
 
+PAGE_ROWS = 1000
+#: Orders in which the lines are stored, by the name of their table.
+ORDERS = {"lines": "exporter_name", "by_consignee": "consignee_name"}
+BATCH_TABLES = [*ORDERS, "keys", "names", "grams", "bitmaps", "declarations"]
+
+
+class ConcurrentWriteError(RuntimeError):
+    """Another write to the store was finished since this one began."""
+
 
-def _layout(df: DataFrame) -> DataFrame:
-    return (df.hint("rebalance", "month_year")
-              .sortWithinPartitions("month_year", "upload_batch", "exporter_name"))
+# ---------------------------------------------------------------- files
 
 
 def _files(spark: SparkSession, path: str):
@@ -49,55 +69,207 @@ def store_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(there)
 
 
-def _partitions(spark: SparkSession, path: str, batches: list[str]) -> dict[tuple, str]:
-    """The partition folders of the batches, by (month, batch)."""
-    if not store_exists(spark, path):
-        return {}
-    rows = (read_exports(spark, path).filter(F.col("upload_batch").isin(batches))
-            .select(*PARTITION_COLUMNS, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")).distinct().collect())
-    return {(r.month_year, r.upload_batch): unquote(r.folder) for r in rows}
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    fs, there = _files(spark, pattern)
+    return [x.getPath().toString() for x in (fs.globStatus(there) or [])]
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, there = _files(spark, path)
+    stream = fs.open(there)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+# ---------------------------------------------------------------- commits
+
+
+@dataclass
+class Live:
+    """What counts: the batches of each commit, those that it no longer counts
+    for but that may still be there, and the commits whose dictionaries count."""
+    number: int = 0
+    commits: dict[str, list[str]] = field(default_factory=dict)
+    dead: dict[str, list[str]] = field(default_factory=dict)
+    dictionary: list[str] = field(default_factory=list)
+
+
+def live(spark: SparkSession, path: str) -> Live:
+    """The newest complete state; a file that is still being written is not."""
+    for name in sorted(_folders(spark, f"{path}/_live/*.json"), reverse=True):
+        try:
+            return Live(**json.loads(_read_text(spark, name)))
+        except (json.JSONDecodeError, TypeError):
+            continue
+    return Live()
+
+
+def _publish(spark: SparkSession, path: str, state: Live) -> None:
+    fs, there = _files(spark, f"{path}/_live/{state.number:012d}.json")
+    try:
+        stream = fs.create(there, False)
+    except Exception as e:
+        if fs.exists(there):
+            raise ConcurrentWriteError(f"state {state.number} of {path} is there already") from e
+        raise
+    stream.write(bytearray(json.dumps(vars(state)).encode()))
+    stream.close()
+    for old in sorted(_folders(spark, f"{path}/_live/*.json"))[:-2]:
+        delete_folder(spark, old)
+
+
+def _batch_of(folder: str) -> str:
+    return unquote(folder.rsplit("upload_batch=", 1)[1])
+
+
+def _clean(spark: SparkSession, path: str, state: Live) -> Live:
+    """Remove what no longer counts, then say so."""
+    for commit, batches in state.dead.items():
+        for table in BATCH_TABLES:
+            own = f"{path}/{table}/commit={commit}"
+            if commit not in state.commits:
+                delete_folder(spark, own)
+                continue
+            for folder in _folders(spark, f"{own}/{'month_year=*/' if table in ORDERS else ''}upload_batch=*"):
+                if _batch_of(folder) in batches:
+                    delete_folder(spark, folder)
+    after = Live(state.number + 1, state.commits, {}, state.dictionary)
+    _publish(spark, path, after)
+    return after
+
+
+# ---------------------------------------------------------------- write
+
+
+def _write_lines(df: DataFrame, order: str, path: str) -> None:
+    (df.hint("rebalance", "month_year").sortWithinPartitions(*PARTITION_COLUMNS, order)
+       .write.option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy(*PARTITION_COLUMNS).parquet(path))
+
+
+def _write_index(df: DataFrame, table: str, path: str) -> DataFrame:
+    """Write a table sorted for its readers, and read it back."""
+    parted = ["upload_batch"] if table != "dictionary" else []
+    laid = df.hint("rebalance", *parted).sortWithinPartitions(*parted, *indexes.SORTED[table])
+    (laid.write.partitionBy(*parted) if parted else laid.write).parquet(path)
+    return df.sparkSession.read.schema(indexes.SCHEMAS[table]).parquet(path)
 
 
 def write_exports(df: DataFrame, path: str, replaced: list[str] | None = None) -> None:
-    """Write (or re-write) the batches contained in ``df`` into the store.
+    """Write the batches contained in ``df``, with their indexes, as one commit.
 
-    Dynamic partition overwrite: partitions of other batches are untouched,
-    partitions of the batches in ``df`` are replaced, so writing a retried
-    batch twice leaves the table as if it were written once. Of the batches in
-    ``replaced`` the partitions of other months than those of ``df`` are
-    removed after the write, so a corrected file leaves none of its old rows.
+    It takes the place of all earlier rows of these batches and of those in
+    ``replaced``, months that they no longer have included: writing a retried
+    batch twice leaves the table as if it were written once. The batch names
+    of a commit are on the driver, a row for each uploaded file.
     """
     spark = df.sparkSession
-    stale = _partitions(spark, path, replaced) if replaced else {}
-    (_layout(df).write
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITION_COLUMNS)
-        .parquet(path))
-    if stale:
-        # the months that the written batches have: a few for each of them
-        kept = {(r.month_year, r.upload_batch) for r in df.select(*PARTITION_COLUMNS).distinct().collect()}
-        for key, folder in stale.items():
-            if key not in kept:
-                delete_folder(spark, folder)
+    before, commit = live(spark, path), "c" + uuid.uuid4().hex
+    at = lambda table: f"{path}/{table}/commit={commit}"
+    _write_lines(df, ORDERS["lines"], at("lines"))
+    lines = spark.read.schema(EXPORTS_SCHEMA).parquet(at("lines"))
+    _write_lines(lines, ORDERS["by_consignee"], at("by_consignee"))
+    for table in ("keys", "declarations"):
+        _write_index(getattr(indexes, table)(lines), table, at(table))
+    names = _write_index(indexes.names(lines), "names", at("names"))
+    _write_index(indexes.grams(names), "grams", at("grams"))
+    scratch = work_dir(spark, f"values-{commit}")
 
+    def place(part: DataFrame) -> DataFrame:
+        part.write.parquet(f"{scratch}/new")
+        return spark.read.schema(part.schema).parquet(f"{scratch}/new")
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """Read the stored fact table with its canonical schema."""
-    return spark.read.schema(EXPORTS_SCHEMA).parquet(path)
+    values = indexes.values(lines)
+    values.write.parquet(f"{scratch}/all")
+    values = spark.read.schema(values.schema).parquet(f"{scratch}/all")
+    known = _dictionary(spark, path, before.dictionary)
+    new = _write_index(indexes.numbered(values, known, place), "dictionary", at("dictionary"))
+    _write_index(indexes.bitmaps(values, known.unionByName(new)), "bitmaps", at("bitmaps"))
+    delete_folder(spark, scratch)
+    own = sorted({_batch_of(f) for f in _folders(spark, f"{at('lines')}/month_year=*/upload_batch=*")})
+    gone = {*own, *(replaced or ())}
+    state = Live(before.number + 1, {}, {c: list(b) for c, b in before.dead.items()}, [*before.dictionary, commit])
+    for c, batches in before.commits.items():
+        kept, out = [b for b in batches if b not in gone], [b for b in batches if b in gone]
+        if kept:
+            state.commits[c] = kept
+        if out:
+            state.dead[c] = state.dead.get(c, []) + out
+    if own:
+        state.commits[commit] = own
+    _publish(spark, path, state)
+    if state.dead:
+        _clean(spark, path, state)
 
 
-_MATERIALIZED: dict[tuple[str, str], str] = {}
+def compact(spark: SparkSession, path: str) -> None:
+    """Rewrite all commits as one."""
+    batches = sorted({b for own in live(spark, path).commits.values() for b in own})
+    write_exports(read_exports(spark, path), path, replaced=batches)
 
 
-def fixture_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fact table for the test tables, written once per session to the shared
-    checkpoint folder and read back (lineage cut, month partitions pruned).
-    """
+# ---------------------------------------------------------------- read
+
+
+def _dictionary(spark: SparkSession, path: str, commits: list[str]) -> DataFrame:
+    schema = indexes.SCHEMAS["dictionary"]
+    if not commits:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/dictionary/commit={c}" for c in commits))
+
+
+def read_exports(spark: SparkSession, path: str, table: str = "lines") -> DataFrame:
+    """The stored lines with their canonical schema, in the order of
+    ``lines`` or ``by_consignee``, or an index of theirs."""
+    state = live(spark, path)
+    if table == "dictionary":
+        return _dictionary(spark, path, state.dictionary)
+    schema = EXPORTS_SCHEMA if table in ORDERS else T.StructType.fromDDL(indexes.SCHEMAS[table])
+    if not state.commits:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField("commit", T.StringType())])).option("basePath", f"{path}/{table}")
+    df = reader.parquet(*(f"{path}/{table}/commit={c}" for c in sorted(state.commits)))
+    for commit, batches in state.dead.items():
+        if commit in state.commits:
+            df = df.filter(~((F.col("commit") == commit) & F.col("upload_batch").isin(batches)))
+    return df.select(*schema.names)
+
+
+@dataclass
+class Store:
+    """A store's tables as attributes: ``lines``, ``by_consignee`` and the
+    indexes. Each is read as it is at its first use."""
+    spark: SparkSession
+    path: str
+
+    def __getattr__(self, table: str) -> DataFrame:
+        if table not in BATCH_TABLES and table != "dictionary":
+            raise AttributeError(table)
+        found = read_exports(self.spark, self.path, table)
+        self.__dict__[table] = found
+        return found
+
+    def by(self, role_column: str) -> DataFrame:
+        """The lines in the order that suits filters on a name column."""
+        return self.by_consignee if role_column == ORDERS["by_consignee"] else self.lines
+
+
+_MATERIALIZED: dict[tuple[str, str], Store] = {}
+
+
+def fixture_store(spark: SparkSession, sf_dir: str) -> Store:
+    """The store of the test tables' lines, written once per session to the
+    shared checkpoint folder (lineage cut, month partitions pruned)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    path = _MATERIALIZED.get(key)
-    if path is None:
+    store = _MATERIALIZED.get(key)
+    if store is None:
         path = work_dir(spark, f"exports-{uuid.uuid4().hex[:12]}")
         write_exports(exports_from_tpch(spark, sf_dir), path)
-        _MATERIALIZED[key] = path
-    return read_exports(spark, path)
+        store = _MATERIALIZED[key] = Store(spark, path)
+    return store
+
+
+def fixture_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of ``fixture_store``."""
+    return fixture_store(spark, sf_dir).lines
