@@ -33,7 +33,27 @@ def check(spark, docs):
     assert got == want and len(rows) == len(brute.near(docs))
     kept = near.one_of_each(df)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {c for c, _ in brute.near(docs).values()}
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(c) for c in one_for_each_group(docs))
+
+
+def one_for_each_group(docs):
+    """The smallest ids of the groups, by components of all distinct rows."""
+    low = -(1 << 63)
+    rows = sorted({(low if i is None else i, brute.shingle_set(t)) for i, t in docs}, key=lambda x: x[0])
+    seen, out = set(), []
+    for k, (i, s) in enumerate(rows):
+        if k in seen:
+            continue
+        out.append(None if i == low else i)
+        seen.add(k)
+        todo = [k]
+        while todo:
+            x = rows[todo.pop()][1]
+            more = [j for j, (_, y) in enumerate(rows) if j not in seen and x and y and 5 * len(x & y) >= 4 * len(x | y)]
+            seen |= {*more}
+            todo += more
+        # rows without words are documents of their own; those that agree in the id are one
+    return out
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -46,6 +66,51 @@ def test_groups_dealt_out_in_blocks(spark, monkeypatch):
     check(spark, corpus(3))
 
 
+def copies(n, seed, edits=(0, 6)):
+    """Texts of one passage with some words exchanged, some words of few kinds."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(100)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(*edits)):
+            w[rng.randrange(100)] = rng.choice(["x", "y", f"e{i}"])
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("edits", [(0, 2), (0, 8)])
+def test_large_groups_compared_by_blocks(spark, monkeypatch, edits):
+    monkeypatch.setattr(near, "BLOCK", 40)
+    monkeypatch.setattr(near, "MOST", 30)
+    monkeypatch.setattr(near, "BLOCKS", 4)
+    docs = copies(300, 5, edits) + [(1000 + i, t) for i, t in copies(20, 6)] + [(2000 + i, f"own words {i} " * 9) for i in range(30)]
+    check(spark, docs)
+
+
+def test_tables_grow_with_the_group(spark, monkeypatch):
+    """Near copies in one group: no written table grows faster than the group."""
+    rows = {}
+    real = near.stored
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name.rstrip("0123456789")] = max(rows.get(name.rstrip("0123456789"), 0), out.count())
+        return out
+
+    from trade_insights.llm import graph
+    monkeypatch.setattr(near, "stored", counted)
+    monkeypatch.setattr(graph, "stored", counted)
+    sizes = []
+    for n in (700, 2100):
+        rows.clear()
+        near.joined(spark.createDataFrame(copies(n, n, (1, 9)), "doc_id long, text string")).collect()
+        sizes.append(dict(rows))
+    assert sizes[0].keys() == sizes[1].keys() and "near-pairs" in sizes[0]
+    for name, few in sizes[0].items():
+        assert sizes[1][name] <= max(3.6 * few + 60, 2 * 2100), (name, few, sizes[1][name])
+
+
 def test_prefixes_shorten_until_the_recall_is_reached():
     assert near.prefix_depth(0.8, 0.5) == near.DEPTH
     depth = near.prefix_depth(0.8, near.RECALL)
