@@ -25,7 +25,7 @@ from .plans import report_sets as E
 from .sources import Store, fixture_exports, fixture_store
 from .session import work_dir
 from .sources.fixture import raw_import_file, read_table
-from .sources.sink import write_report
+from .sources.sink import read_report, write_report
 from .streaming.incremental import run_to_completion
 
 # Fixed report parameters for the test tables.
@@ -224,7 +224,7 @@ def _watchlist_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 def _written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, f"report-{uuid.uuid4().hex}")
     write_report(E.export_benchmarking(_e(spark, sf_dir), COMPANY, COMPETITORS, CUR), path)
-    return spark.read.parquet(f"{path}/companies")
+    return read_report(spark, path)["companies"]
 
 
 QUERIES.update({
@@ -240,5 +240,6 @@ QUERIES.update({
     "watchlist_errors": lambda spark, sf_dir: _watchlist_changes(spark, sf_dir)[2],
     "written_report": _written_report,
     "competitor_summary_table": lambda spark, sf_dir: R.competitor_summary(_e(spark, sf_dir), _watchlist(spark, sf_dir), CUR),
+    "export_benchmarking_companies_table": lambda spark, sf_dir: E.export_benchmarking(_e(spark, sf_dir), COMPANY, _watchlist(spark, sf_dir), CUR)["companies"],
     "company_comparison_table": lambda spark, sf_dir: R.company_comparison(_e(spark, sf_dir), COMPANY, _watchlist(spark, sf_dir), CUR),
 })

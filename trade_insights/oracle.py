@@ -613,6 +613,8 @@ for _name, _written in (("Total FOB (USD)", "Total_FOB_USD"), ("Total FOB (INR)"
     SQL["written_report"] = SQL["written_report"].replace(f'"{_name}"', f'"{_written}"')
 _ACTIVE = f"SELECT name FROM ({_TRACKED}) WHERE active"
 SQL["competitor_summary_table"] = SQL["competitor_summary"].replace(inlist(K.COMPETITORS), _ACTIVE)
+SQL["export_benchmarking_companies_table"] = SQL["export_benchmarking_companies"].replace(
+    f"({_LIKE_ALL})", f"(UPPER(exporter_name) LIKE {CO} OR EXISTS (SELECT 1 FROM ({_ACTIVE}) w WHERE UPPER(exporter_name) LIKE '%' || w.name || '%'))")
 SQL["company_comparison_table"] = SQL["company_comparison"].replace(inlist([K.COMPANY, *K.COMPETITORS]), f"{_ACTIVE} UNION SELECT {q(K.COMPANY)}")
 
 

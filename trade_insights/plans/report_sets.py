@@ -20,6 +20,7 @@ from ..functions.match import (all_of, apply_filter, company_like, entity_is, li
 from ..operators import compare as C
 from ..operators import custom as X
 from ..operators import intelligence as I
+from ..operators.patterns import matching_names
 from ..operators.base import Watchlist, active_names, by_then_keys, desc, keep_members, with_company
 from ..schema import LABEL_CLIENT, LABEL_COMPETITOR, LABEL_OWN
 
@@ -58,14 +59,12 @@ def export_benchmarking(e: DataFrame, company: str, wl: Watchlist, month: str |
     with type label and INR; (b) the company's clients and all their vendors."""
     scan = apply_filter(e, month_is(month))
     exporters = scan.select("exporter_name").distinct()
-    upper, watched = F.upper(F.col("exporter_name")), active_names(wl)
+    watched = active_names(wl)
     if isinstance(watched, DataFrame):
-        # the watchlist's names as one array value, tried on each distinct exporter
-        exporters = exporters.select("exporter_name", watched.agg(F.collect_list("name")).scalar().alias("__names"))
-        watched_too = F.exists("__names", lambda n: F.like(upper, F.concat(F.lit("%"), n, F.lit("%"))))
-        matched = exporters.filter(like_any(upper, [company]) | watched_too).select("exporter_name")
+        own = scan.sparkSession.createDataFrame([(company.strip(),)], "name string")
+        matched = matching_names(exporters.select(F.col("exporter_name").alias("name")), watched.select("name").unionByName(own)).withColumnRenamed("name", "exporter_name")
     else:
-        matched = exporters.filter(like_any(upper, [company, *watched]))
+        matched = exporters.filter(like_any(F.upper(F.col("exporter_name")), [company, *watched]))
     rows = scan.join(matched, "exporter_name", "left_semi")
     companies = rows.groupBy("exporter_name").agg(
         M.shipments("Shipments"), M.fob_total("Total FOB (USD)"),

@@ -74,7 +74,7 @@ def _folders(spark: SparkSession, pattern: str) -> list[str]:
     return [x.getPath().toString() for x in (fs.globStatus(there) or [])]
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     fs, there = _files(spark, path)
     stream = fs.open(there)
     try:
@@ -83,6 +83,14 @@ def _read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file; an error if there is one."""
+    fs, there = _files(spark, path)
+    stream = fs.create(there, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 # ---------------------------------------------------------------- commits
 
 
@@ -100,22 +108,20 @@ def live(spark: SparkSession, path: str) -> Live:
     """The newest complete state; a file that is still being written is not."""
     for name in sorted(_folders(spark, f"{path}/_live/*.json"), reverse=True):
         try:
-            return Live(**json.loads(_read_text(spark, name)))
+            return Live(**json.loads(read_text(spark, name)))
         except (json.JSONDecodeError, TypeError):
             continue
     return Live()
 
 
 def _publish(spark: SparkSession, path: str, state: Live) -> None:
-    fs, there = _files(spark, f"{path}/_live/{state.number:012d}.json")
+    name = f"{path}/_live/{state.number:012d}.json"
     try:
-        stream = fs.create(there, False)
+        write_text(spark, name, json.dumps(vars(state)))
     except Exception as e:
-        if fs.exists(there):
+        if store_exists(spark, name):
             raise ConcurrentWriteError(f"state {state.number} of {path} is there already") from e
         raise
-    stream.write(bytearray(json.dumps(vars(state)).encode()))
-    stream.close()
     for old in sorted(_folders(spark, f"{path}/_live/*.json"))[:-2]:
         delete_folder(spark, old)
 
