@@ -104,6 +104,26 @@ def test_pair_counts(spark, plain):
     assert all(r.is_best == (r["count"] == best[r.b_id]) for r in rows)
 
 
+def test_either_encoder_gives_the_ids_of_the_library(tmp_path):
+    import json
+
+    library = Tokenizer.from_file(BPE_FILE)
+    library.encode_special_tokens = True
+    rng = random.Random(8)
+    parts = ["a", "the ", " ", "\n", "é", "日", "🙂", "'s", "'S", "12", "٣", "\u3000", "\x00", "\r\n", "\x85", "\xa0", "<|endoftext|>", "\ufeff", "ǅ", "_", "!!"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(500)] + [x * 20_000 for x in ("a", " ", "\n", "日")]
+    with open(BPE_FILE, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["ignore_merges"] = True  # not what a rank encoder does; the library is used
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    plain = Tokenizer.from_file(str(other))
+    plain.encode_special_tokens = True
+    for path, want in ((BPE_FILE, library), (str(other), plain)):
+        both = alignment.Tokenizers(path, PIECE_FILE)
+        assert all(both.a(" " + t) == want.encode(" " + t, add_special_tokens=False).ids for t in texts)
+
+
 def test_galloping_finds_the_first_end_that_is_no_less():
     rng = np.random.default_rng(5)
     for n in (1, 2, 17, 300, 9000):
