@@ -59,6 +59,17 @@ def test_repeated_rows(spark):
     assert {r.edited_sha256 for r in rows} in [{sha(x.encode()) for x in s} for s in (("ac", "ce", "ea"), ("ae", "ec", "ca"))]
 
 
+def test_an_id_with_many_texts_has_many_ranges(spark):
+    docs = [(7, f"text {i} " * (i % 9)) for i in range(150)] + [(None, f"no id {i}") for i in range(150)] + [(i, f"own {i}") for i in range(100, 200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hashed = df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    check(fingerprints.with_edits(df).collect(), [(r.doc_id, r.text) for r in order])
+    rows = df.selectExpr("doc_id", "xxhash64(text) AS hash", "coalesce(~doc_id, 9223372036854775807) AS down")
+    ranges = fingerprints._ranges(rows).select("doc_id", "range").distinct().groupBy("doc_id").count()
+    assert {r.doc_id: r["count"] for r in ranges.collect()}[7] > 10
+
+
 def test_a_single_document_and_an_empty_table(spark):
     rows = fingerprints.with_edits(spark.createDataFrame([(3, "abcdef")], "doc_id long, text string")).collect()
     check(rows, [(3, "abcdef")])

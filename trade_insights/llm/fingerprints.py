@@ -19,16 +19,19 @@ a common sentence, with a standard error of about WIDTH**-0.5.
 ``with_edits`` also fingerprints an edited version of each text, whose second
 half is the start of the next document's, by deleting the paragraphs from the
 cut on and inserting those that take their place. The next document is found
-by one range shuffle in falling order of doc_id: a task streams its sorted
-range, and the first and the last text of each range meet in a small join.
-
-Documents are ordered by doc_id (null last), then by a hash of the text; equal
-rows are interchangeable, so results do not depend on their order, and a
-further key spreads them over tasks. The last document's next is the first; a
-single document is its own next. A null text counts as empty, which is one
-blank paragraph. Memory of a task holds some 1 MB of text, or one longer text
-and its successor. An empty table gives an empty result, and other columns are
-ignored.
+by one shuffle of the texts: quantiles of doc_id cut the falling order into
+``RANGES`` ranges for each shuffle partition, each range is sorted, and a copy
+of the first document of the next range closes it. Tasks stream over their
+ranges; what the driver holds are the quantiles and the ranges' numbers.
+
+Documents are ordered by falling doc_id (null last), then by a hash of the
+text. An id that holds many rows is cut into ranges by that hash; only rows
+that agree in id and text meet in one range, where they are streamed too.
+Equal rows are interchangeable, so results do not depend on their order. The
+last document's next is the first; a single document is its own next. A null
+text counts as empty, which is one blank paragraph. Memory of a task holds some
+1 MB of text, or one longer text and its successor. An empty table gives an
+empty result, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +44,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, small_pieces, stored
@@ -53,6 +54,8 @@ WIDTH = 256
 NEAR_BITS = 24
 SENTENCE = re.compile(r"(?<=[.!?] )")
 BATCH = 1 << 20
+#: Ranges of documents for each shuffle partition.
+RANGES = 8
 
 
 def paragraphs(text: str) -> list[str]:
@@ -153,14 +156,6 @@ KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _judged(ids: list, texts: list[str], after: list[str], next_prints: np.ndarray | None = None) -> list[list]:
-    """The columns of the result for texts and the documents next to them."""
-    own, edited, made = moved(texts, after)
-    following = np.concatenate([own[1:], of(after[-1:])]) if next_prints is None else next_prints
-    return [ids, [len(t) for t in texts], [hashlib.sha256(t.encode()).hexdigest() for t in made], [shown(x) for x in own], [shown(x) for x in edited],
-            likeness(own, edited), likeness(own, following)]
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars and fingerprint of every text; no shuffle."""
 
@@ -173,51 +168,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _of_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a sorted range of documents, the results of all but the last, which
-    needs the next range, and the texts at both ends of the range."""
-    place, last = TaskContext.get().partitionId(), None
-
-    def batch(columns: list, at: str | None = None, text: str | None = None) -> pa.RecordBatch:
-        n = len(columns[0])
-        arrays = [pa.array(c, t) for c, t in zip(columns, KINDS)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([place] * n, pa.int32()), pa.array([at] * n, pa.string()), pa.array([text] * n, pa.string())], [*RESULT, "range", "end", "text"])
-
-    edge = lambda doc_id, at, text: batch([[doc_id], *([None] for _ in RESULT[1:])], at, text)
-    for b in small_pieces(batches, BATCH):
-        if not b.num_rows:
-            continue
-        ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-        if last is None:
-            yield edge(ids[0], "first", texts[0])
-        else:
-            ids, texts = [last[0], *ids], [last[1], *texts]
-        if len(texts) > 1:
-            yield batch(_judged(ids[:-1], texts[:-1], texts[1:]))
-        last = ids[-1], texts[-1]
-    if last is not None:
-        yield edge(*[last[0], "last", last[1]])
-
-
-def _at_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ranges of documents in order, each closed by the first document of
+    the next (``closes``), the result of every document."""
+    ids, texts, closes = [], [], []
     for b in small_pieces(batches, BATCH):
-        ids, texts, after = (b.column(c).to_pylist() for c in ("doc_id", "text", "after"))
-        if texts:
-            columns = _judged(ids, texts, after, of(after))
+        ids += b.column("doc_id").to_pylist()
+        texts += b.column("text").to_pylist()
+        closes += b.column("closes").to_pylist()
+        at = [k for k in range(len(texts) - 1) if not closes[k]]
+        if at:
+            own, edited, made = moved([texts[k] for k in at], [texts[k + 1] for k in at])
+            prints = dict(zip(at, own))
+            others = [k + 1 for k in at if k + 1 not in prints]
+            prints |= zip(others, of([texts[k] for k in others]))
+            after = np.stack([prints[k + 1] for k in at])
+            columns = [[ids[k] for k in at], [len(texts[k]) for k in at], [hashlib.sha256(t.encode()).hexdigest() for t in made], [shown(x) for x in own],
+                       [shown(x) for x in edited], likeness(own, edited), likeness(own, after)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS)], RESULT)
+        ids, texts, closes = ids[-1:], texts[-1:], closes[-1:]
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """Add the number of its range to each row, rising in the order of
+    ``ORDER``. An id that several quantiles fall on has as many ranges more,
+    cut by the hash of the text."""
+    n = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx("down", [(k + 1) / n for k in range(n - 1)] or [0.5])).first()[0] or []
+    cuts = F.array(*map(F.lit, cuts)).cast("array<bigint>")
+    below = F.size(F.filter(cuts, lambda c: c < F.col("down")))
+    equal = F.size(F.filter(cuts, lambda c: c == F.col("down")))
+    share = F.col("hash") / F.lit(2.0**64) + 0.5
+    return rows.withColumn("range", (below + F.least(F.floor(share * (equal + 1)), equal)).cast("int"))
+
+
+ORDER = ["range", "closes", "down", "missing", "hash"]
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("hash"), F.col("copy")]
-    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("copy", F.monotonically_increasing_id())
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    made = stored(arrow_pass(ranges, _of_ranges, SCHEMA + ", range int, end string, text string"), "fingerprints")
-    # one row for each range: its first text and the range before it
-    firsts = made.where("end = 'first'").select("range", F.col("text").alias("after"))
-    before = W.orderBy("range")
-    links = firsts.select("range", F.coalesce(F.lag("range").over(before), F.max("range").over(W.partitionBy())).alias("of"))
-    lasts = made.where("end = 'last'").select("doc_id", "text", F.col("range").alias("of"))
-    ends = lasts.join(links, "of").join(firsts, "range").select("doc_id", "text", "after")
-    return made.where("end is null").select(*RESULT).unionByName(arrow_pass(ends, _at_ends, SCHEMA))
+    # the complement of an id falls as the id rises, and does not overflow
+    rows = rows.withColumn("down", F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1))).withColumn("missing", F.col("doc_id").isNull())
+    rows = _ranges(rows.withColumn("hash", F.xxhash64("text")))
+    # a row for each range, however many documents there are
+    heads = rows.groupBy("range").agg(F.min(F.struct("down", "missing", "hash")).alias("head")).select("range", "head.*")
+    firsts = rows.join(F.broadcast(heads), ["range", "down", "missing", "hash"], "left_semi").groupBy("range").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    firsts = stored(firsts, "fingerprint-ranges")
+    there = sorted(r[0] for r in firsts.select("range").collect())
+    before = docs.sparkSession.createDataFrame(list(zip(there, there[-1:] + there[:-1])), "range int, before int")
+    closing = firsts.join(before, "range").select(F.col("before").alias("range"), "doc_id", "text", *(F.lit(None).cast(t).alias(c) for c, t in (("down", "long"), ("missing", "boolean"), ("hash", "long"))), F.lit(True).alias("closes"))
+    laid = rows.withColumn("closes", F.lit(False)).unionByName(closing).repartition("range").sortWithinPartitions(*ORDER)
+    return arrow_pass(laid.select("doc_id", "text", "closes"), _of_ranges, SCHEMA)
