@@ -7,16 +7,21 @@ which kind of text it resembles. A logistic curve, fitted on labelled texts
 that built neither dictionary and moved to the labels' own shares, makes it a
 score between 0 and 1.
 
-Fitting uses a bounded sample of the labelled texts (``per_class`` texts of
-each label, of each at most ``sample_bytes`` bytes; the rows with the smallest
-hashes of their ids, so that it does not depend on partitions). Scoring reads
-every whole text.
+Fitting uses a bounded sample of the labelled texts: ``per_class`` texts of
+each label, the rows with the smallest hashes of their ids, so that it does not
+depend on partitions. Half of them build the dictionaries, each with up to
+``of_text`` blocks drawn by hash out of the whole text, so that long texts do
+not fill a dictionary. The other half fits the curve: their differences are computed over whole texts, by tasks. Scoring reads every whole
+text, however long. What reaches the driver are the blocks and a number for
+each text of the second half.
 
 A null or empty text, and one of blanks only, gets the score of difference
-0. Labels that are null, and labels of documents that are missing, are not
+0. Texts with equal differences get equal scores. Labels that are null, and labels of documents that are missing, are not
 learnt from; of several labels of a document the largest counts. If one of
 the two labels is missing altogether, each text gets the share of label 1
-(0.5 without any label). Repeated rows are scored alike.
+(0.5 without any label). Repeated rows are scored alike. An empty table gives an
+empty result. ``accepted`` keeps all columns, whatever their names; ``score`` and
+``classified`` ignore columns with names of the result.
 """
 
 from __future__ import annotations
@@ -27,14 +32,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, small_pieces
+from .common import arrow_pass, as_bytes, small_pieces, stored
 
 FOLDS = 5
-#: Bounds of the labelled sample.
-PER_CLASS, SAMPLE_BYTES = 1500, 8192
+#: Bounds of the labelled sample, for each label.
+PER_CLASS, OF_TEXT = 1500, 4
 BLOCK = 2048
 DICTIONARY = 256 << 10
 LEVEL = 3
@@ -59,10 +64,9 @@ def blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of the texts' blocks; their plain end where there is too
-    little text to build one from."""
-    parts = [b for t in texts for b in blocks(t)]
+def dictionary(parts: list[bytes]) -> bytes:
+    """A dictionary of blocks; their plain end where there is too little text
+    to build one from."""
     try:
         return zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -102,9 +106,21 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Learn from labelled documents outside the held-out fold. At most
-    ``2 * per_class`` texts reach the driver, where the model is made."""
+def _measured(sample: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+    """doc_id, label and difference of whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        difference = Differences(good, bad)
+        for b in small_pieces(batches):
+            x = [difference(t) for t in as_bytes(b.column("bytes"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(x, pa.float64())], ["doc_id", "label", "difference"])
+
+    return arrow_pass(sample.select("doc_id", "label", "bytes"), run, "doc_id long, label int, difference double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, of_text: int = OF_TEXT) -> Model:
+    """Learn from labelled documents outside the held-out fold, from a sample
+    of at most ``2 * per_class`` texts."""
     marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
               .where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
               .where(fold(F.col("doc_id")) != 0).withColumn("key", F.xxhash64("doc_id")))
@@ -113,20 +129,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
         part = marked.where(F.col("label") == label).orderBy("key", "doc_id").limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("bytes"))
-    rows = (texts.join(drawn, "doc_id").where("length(bytes) > 0").groupBy("doc_id", "label", "key")
-            .agg(F.max(F.substring("bytes", 1, sample_bytes)).alias("bytes")).orderBy("key", "doc_id").collect())
-    found = {label: [bytes(r.bytes) for r in rows if r.label == label] for label in (0, 1)}
-    if min(map(len, found.values())) < 2:
-        return Model(b"", b"", 0.0, 0.0, len(found[1]) / len(rows) if rows else 0.5)
-    halves = {label: (found[label][0::2], found[label][1::2]) for label in found}
-    good, bad = dictionary(halves[1][0]), dictionary(halves[0][0])
-    difference = Differences(good, bad)
-    x = np.array([difference(t) for label in (0, 1) for t in halves[label][1]])
-    y = np.repeat([0.0, 1.0], [len(halves[label][1]) for label in (0, 1)])
+    sample = texts.join(drawn, "doc_id").where("length(bytes) > 0").groupBy("doc_id", "label", "key").agg(F.max("bytes").alias("bytes"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("key", "doc_id"))
+    sample = stored(sample.withColumn("half", place % 2), "quality-sample")
+    found = {(r.label, r.half): r["count"] for r in sample.groupBy("label", "half").count().collect()}
+    n = {label: found.get((label, 0), 0) + found.get((label, 1), 0) for label in (0, 1)}
+    if min(n.values()) < 2:
+        return Model(b"", b"", 0.0, 0.0, n[1] / sum(n.values()) if sum(n.values()) else 0.5)
+    starts = F.sequence(F.lit(0), F.floor((F.length("bytes") - 1) / BLOCK).cast("int"))
+    cut = sample.where("half = 1").select("label", "doc_id", "bytes", F.explode(starts).alias("at"))
+    drawn = F.row_number().over(Window.partitionBy("label", "doc_id").orderBy(F.xxhash64("doc_id", "at"), "at"))
+    cut = cut.select("label", "doc_id", "at", F.substring("bytes", F.col("at") * BLOCK + 1, F.lit(BLOCK)).alias("block"), drawn.alias("drawn")).where(F.col("drawn") <= of_text)
+    blocks_ = sorted(cut.select("label", F.xxhash64("doc_id").alias("key"), "doc_id", "at", "block").collect())
+    built = [dictionary([bytes(r.block) for r in blocks_ if r.label == label]) for label in (1, 0)]
+    measured = sorted(tuple(r) for r in _measured(sample.where("half = 0"), *built).collect())
+    x, y = np.array([m[2] for m in measured]), np.array([float(m[1]) for m in measured])
     slope, offset = logistic(x * 100, y)
     shares = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    offset += np.log(shares[1] / shares[0]) - np.log(len(halves[1][1]) / len(halves[0][1]))
-    return Model(good, bad, slope, float(offset))
+    offset += np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return Model(*built, slope, float(offset))
 
 
 def probability(model: Model, difference):
