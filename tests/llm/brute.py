@@ -79,7 +79,7 @@ def counts(text):
     return len(w), sum(map(len, w)), sum(text.count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
-def lines(docs, min_docs, min_tokens=4, lead=3, constant=0.8, similar=0.6, most=0.5):
+def lines(docs, min_docs, lead=3, constant=0.8, similar=0.6, most=0.5):
     """{(id, text): kept text} of distinct (id, text) pairs."""
     mask = lambda t: "<*>" if re.search("[0-9]", t) else t
     keyed = {(i, t or "") for i, t in docs}
@@ -87,7 +87,7 @@ def lines(docs, min_docs, min_tokens=4, lead=3, constant=0.8, similar=0.6, most=
     for d in keyed:
         for at, line in enumerate(d[1].split("\n")):
             tokens = tuple(mask(t) for t in WORD.findall(line))
-            if len(tokens) >= min_tokens:
+            if len(tokens) > lead or any(t != "<*>" for t in tokens):
                 leaf = len(tokens), tokens[:lead]
                 leaf_docs[leaf].add(d)
                 found.append((d, at, leaf, tokens))
@@ -101,19 +101,43 @@ def lines(docs, min_docs, min_tokens=4, lead=3, constant=0.8, similar=0.6, most=
         n, t = max((n, t.encode()) for t, n in c.items())
         return t.decode() if n >= constant * sum(c.values()) else "<*>"
 
-    template = {x: top(c) for x, c in spots.items()}
-    hits = [(d, at, leaf, tokens) for d, at, leaf, tokens in found if sum(t == template[leaf, i] != "<*>" for i, t in enumerate(tokens)) >= similar * len(tokens)]
-    matched = defaultdict(set)
-    for d, _, leaf, _ in hits:
-        matched[leaf].add(d)
-    drop, words = defaultdict(set), Counter()
-    for d, at, leaf, tokens in hits:
-        if len(matched[leaf]) >= min_docs:
-            drop[d].add(at)
-            words[d] += len(tokens)
+    def equal(tokens, template):
+        return sum(a == b != "<*>" for a, b in zip(tokens, template))
+
+    def near(tokens, template):
+        rest = equal(tokens[lead:], template[lead:])
+        return (rest >= similar * (len(tokens) - lead) or (tokens == template and rest > 0)) and equal(tokens, template) >= similar * len(tokens)
+
+    main = {x: top(c) for x, c in spots.items()}
+    main = {leaf: tuple(main[leaf, i] for i in range(leaf[0])) for leaf in {x[2] for x in found}}
+    hits = defaultdict(list)
+    for d, at, leaf, tokens in found:
+        if len(tokens) <= lead or (equal(tokens, main[leaf]) >= similar * len(tokens) and equal(tokens[lead:], main[leaf][lead:]) > 0):
+            hits[leaf, main[leaf]].append((d, at, len(tokens)))
+    # further templates: what recurs at its position, of lines that are similar to it
+    own, docs_of, lines_of = {}, defaultdict(set), Counter()
+    for d, at, leaf, tokens in found:
+        if len(tokens) > lead:
+            p = tuple(t if i < lead or (t != "<*>" and spots[leaf, i][t] >= min_docs) else "<*>" for i, t in enumerate(tokens))
+            if any(t != "<*>" for t in p[lead:]) and near(tokens, p):
+                own[leaf, tokens] = p
+                docs_of[leaf, p].add(d)
+                lines_of[leaf, p] += 1
+    further = defaultdict(list)
+    for (leaf, p), n in lines_of.items():
+        if n >= min_docs and len(docs_of[leaf, p]) >= min_docs:
+            further[leaf].append(p)
+    drop = defaultdict(dict)
+    for (leaf, _), rows in hits.items():
+        if len({d for d, _, _ in rows}) >= min_docs:
+            for d, at, n in rows:
+                drop[d][at] = n
+    for d, at, leaf, tokens in found:
+        if any(near(tokens, p) for p in further[leaf]):
+            drop[d][at] = len(tokens)
     out = {}
     for d in keyed:
-        whole = words[d] > most * len(WORD.findall(d[1]))
+        whole = sum(drop[d].values()) > most * len(WORD.findall(d[1]))
         out[d] = d[1] if whole else "\n".join(x for k, x in enumerate(d[1].split("\n")) if k not in drop[d])
     return out
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from trade_insights.llm import lines
+from trade_insights.llm.oracle import LINES
 
 import brute
 
@@ -37,6 +38,49 @@ def test_equal_to_brute_force(spark, seed, min_docs):
     assert sum(r.n_dropped for r in rows) > 10 and any(r.left_whole for r in rows)
 
 
+def twin(docs):
+    """{doc_id: (n_lines, n_dropped, left_whole, sha)} by the DuckDB twin."""
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs], pa.string())}))
+    return {r[0]: r[1:] for r in con.sql(LINES).fetchall()}
+
+
+def agree(spark, docs):
+    rows = lines.digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == twin(docs)
+
+
+def mixed_corpus():
+    """Two templates in a leaf, short one-offs, short footers, pages with long footers."""
+    footers = ["Please read our terms before you use any part of this site", "Please read our news every morning and tell all friends about them"]
+    docs = [page(i, footers[i % 2]) for i in range(40)] + [page(100 + i, f"This is a {name(i)}") for i in range(12)] + [page(200 + i, "All rights reserved.") for i in range(12)]
+    docs += [page(300 + i, "Posted by user {} at noon in the large public reading room".format(name(i))) for i in range(15)] + [page(400 + i, "Posted by user {} who has left us many years ago already".format(name(i))) for i in range(15)]
+    docs += [(500 + i, f"{name(i)} {name(i + 50)}\n" + " ".join(["Terms of use and privacy notes"] * 4)) for i in range(15)] + [page(600 + i, "1 22 333") for i in range(12)] + [page(700 + i, "Read more") for i in range(9)]
+    docs += [(800 + i, docs[0][1]) for i in range(12)] + [(900, None), (901, ""), (902, "\n \n")]
+    return docs
+
+
+def test_operator_twin_and_plain_version_agree(spark):
+    docs = mixed_corpus()
+    agree(spark, docs)
+    want, rows = brute.lines(docs, 10), lines.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text or "" for r in rows} == {i: want[i, t or ""] for i, t in docs}
+    ids = [i for i, _ in corpus(1)]
+    once = [(i, t) for i, t in corpus(1) if i is not None and ids.count(i) == 1]
+    agree(spark, once)
+
+
+def test_short_lines(spark):
+    assert left(spark, [page(i, "All rights reserved.") for i in range(12)]) == []
+    assert left(spark, [page(i, "Menu") for i in range(10)] + [page(50 + i, "Home page") for i in range(9)]) == ["Home page"] * 9
+    assert left(spark, [page(i, f"Page {i}") for i in range(12)]) == []
+    numbers = [f"{i} {i + 1}" for i in range(12)]  # fields only
+    assert left(spark, [page(i, t) for i, t in enumerate(numbers)]) == sorted(numbers)
+
+
 def test_no_python_on_the_path(spark):
     df = spark.createDataFrame(corpus(1), "doc_id long, text string")
     plan = lines.digests(df)._jdf.queryExecution().executedPlan().toString()

@@ -15,29 +15,37 @@ and stand in ``MIN_DOCS`` documents make a template. A line belongs to it if
 ``SIMILAR`` of its tokens, and of those after the leading ones, are the
 template's, or if it is the template itself.
 
+Lines of up to ``LEAD`` tokens have a leaf of their own for each masked list of
+tokens, whose template is this list; one of fields only has none.
+
 A document more than half of whose words stand in such lines is a copy of
 others rather than a page with furniture; it is left whole, as whole copies
-are the work of near-duplicate detection.
+are the work of near-duplicate detection. This is a rule of the operator, not
+a limit of its work: near copies that differ in a line and short pages with
+long common parts look alike, and cutting the former would leave of each copy
+only what it has of its own.
 
 Only DataFrame functions are used. Leaves with too few documents are dropped
 before any token is counted, equal lines are counted once with their number,
 and what a hot line gathers is summed before each shuffle.
 
-A null text stays null and an empty one empty. Lines of fewer than
-``MIN_TOKENS`` tokens, blank lines among them, are never dropped. Rows that
+A null text stays null and an empty one empty. Blank lines are never dropped.
+Long texts and long lines are handled like any other; equal counts of tokens at
+a position go to the largest token. Rows that
 agree in doc_id and text are treated alike and count as one document; a null
 doc_id is a value like any other. An empty table gives an empty result. Other
-columns are passed through.
+columns are passed through, also such with names that are used here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANK_RUN, stored, words
+from .common import once as _once
 
-MIN_TOKENS, LEAD = 4, 3
+LEAD = 3
 MIN_DOCS = 10
 CONSTANT, SIMILAR = 0.8, 0.6
 #: Share of a document's words in recurring lines beyond which it is left whole.
@@ -55,18 +63,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _once(c: Column, name: str) -> Column:
-    """A column computed once for a row though expressions on it, lambdas too,
-    read it often: the optimiser does not move a generator's output."""
-    return F.inline(F.array(F.struct(c.alias(name))))
-
-
 def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(line, BLANK_RUN), "")
 
 
 def _leaf(tokens: Column) -> Column:
-    return F.when(F.size(tokens) >= MIN_TOKENS, F.xxhash64(F.size(tokens), *(_masked(F.get(tokens, F.lit(i))) for i in range(LEAD))))
+    own = (F.size(tokens) > LEAD) | F.exists(tokens, lambda t: ~t.rlike("[0-9]"))
+    return F.when(own, F.xxhash64(F.size(tokens), *(_masked(F.get(tokens, F.lit(i))) for i in range(LEAD))))
 
 
 def _equal(tokens: Column, template: Column) -> Column:
@@ -75,7 +78,7 @@ def _equal(tokens: Column, template: Column) -> Column:
 
 
 def _rest(tokens: Column) -> Column:
-    return F.slice(tokens, LEAD + 1, F.size(tokens) - LEAD)
+    return F.slice(tokens, LEAD + 1, F.greatest(F.size(tokens) - LEAD, F.lit(0)))
 
 
 def _near(tokens: Column, template: Column) -> Column:
@@ -87,13 +90,18 @@ def _near(tokens: Column, template: Column) -> Column:
 
 
 def _further(found: DataFrame, kinds: DataFrame, spots: DataFrame, min_docs: int) -> DataFrame:
-    """The further templates of each leaf: of each line, the tokens that stand
-    at their position in ``min_docs`` of the leaf's lines are constant, and
-    lines of equal constants make a template if they stand in ``min_docs``
-    documents."""
-    often = spots.where((F.col("n") >= min_docs) & (F.col("i") >= LEAD) & (F.col("token") != VARIABLE)).select("leaf", "i", "token")
-    constant = kinds.select("leaf", "line", F.posexplode("tokens").alias("i", "token")).join(often, ["leaf", "i", "token"], "left_semi")
-    constant = constant.groupBy("leaf", "line").agg(F.collect_list("i").alias("at"))
+    """leaf and line of the lines that belong to further templates of their
+    leaf: of each line, the tokens that stand at their position in ``min_docs``
+    of the leaf's lines are constant, and lines of equal constants make a
+    template if they stand in ``min_docs`` documents.
+
+    A line that agrees with m of a template's k constants has one of any
+    k - m + 1 of them; lines and templates meet by the rarest so many.
+    """
+    often = stored(spots.where((F.col("n") >= min_docs) & (F.col("i") >= LEAD) & (F.col("token") != VARIABLE)), "lines-often")
+    placed = kinds.where(F.size("tokens") > LEAD).select("leaf", "line", F.posexplode("tokens").alias("i", "token"))
+    placed = stored(placed.join(often.select("leaf", "i", "token"), ["leaf", "i", "token"], "left_semi"), "lines-constants")
+    constant = placed.groupBy("leaf", "line").agg(F.collect_list("i").alias("at"))
     pattern = F.transform("tokens", lambda t, i: F.when((i < LEAD) | F.array_contains("at", i), t).otherwise(VARIABLE))
     own = kinds.join(constant, ["leaf", "line"]).select("leaf", "line", "n", "tokens", _once(pattern, "pattern")).where(_near(F.col("tokens"), F.col("pattern")))
     own = stored(own.select("leaf", "line", "n", "pattern", F.xxhash64("pattern").alias("kind")), "lines-patterns")
@@ -101,7 +109,15 @@ def _further(found: DataFrame, kinds: DataFrame, spots: DataFrame, min_docs: int
     wanted = stored(wanted.drop("n"), "lines-wanted")
     at = found.select("leaf", "line", *KEY).join(own.join(wanted, ["leaf", "kind"], "left_semi").select("leaf", "line", "kind"), ["leaf", "line"])
     enough = at.select("leaf", "kind", *KEY).distinct().groupBy("leaf", "kind").count().where(F.col("count") >= min_docs)
-    return wanted.join(enough, ["leaf", "kind"], "left_semi").groupBy("leaf").agg(F.collect_list("pattern").alias("further"))
+    templates = stored(wanted.join(enough, ["leaf", "kind"], "left_semi"), "lines-kinds-wanted")
+    parts = templates.select("leaf", "kind", F.size("pattern").alias("size"), F.posexplode("pattern").alias("i", "token")).join(often, ["leaf", "i", "token"])
+    one = Window.partitionBy("leaf", "kind")
+    parts = parts.select("*", F.row_number().over(one.orderBy("n", "i")).alias("place"), F.count("*").over(one).alias("k"))
+    agreed = F.ceil((F.col("size") - LEAD) * SIMILAR - 1e-9)
+    keys = parts.where(F.col("place") <= F.greatest(F.lit(1), F.col("k") - agreed + 1)).select("leaf", "kind", "i", "token")
+    tried = placed.join(keys, ["leaf", "i", "token"]).select("leaf", "line", "kind").distinct()
+    tried = tried.join(kinds.select("leaf", "line", "tokens"), ["leaf", "line"]).join(templates, ["leaf", "kind"])
+    return tried.where(_near(F.col("tokens"), F.col("pattern"))).select("leaf", "line").distinct()
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -129,8 +145,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     constant = F.when(F.col("top.n") >= F.col("all") * CONSTANT, F.col("top.token")).otherwise(F.lit(VARIABLE))
     templates = stored(spots.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", constant.alias("token")))).alias("template")).select("leaf", F.col("template.token").alias("template")), "lines-templates")
     main = (_equal(F.col("tokens"), F.col("template")) >= F.size("tokens") * SIMILAR) & (_equal(_rest(F.col("tokens")), _rest(F.col("template"))) > 0)
-    near = F.coalesce(F.exists("further", lambda x: _near(F.col("tokens"), x)), F.lit(False))
-    member = kinds.join(templates, "leaf").join(further, "leaf", "left").select("leaf", "line", F.size("tokens").alias("n_tokens"), main.alias("main"), near.alias("near"))
+    main = main | (F.size("tokens") <= LEAD)  # the leaf is the whole list
+    near = F.coalesce("near", F.lit(False))
+    member = kinds.join(templates, "leaf").join(further.withColumn("near", F.lit(True)), ["leaf", "line"], "left").select("leaf", "line", F.size("tokens").alias("n_tokens"), main.alias("main"), near.alias("near"))
     member = stored(member.where("main or near"), "lines-members")
     covered = found.drop("tokens").join(member, ["leaf", "line"])
     wide = stored(covered.groupBy("leaf", "near", *KEY).agg(F.collect_list("place").alias("places"), F.sum("n_tokens").alias("words"), F.max("main").alias("main")), "lines-covered")

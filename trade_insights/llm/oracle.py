@@ -27,22 +27,45 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 WHERE rank <= 20"""
 
+def _rest_equal(t: str, p: str) -> str:
+    """Number of tokens after the third that are the pattern's."""
+    return f"len(list_filter(list_zip({t}[4:], {p}[4:]), lambda z: z[1] = z[2] AND z[1] <> '<*>'))"
+
+
+def _equal(t: str, p: str) -> str:
+    return f"len(list_filter(list_zip({t}, {p}), lambda z: z[1] = z[2] AND z[1] <> '<*>'))"
+
+
+def _alike(t: str, p: str) -> str:
+    """Whether a line belongs to a further template of its leaf."""
+    rest = _rest_equal(t, p)
+    return f"({rest} >= 0.6 * (len({t}) - 3) OR ({t} = {p} AND {rest} > 0)) AND {_equal(t, p)} >= 0.6 * len({t})"
+
+
 LINES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 raw AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
 lines AS (SELECT doc_id, pos, line, list_transform({WORDS.format("line")}, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM raw),
-leaves AS (SELECT *, row(len(t), t[1], t[2], t[3]) AS leaf FROM lines WHERE len(t) >= 4),
+leaves AS (SELECT *, row(len(t), t[1], coalesce(t[2], ''), coalesce(t[3], '')) AS leaf FROM lines WHERE len(t) > 3 OR len(list_filter(t, lambda x: x <> '<*>')) > 0),
 common AS (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
 c AS (SELECT l.* FROM leaves l SEMI JOIN common USING (leaf)),
 tok AS (SELECT leaf, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM c),
 n AS (SELECT leaf, i, x, count(*) AS n FROM tok GROUP BY ALL),
 top AS (SELECT *, sum(n) OVER (PARTITION BY leaf, i) AS total, row_number() OVER (PARTITION BY leaf, i ORDER BY n DESC, x DESC) AS r FROM n),
 template AS (SELECT leaf, list(CASE WHEN n >= 0.8 * total THEN x ELSE '<*>' END ORDER BY i) AS template FROM top WHERE r = 1 GROUP BY leaf),
-hit AS (SELECT doc_id, pos, leaf, len(t) AS n_tokens FROM c JOIN template USING (leaf)
-    WHERE len(list_filter(list_zip(t, template), lambda z: z[1] = z[2] AND z[1] <> '<*>')) >= 0.6 * len(t)),
-often AS (SELECT leaf FROM hit GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
-gone AS (SELECT h.* FROM hit h SEMI JOIN often USING (leaf)),
-share AS (SELECT doc_id, sum(n_tokens) AS n FROM gone GROUP BY doc_id),
+main AS (SELECT doc_id, pos, leaf FROM c JOIN template USING (leaf)
+    WHERE len(t) <= 3 OR ({_equal("t", "template")} >= 0.6 * len(t) AND {_rest_equal("t", "template")} > 0)),
+often AS (SELECT leaf FROM main GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
+kind AS (SELECT leaf, t, count(*) AS n FROM c WHERE len(t) > 3 GROUP BY ALL),
+spot AS (SELECT leaf, t, n, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM kind),
+pattern AS (SELECT leaf, t, any_value(a.n) AS n, list(CASE WHEN i <= 3 OR coalesce(o.n, 0) >= 10 THEN x ELSE '<*>' END ORDER BY i) AS p, sum((i > 3 AND x <> '<*>' AND coalesce(o.n, 0) >= 10)::INTEGER) AS k
+    FROM spot a LEFT JOIN n o USING (leaf, i, x) GROUP BY leaf, t),
+own AS (SELECT leaf, t, n, p FROM pattern WHERE k > 0 AND {_alike("t", "p")}),
+wanted AS (SELECT leaf, p FROM own GROUP BY leaf, p HAVING sum(n) >= 10),
+further AS (SELECT leaf, p FROM wanted JOIN own USING (leaf, p) JOIN c USING (leaf, t) GROUP BY leaf, p HAVING count(DISTINCT doc_id) >= 10),
+near AS (SELECT DISTINCT leaf, t FROM kind JOIN further USING (leaf) WHERE {_alike("t", "p")}),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM main SEMI JOIN often USING (leaf) UNION ALL SELECT doc_id, pos FROM c SEMI JOIN near USING (leaf, t))),
+share AS (SELECT doc_id, sum(len(t)) AS n FROM gone JOIN lines USING (doc_id, pos) GROUP BY doc_id),
 whole AS (SELECT doc_id, coalesce(n, 0) > 0.5 * len({WORDS.format("text")}) AS left_whole FROM d LEFT JOIN share USING (doc_id)),
 cut AS (SELECT g.doc_id, g.pos FROM gone g JOIN whole w USING (doc_id) WHERE NOT left_whole),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept, count(*) AS n_kept FROM lines ANTI JOIN cut USING (doc_id, pos) GROUP BY doc_id)
