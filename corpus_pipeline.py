@@ -3,6 +3,23 @@
 Each stage takes what its predecessor wrote: documents of low quality go, then
 the lines of recurring templates, then all but one of each group of near
 duplicates; the rest is mixed to target weights and encoded.
+
+What the stages do with odd rows:
+
+* A null, empty or blank text has no words: the classifier scores it like one
+  of difference 0, no line of it goes, it is no near duplicate of another
+  document, the mix leaves it out, as it has no tokens.
+* A null doc_id is a document like any other; a null lang or source is a value
+  of its own. Rows that agree in doc_id and text are one document from the near
+  duplicates on; before, each stays with its kind.
+* Equal scores fare alike, of equal documents the smallest doc_id stays, and
+  the mix orders by a hash of doc_id, then by doc_id.
+* Long texts are read whole by every stage. An empty table gives an empty
+  result. Further columns, whatever their names, are passed through until the
+  last stage, which returns doc_id, n_tokens, digests and ids.
+
+The tables that a stage's operators have written go when its result is there,
+and a stage's result goes when that of the next is.
 """
 
 from __future__ import annotations
@@ -11,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trade_insights.llm import bpe, lines, mixing, near, quality
-from trade_insights.llm.common import stored, table
+from trade_insights.llm.common import release, stored, table, written
 from trade_insights.llm.queries import BPE_FILE
 
 #: Share of the tokens at hand that the mix takes, none of them twice.
@@ -51,7 +68,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, first = table(spark, sf_dir, "documents"), written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        release(spark, first)
     return docs

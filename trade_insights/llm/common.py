@@ -40,6 +40,24 @@ def clear(spark: SparkSession) -> None:
     delete_folder(spark, scratch(spark))
 
 
+#: Folders that this driver's applications have written, in order.
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables have been written so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Remove the tables written after the first ``since``, but for the last,
+    into which what read the others has been written."""
+    for at in range(since, len(_written) - 1):
+        if _written[at]:
+            delete_folder(spark, _written[at])
+            _written[at] = ""
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several later steps read to a new folder below the
     cluster's shared checkpoint folder, and read it back: the lineage ends
@@ -48,6 +66,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
