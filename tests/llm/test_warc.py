@@ -24,6 +24,19 @@ def test_round_trip_of_pages(spark):
     assert got == sorted(want)
 
 
+def test_archives_hold_few_records(spark, monkeypatch, tmp_path):
+    """A hot payload, and many empty pages, in one task."""
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 50)
+    pages = [(i, "u", "hot " * 500 if i % 2 else "") for i in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.written(warc.revisited(warc.converted(warc.arc_files(df))).coalesce(1), str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*"))
+    sizes = [sum(1 for _ in warc.warc_records(f.read_bytes())) for f in files]
+    assert max(sizes) <= 50 and sum(sizes) == 401 and len(files) == 9
+    rows = warc.round_trip(df).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in rows) == [(i, "revisit" if i % 2 and i < 399 else "response", 399 if i % 2 and i < 399 else None) for i in range(400)]
+
+
 def test_pages_without_key_are_kept(spark):
     df = spark.createDataFrame([(None, "u", "q" * 2000), (None, "u", "q" * 2000)], "page_id long, url string, html string")
     rows = warc.round_trip(df).collect()

@@ -8,7 +8,9 @@ from the file's name and the record's offset, the time in ISO form, a type by
 the scheme of the address, and SHA-1 digests of block and payload. Records
 whose payloads are equal and not small become revisits of the one with the
 largest key. The archives are written by Spark's text writer (a record ends in
-two line breaks) and read back whole, by declared lengths.
+two line breaks), of at most ``ARCHIVE_RECORDS`` records each, whatever a task
+holds, and read back one by one, by declared lengths. Long payloads are records
+like any other, and equal keys with equal payloads are all originals.
 
 ``key`` is a number that the record's HTTP head carries (``KEY_HEADER``); null
 where it has none. Records of payloads below ``MIN_REVISIT`` bytes, without a key
@@ -44,6 +46,8 @@ FIELDS = {"1": ["URL", "IP-address", "Archive-date", "Content-type", "Archive-le
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of an archive made from a table, about.
 ARCHIVE_BYTES = 4 << 20
+#: Records of a written archive at most: pages of a megabyte on average fill half a gigabyte.
+ARCHIVE_RECORDS = 512
 FILES = "name string, content binary"
 
 
@@ -199,7 +203,8 @@ def warc_text(records: DataFrame) -> DataFrame:
 
 
 def written(records: DataFrame, path: str) -> None:
-    warc_text(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """Write archives; a task of many records begins a new one as often as needed."""
+    warc_text(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
