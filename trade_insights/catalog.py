@@ -115,10 +115,10 @@ QUERIES: dict[str, Query] = {
     "shipments_total": _q(lambda e: R.shipments_total(e, EXPORTER, "exporter")),
     # ---- intelligence
     "company_products": _s(lambda s: I.company_products(X.company_lines(s, COMPANY), COMPANY)),
-    "prospective_clients": _q(lambda e: I.prospective_clients(e, COMPANY)),
+    "prospective_clients": _s(lambda s: I.prospective_clients(s.lines, COMPANY, own=X.company_lines(s, COMPANY))),
     "company_clients": _s(lambda s: I.company_clients(X.company_lines(s, COMPANY), COMPANY)),
     "company_hs_codes": _s(lambda s: I.company_hs_codes(X.company_lines(s, COMPANY), COMPANY)),
-    "cross_sell": _q(lambda e: I.cross_sell(e, COMPANY)),
+    "cross_sell": _s(lambda s: I.cross_sell(s.lines, COMPANY, own=X.company_lines(s, COMPANY))),
     # ---- month comparison (M1-M7)
     "competitor_month_comparison": _q(lambda e: C.competitor_month_comparison(e, COMPETITORS, CUR, PREV)),
     "client_month_comparison": _c(lambda e: C.client_month_comparison(e, CLIENTS, CUR, PREV)),
@@ -148,6 +148,14 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _with_own(report) -> Callable:
+    """A report set on a store, with the company's own lines found by its index."""
+    def build(s: Store) -> dict[str, DataFrame]:
+        return report(s.lines, COMPANY, own=X.company_lines(s, COMPANY))
+    build.blocks = report.blocks
+    return build
+
+
 def _export_blocks(name: str, build, on=_q) -> dict[str, Query]:
     return {f"{name}_{block}": on(lambda e, b=block: build(e)[b]) for block in build.blocks}
 
@@ -160,9 +168,8 @@ QUERIES.update(_export_blocks("export_monthly_comparison",
 QUERIES.update(_export_blocks("export_custom_report",
                               E.bound(E.export_custom_report, countries=FILTER_COUNTRIES,
                                       exporters=FILTER_EXPORTERS, consignees=None, month=None)))
-QUERIES.update(_export_blocks("export_prospective_clients",
-                              E.bound(E.export_prospective_clients, company=COMPANY)))
-QUERIES.update(_export_blocks("export_cross_sell", E.bound(E.export_cross_sell, company=COMPANY)))
+QUERIES.update(_export_blocks("export_prospective_clients", _with_own(E.export_prospective_clients), _s))
+QUERIES.update(_export_blocks("export_cross_sell", _with_own(E.export_cross_sell), _s))
 QUERIES.update(_export_blocks("export_entity_details",
                               E.bound(E.export_entity_details, entity=CONSIGNEE, role="consignee",
                                       month=None), _c))

@@ -44,11 +44,12 @@ def market_totals(e: DataFrame, month: str | None = None) -> DataFrame:
 
 
 def client_vendor_analysis(e: DataFrame, company: str, month: str | None = None,
-                           with_products: bool = True) -> DataFrame:
+                           with_products: bool = True, own: DataFrame | None = None) -> DataFrame:
     """For every client of the company, all its vendors with an
-    own-company flag; by client, then fob desc."""
+    own-company flag; by client, then fob desc. ``own`` may give lines that
+    hold all of the company's."""
     rows = apply_filter(e, month_is(month))
-    clients = (rows.filter(company_like(company) & F.col("consignee_name").isNotNull()
+    clients = (apply_filter(e if own is None else own, month_is(month)).filter(company_like(company) & F.col("consignee_name").isNotNull()
                            & (F.col("consignee_name") != F.lit("")))
                .select("consignee_name").distinct())
     sub = rows.join(clients, "consignee_name", "left_semi")

@@ -2,7 +2,10 @@
 
 The application runs these as two steps (collect keys, then an IN list);
 here each is one plan with a semi / anti join, so no key list ever passes
-through the driver. The own company is matched by ``LIKE %company%``.
+through the driver. The own company is matched by ``LIKE %company%``. Where
+``own`` gives lines that hold all of the company's, such as those that
+``custom.company_lines`` finds by the name index, its codes and clients are
+taken from them instead of from a scan of all lines.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ def company_hs_list(e: DataFrame, company: str) -> DataFrame:
 
 def prospective_clients(e: DataFrame, company: str, k: int | None = 100,
                         min_shipments: int | None = 2, drop_null_name: bool = True,
-                        inr: bool = False) -> DataFrame:
+                        inr: bool = False, own: DataFrame | None = None) -> DataFrame:
     """Buyers of the company's HS codes from other exporters.
 
     Per (consignee, country): shipments, fob, quantity and the distinct HS
@@ -47,7 +50,7 @@ def prospective_clients(e: DataFrame, company: str, k: int | None = 100,
     shipments; top k by fob. Buyers that already buy from the company are
     not excluded (the application does not exclude them either).
     """
-    rows = (e.join(company_hs_list(e, company), "hs_code", "left_semi")
+    rows = (e.join(company_hs_list(e if own is None else own, company), "hs_code", "left_semi")
              .filter(_not_company(company) & _non_blank("consignee_name")))
     if drop_null_name:
         rows = rows.filter(not_placeholder_name("consignee_name"))
@@ -88,12 +91,13 @@ CROSS_SELL_KEYS = ["consignee_name", "hs_code", "product_description", "exporter
                    "country_of_destination", "unit"]
 
 
-def cross_sell_rows(e: DataFrame, company: str, empty_hs_gives_all: bool = True) -> DataFrame:
+def cross_sell_rows(e: DataFrame, company: str, empty_hs_gives_all: bool = True, own: DataFrame | None = None) -> DataFrame:
     """Lines other exporters ship to the company's clients in HS codes the
     company does not sell them. With no company HS codes at all, every HS code
     counts (``empty_hs_gives_all``) or nothing does."""
-    hs = company_hs_codes(e, company)
-    rows = (e.join(company_clients(e, company), "consignee_name", "left_semi")
+    own = e if own is None else own
+    hs = company_hs_codes(own, company)
+    rows = (e.join(company_clients(own, company), "consignee_name", "left_semi")
              .filter(_not_company(company) & F.col("product_description").isNotNull())
              .join(hs, "hs_code", "left_anti"))
     if empty_hs_gives_all:
@@ -102,10 +106,10 @@ def cross_sell_rows(e: DataFrame, company: str, empty_hs_gives_all: bool = True)
     return rows.filter(F.col("hs_code").isNotNull() & hs.exists())
 
 
-def cross_sell(e: DataFrame, company: str, k: int | None = 100) -> DataFrame:
+def cross_sell(e: DataFrame, company: str, k: int | None = 100, own: DataFrame | None = None) -> DataFrame:
     """Per (client, hs, product, competitor, country, unit) shipments,
     fob and quantity; top k by fob."""
-    out = cross_sell_rows(e, company).groupBy(*CROSS_SELL_KEYS).agg(
+    out = cross_sell_rows(e, company, own=own).groupBy(*CROSS_SELL_KEYS).agg(
         M.shipments(), M.fob_total(), M.qty_total())
     out = out.select(
         F.col("consignee_name").alias("client_name"), "country_of_destination", "hs_code",

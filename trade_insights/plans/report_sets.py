@@ -148,17 +148,18 @@ def export_custom_report(e: DataFrame, countries: str | None = None, exporters:
 
 
 @blocks("prospects", "products", "own_products")
-def export_prospective_clients(e: DataFrame, company: str):
+def export_prospective_clients(e: DataFrame, company: str, own: DataFrame | None = None):
     """All prospects with INR (no limit), their per-product detail (no
     minimum and no 'NULL'-name filter) and the company's own products."""
-    p = I.prospective_clients(e, company, k=None, inr=True)
+    mine = e if own is None else own
+    p = I.prospective_clients(e, company, k=None, inr=True, own=own)
     prospects = p.select(
         F.col("consignee_name").alias("Consignee Name"), F.col("country_of_destination").alias("Country"),
         F.col("total_shipments").alias("Total Shipments"), F.col("total_fob").alias("Total FOB (USD)"),
         F.col("total_fob_inr").alias("Total FOB (INR)"), F.col("total_quantity").alias("Total Quantity"),
         F.col("hs_codes").alias("HS Codes"), F.col("products").alias("Products"),
         F.col("current_suppliers").alias("Current Suppliers"))
-    rows = (e.join(I.company_hs_list(e, company), "hs_code", "left_semi")
+    rows = (e.join(I.company_hs_list(mine, company), "hs_code", "left_semi")
              .filter(~company_like(company) & F.col("consignee_name").isNotNull()
                      & (F.col("consignee_name") != F.lit(""))))
     keys = ["consignee_name", "product_description", "hs_code", "exporter_name", "unit"]
@@ -169,20 +170,20 @@ def export_prospective_clients(e: DataFrame, company: str):
         F.col("hs_code").alias("HS Code"), "Shipments", "FOB (USD)", "FOB (INR)", "Quantity",
         F.col("unit").alias("Unit"), F.col("exporter_name").alias("Current Supplier"),
     ).orderBy(desc("FOB (USD)"))
-    own = I.company_products(e, company).select(
+    own_products = I.company_products(mine, company).select(
         F.col("hs_code").alias("HS Code"), F.col("product_description").alias("Product"),
         F.col("data_type").alias("Category"))
-    return {"prospects": prospects, "products": products, "own_products": own}
+    return {"prospects": prospects, "products": products, "own_products": own_products}
 
 
 # ---------------------------------------------------------------- E5
 
 
 @blocks("opportunities", "clients")
-def export_cross_sell(e: DataFrame, company: str):
+def export_cross_sell(e: DataFrame, company: str, own: DataFrame | None = None):
     """E5: all cross-sell opportunities with INR — none when the company has
     no HS codes — and the company's client list."""
-    rows = I.cross_sell_rows(e, company, empty_hs_gives_all=False)
+    rows = I.cross_sell_rows(e, company, empty_hs_gives_all=False, own=own)
     agg = rows.groupBy(*I.CROSS_SELL_KEYS).agg(
         M.shipments("Shipments"), M.fob_total("Total FOB (USD)"), M.fob_total_inr("Total FOB (INR)"),
         M.qty_total("Total Quantity"))
@@ -192,7 +193,7 @@ def export_cross_sell(e: DataFrame, company: str):
         F.col("exporter_name").alias("Competitor"), "Shipments", "Total FOB (USD)", "Total FOB (INR)",
         "Total Quantity", F.col("unit").alias("Unit"),
     ).orderBy(desc("Total FOB (USD)"))
-    clients = I.company_clients(e, company).select(F.col("consignee_name").alias("Client Name"))
+    clients = I.company_clients(e if own is None else own, company).select(F.col("consignee_name").alias("Client Name"))
     return {"opportunities": opp, "clients": clients}
 
 
