@@ -73,6 +73,15 @@ def test_operator_twin_and_plain_version_agree(spark):
     agree(spark, once)
 
 
+def test_repeated_rows_count_once(spark):
+    docs = [page(i, "All rights reserved by the owners") for i in range(6)]
+    df = spark.createDataFrame(docs * 3, "doc_id long, text string")
+    assert {r.n_dropped for r in lines.cleaned(df).collect()} == {0}
+    more = docs + [page(100 + i, "All rights reserved by the owners") for i in range(4)]
+    rows = lines.cleaned(spark.createDataFrame(more + docs * 2, "doc_id long, text string")).collect()
+    assert len(rows) == 22 and {r.n_dropped for r in rows} == {1}
+
+
 def test_short_lines(spark):
     assert left(spark, [page(i, "All rights reserved.") for i in range(12)]) == []
     assert left(spark, [page(i, "Menu") for i in range(10)] + [page(50 + i, "Home page") for i in range(9)]) == ["Home page"] * 9

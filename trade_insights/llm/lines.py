@@ -58,9 +58,13 @@ def _masked(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(token)
 
 
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("-"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with a digest, one row for rows that agree in both."""
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """doc_id (as text that is never null), digest of the text, and text."""
+    return docs.select(_id(F.col("doc_id")).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _tokens(line: Column) -> Column:
@@ -89,14 +93,15 @@ def _near(tokens: Column, template: Column) -> Column:
     return similar & (_equal(tokens, template) >= F.size(tokens) * SIMILAR)
 
 
-def _further(found: DataFrame, kinds: DataFrame, spots: DataFrame, min_docs: int) -> DataFrame:
+def _further(found: DataFrame, kinds: DataFrame, spots: DataFrame, covered: DataFrame, min_docs: int) -> DataFrame:
     """leaf and line of the lines that belong to further templates of their
-    leaf: of each line, the tokens that stand at their position in ``min_docs``
+    leaf, but for those ``covered`` already: of each line, the tokens that stand at their position in ``min_docs``
     of the leaf's lines are constant, and lines of equal constants make a
     template if they stand in ``min_docs`` documents.
 
-    A line that agrees with m of a template's k constants has one of any
-    k - m + 1 of them; lines and templates meet by the rarest so many.
+    A line whose own constants make a template belongs to it. Of the others,
+    one that agrees with m of a template's k constants has one of any k - m + 1
+    of them; lines and templates meet by the rarest so many.
     """
     often = stored(spots.where((F.col("n") >= min_docs) & (F.col("i") >= LEAD) & (F.col("token") != VARIABLE)), "lines-often")
     placed = kinds.where(F.size("tokens") > LEAD).select("leaf", "line", F.posexplode("tokens").alias("i", "token"))
@@ -115,9 +120,11 @@ def _further(found: DataFrame, kinds: DataFrame, spots: DataFrame, min_docs: int
     parts = parts.select("*", F.row_number().over(one.orderBy("n", "i")).alias("place"), F.count("*").over(one).alias("k"))
     agreed = F.ceil((F.col("size") - LEAD) * SIMILAR - 1e-9)
     keys = parts.where(F.col("place") <= F.greatest(F.lit(1), F.col("k") - agreed + 1)).select("leaf", "kind", "i", "token")
-    tried = placed.join(keys, ["leaf", "i", "token"]).select("leaf", "line", "kind").distinct()
+    owned = own.join(templates.select("leaf", "kind"), ["leaf", "kind"], "left_semi").select("leaf", "line")
+    open_ = placed.join(covered.unionByName(owned), ["leaf", "line"], "left_anti")
+    tried = open_.join(keys, ["leaf", "i", "token"]).select("leaf", "line", "kind").distinct()
     tried = tried.join(kinds.select("leaf", "line", "tokens"), ["leaf", "line"]).join(templates, ["leaf", "kind"])
-    return tried.where(_near(F.col("tokens"), F.col("pattern"))).select("leaf", "line").distinct()
+    return owned.unionByName(tried.where(_near(F.col("tokens"), F.col("pattern"))).select("leaf", "line").distinct())
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -131,8 +138,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     at = placed.select(*KEY, F.posexplode("leaves").alias("place", "leaf")).where("leaf is not null").join(common, "leaf", "left_semi")
     at = stored(at.groupBy(*KEY).agg(F.collect_list(F.struct("place", "leaf")).alias("at")), "lines-places")
     # the candidate lines themselves, from one pass over the texts
-    same = F.col("o.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("o.digest") == F.col("a.digest"))
-    found = keyed.alias("o").join(at.alias("a"), same).select("a.doc_id", "a.digest", "at", _once(F.split("text", "\n"), "lines"))
+    found = keyed.groupBy(*KEY).agg(F.first("text").alias("text")).join(at, KEY).select(*KEY, "at", _once(F.split("text", "\n"), "lines"))
     tokens = lambda x: F.transform(_tokens(F.get(F.col("lines"), x)), _masked)
     found = found.select(*KEY, F.inline(F.transform("at", lambda x: F.struct(x["place"].alias("place"), x["leaf"].alias("leaf"), tokens(x["place"]).alias("tokens")))))
     found = found.withColumn("line", F.xxhash64("tokens"))
@@ -140,20 +146,17 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     kinds = stored(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")), "lines-kinds")
     spots = kinds.select("leaf", "n", F.posexplode("tokens").alias("i", "token"))
     spots = stored(spots.groupBy("leaf", "i", "token").agg(F.sum("n").alias("n")), "lines-spots")
-    further = stored(_further(found, kinds, spots, min_docs), "lines-further")
-    spots = spots.groupBy("leaf", "i").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
+    tops = spots.groupBy("leaf", "i").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") >= F.col("all") * CONSTANT, F.col("top.token")).otherwise(F.lit(VARIABLE))
-    templates = stored(spots.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", constant.alias("token")))).alias("template")).select("leaf", F.col("template.token").alias("template")), "lines-templates")
+    templates = stored(tops.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", constant.alias("token")))).alias("template")).select("leaf", F.col("template.token").alias("template")), "lines-templates")
     main = (_equal(F.col("tokens"), F.col("template")) >= F.size("tokens") * SIMILAR) & (_equal(_rest(F.col("tokens")), _rest(F.col("template"))) > 0)
     main = main | (F.size("tokens") <= LEAD)  # the leaf is the whole list
-    near = F.coalesce("near", F.lit(False))
-    member = kinds.join(templates, "leaf").join(further.withColumn("near", F.lit(True)), ["leaf", "line"], "left").select("leaf", "line", F.size("tokens").alias("n_tokens"), main.alias("main"), near.alias("near"))
-    member = stored(member.where("main or near"), "lines-members")
-    covered = found.drop("tokens").join(member, ["leaf", "line"])
-    wide = stored(covered.groupBy("leaf", "near", *KEY).agg(F.collect_list("place").alias("places"), F.sum("n_tokens").alias("words"), F.max("main").alias("main")), "lines-covered")
-    enough = stored(wide.where("main").select("leaf", *KEY).distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "lines-recurring")
-    kept = wide.where("near").unionByName(wide.where("not near").join(enough, "leaf", "left_semi").select(wide.columns))
-    return kept.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.sum("words").alias("words_found"))
+    members = stored(kinds.join(templates, "leaf").where(main).select("leaf", "line"), "lines-members")
+    enough = found.join(members, ["leaf", "line"]).select("leaf", *KEY).distinct().groupBy("leaf").count().where(F.col("count") >= min_docs)
+    covered = stored(members.join(enough, "leaf", "left_semi"), "lines-covered")
+    near = stored(_further(found, kinds, spots, covered, min_docs), "lines-further")
+    gone = found.join(covered.unionByName(near).distinct(), ["leaf", "line"])
+    return gone.groupBy(*KEY).agg(F.collect_list("place").alias("places"), F.sum(F.size("tokens")).alias("words_found"))
 
 
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -161,9 +164,9 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     three columns more: n_lines, n_dropped, left_whole."""
     found = stored(recurring(docs, min_docs).select(F.col("doc_id").alias("found_id"), F.col("digest").alias("found_digest"), "places", "words_found"), "lines-found")
     names = [f"c{i}" for i in range(len(docs.columns))]
-    wide = docs.select(F.col("doc_id").cast("string").alias("own_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_digest"), F.col("text").cast("string").alias("own_text"),
+    wide = docs.select(_id(F.col("doc_id")).alias("own_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("own_digest"), F.col("text").cast("string").alias("own_text"),
                        *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names) if c != "text"))
-    out = wide.join(found, F.col("own_id").eqNullSafe(F.col("found_id")) & (F.col("own_digest") == F.col("found_digest")), "left").select("*", _once(F.split("own_text", "\n"), "own_lines"))
+    out = wide.join(found, (F.col("own_id") == F.col("found_id")) & (F.col("own_digest") == F.col("found_digest")), "left").select("*", _once(F.split("own_text", "\n"), "own_lines"))
     whole = F.coalesce(F.col("words_found") > MOST_DROPPED * F.size(words(F.col("own_text"))), F.lit(False))
     lines = F.col("own_lines")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
