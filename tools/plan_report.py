@@ -38,6 +38,20 @@ def summarize(plan: str) -> dict:
     }
 
 
+def read(plan) -> list[tuple[str, int]]:
+    """Table and rows of each file scan that has run, after what was skipped."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return read(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return read(plan.plan())
+    own = []
+    if "FileSourceScan" in kind:
+        folder = re.search(r"/(\w+)/commit=", plan.relation().location().rootPaths().mkString(" ") + " ")
+        own = [(folder.group(1) if folder else "other", plan.metrics().apply("numOutputRows").value())]
+    return own + [x for i in range(plan.children().size()) for x in read(plan.children().apply(i))]
+
+
 def main() -> None:
     from trade_insights.catalog import QUERIES
     from trade_insights.session import local_session
@@ -47,16 +61,19 @@ def main() -> None:
     print(f"# Final physical plans of the registered queries ({os.path.basename(sf_dir)}, local[8], AQE on)\n")
     print("Generated by `tools/plan_report.py` after running each query once (adaptive plans are final). "
           "`exchanges` counts shuffles, `broadcasts` counts broadcast exchanges chosen by size; "
-          "filters are the ones reaching the Parquet scan.\n")
-    print("| query | scans | exchanges | broadcasts | joins | top-k | partition filters | pushed filters |")
-    print("|---|---|---|---|---|---|---|---|")
+          "filters are the ones reaching the Parquet scan. `rows` are those that the scans hand on, after row groups "
+          "and pages were skipped, by table of the store.\n")
+    print("| query | rows | scans | exchanges | broadcasts | joins | top-k | partition filters | pushed filters |")
+    print("|---|---|---|---|---|---|---|---|---|")
     for name, fn in QUERIES.items():
         if name == "incremental_ingest":
             continue
         df = fn(spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        s = summarize(df._jdf.queryExecution().executedPlan().toString())
-        print(f"| `{name}` | {s['scans']} | {s['exchanges']} | {s['broadcasts']} | {s['joins']} | {s['topk']} "
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        s = summarize(plan.toString())
+        rows = ", ".join(f"{table} {n:,}" for table, n in read(plan)) or "—"
+        print(f"| `{name}` | {rows} | {s['scans']} | {s['exchanges']} | {s['broadcasts']} | {s['joins']} | {s['topk']} "
               f"| {s['partition_filters'].replace('|', '/')} | {s['pushed'].replace('|', '/')} |")
 
 

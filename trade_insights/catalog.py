@@ -58,6 +58,12 @@ def _q(fn) -> Query:
     return run
 
 
+def _second_page(e: DataFrame) -> DataFrame:
+    """The page after the last row of the first one."""
+    last = R.shipments_after(e, EXPORTER, "exporter", None, limit=50).collect()[-1]
+    return R.shipments_after(e, EXPORTER, "exporter", last.asDict(), limit=50)
+
+
 def _s(fn) -> Query:
     """A query on the store: its indexes, or its lines in the order it needs."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "entity_clients": _q(lambda e: R.entity_clients(e, EXPORTER)),
     "entity_recent_shipments": _q(lambda e: R.entity_recent_shipments(e, EXPORTER, "exporter")),
     "shipments_page": _q(lambda e: R.shipments_page(e, EXPORTER, "exporter", page=2, limit=50)),
+    "shipments_after": _q(_second_page),
     "shipments_total": _q(lambda e: R.shipments_total(e, EXPORTER, "exporter")),
     # ---- intelligence
     "company_products": _s(lambda s: I.company_products(X.company_lines(s, COMPANY), COMPANY)),
@@ -200,7 +207,7 @@ def _ingest_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = S.staged_import(spark, raw_import_file(spark, sf_dir), "csv", "vegetables", "b2")
-    return S.import_report(staged, S.dedup_exports(staged.filter(~F.col("rejected")))).drop("columns_found")
+    return S.import_report(staged, S.dedup_exports(staged.filter(~F.col("rejected"))))
 
 
 # ---- incremental ingest (S16): each part file of the stand-in uploads is one

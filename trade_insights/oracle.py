@@ -235,6 +235,7 @@ SQL["shipments_page"] = with_view(
     "SELECT " + ", ".join(("CAST(fob_value AS DOUBLE) AS fob_value" if c == "fob_value" else c) for c in _PAGE)
     + f" FROM exports WHERE {_ENT_X} ORDER BY shipment_date {D}, "
     + ", ".join(f"{c} {A}" for c in _PAGE if c != "shipment_date") + " LIMIT 50 OFFSET 50")
+SQL["shipments_after"] = SQL["shipments_page"]
 SQL["shipments_total"] = with_view(f"SELECT COUNT(*) AS total FROM exports WHERE {_ENT_X}")
 
 # ---------------------------------------------------------------- intelligence
@@ -593,7 +594,7 @@ SQL["dedup_exports"] = with_view(_stored(None, "fixture"))
 SQL["import_report"] = with_view(
     "SELECT 'b2' AS upload_batch, n + again + junk AS rows_processed, n + twice AS inserted, "
     "again + junk - twice AS skipped, junk AS no_id_count, undated AS undated_count, "
-    "CAST(0 AS BIGINT) AS fob_overflow_count, 'vegetables' AS data_type FROM (SELECT COUNT(*) AS n, "
+    f"CAST(0 AS BIGINT) AS fob_overflow_count, 'vegetables' AS data_type, {q(','.join(RAW_HEADERS))} AS columns_found FROM (SELECT COUNT(*) AS n, "
     "COUNT(*) FILTER (WHERE quantity < 5) AS again, COUNT(*) FILTER (WHERE quantity > 45) AS junk, "
     f"COUNT(*) FILTER (WHERE quantity < 5 AND ({_NO_ID} OR {_UNDATED})) AS twice, "
     f"COUNT(*) FILTER (WHERE {_UNDATED}) + COUNT(*) FILTER (WHERE quantity < 5 AND {_UNDATED}) AS undated FROM exports)")
