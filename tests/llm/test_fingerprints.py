@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trade_insights.llm import fingerprints
 from trade_insights.llm.common import table
@@ -70,6 +71,15 @@ def test_an_id_with_many_texts_has_many_ranges(spark):
     assert {r.doc_id: r["count"] for r in ranges.collect()}[7] > 10
 
 
+def test_counts_of_cuts(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i,) for i in range(-5, 60)], "down long")
+    for n in (0, 1, 2, 7, 8, 9, 40):
+        cuts = sorted(rng.choice([rng.randrange(50), 20]) for _ in range(n))
+        rows = df.select("down", fingerprints._before(cuts, lambda c: c < F.col("down"), 4).alias("less"), fingerprints._before(cuts, lambda c: c <= F.col("down"), 4).alias("upto")).collect()
+        assert all((r.less, r.upto) == (sum(c < r.down for c in cuts), sum(c <= r.down for c in cuts)) for r in rows)
+
+
 def test_a_single_document_and_an_empty_table(spark):
     rows = fingerprints.with_edits(spark.createDataFrame([(3, "abcdef")], "doc_id long, text string")).collect()
     check(rows, [(3, "abcdef")])

@@ -39,12 +39,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, small_pieces, stored
@@ -193,14 +193,21 @@ def _ranges(rows: DataFrame) -> DataFrame:
     ``ORDER``. An id that several quantiles fall on has as many ranges more,
     cut by the hash of the text."""
     n = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("down", [(k + 1) / n for k in range(n - 1)] or [0.5])).first()[0] or []
-    cuts = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    below = F.size(F.filter(cuts, lambda c: c < F.col("down")))
-    equal = F.size(F.filter(cuts, lambda c: c == F.col("down")))
+    cuts = rows.agg(F.percentile_approx("down", [(k + 1) / n for k in range(n - 1)] or [0.5], max(10_000, 4 * n))).first()[0] or []
+    below = _before(cuts, lambda c: c < F.col("down"))
+    equal = _before(cuts, lambda c: c <= F.col("down")) - below
     share = F.col("hash") / F.lit(2.0**64) + 0.5
     return rows.withColumn("range", (below + F.least(F.floor(share * (equal + 1)), equal)).cast("int"))
 
 
+def _before(cuts: list[int], holds: Callable[[Column], Column], step: int = 128) -> Column:
+    """How many of the rising cuts a condition holds for, which holds for the
+    first ones: counted over every ``step``-th, then over those after it."""
+    values = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    start = F.greatest(F.size(F.filter(values(cuts[::step]), holds)) - 1, F.lit(0)) * step
+    return start + F.size(F.filter(F.slice(values(cuts), start + 1, step), holds))
+
+
 ORDER = ["range", "closes", "down", "missing", "hash"]
 
 
