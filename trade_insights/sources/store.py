@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from urllib.parse import unquote
 
@@ -175,23 +176,27 @@ def write_exports(df: DataFrame, path: str, replaced: list[str] | None = None) -
     at = lambda table: f"{path}/{table}/commit={commit}"
     _write_lines(df, ORDERS["lines"], at("lines"))
     lines = spark.read.schema(EXPORTS_SCHEMA).parquet(at("lines"))
-    _write_lines(lines, ORDERS["by_consignee"], at("by_consignee"))
-    for table in ("keys", "declarations"):
-        _write_index(getattr(indexes, table)(lines), table, at(table))
-    names = _write_index(indexes.names(lines), "names", at("names"))
-    _write_index(indexes.grams(names), "grams", at("grams"))
     scratch = work_dir(spark, f"values-{commit}")
 
-    def place(part: DataFrame) -> DataFrame:
-        part.write.parquet(f"{scratch}/new")
-        return spark.read.schema(part.schema).parquet(f"{scratch}/new")
-
-    values = indexes.values(lines)
-    values.write.parquet(f"{scratch}/all")
-    values = spark.read.schema(values.schema).parquet(f"{scratch}/all")
-    known = _dictionary(spark, path, before.dictionary)
-    new = _write_index(indexes.numbered(values, known, place), "dictionary", at("dictionary"))
-    _write_index(indexes.bitmaps(values, known.unionByName(new)), "bitmaps", at("bitmaps"))
+    def place(part: DataFrame, name: str) -> DataFrame:
+        part.write.parquet(f"{scratch}/{name}")
+        return spark.read.schema(part.schema).parquet(f"{scratch}/{name}")
+
+    def of_names() -> None:
+        names = _write_index(indexes.names(lines), "names", at("names"))
+        _write_index(indexes.grams(names), "grams", at("grams"))
+
+    def of_values() -> None:
+        values, known = place(indexes.values(lines), "all"), _dictionary(spark, path, before.dictionary)
+        new = _write_index(indexes.numbered(values, known, lambda part: place(part, "new")), "dictionary", at("dictionary"))
+        _write_index(indexes.bitmaps(values, known.unionByName(new)), "bitmaps", at("bitmaps"))
+
+    # jobs of few tasks each, side by side
+    work = [lambda: _write_lines(lines, ORDERS["by_consignee"], at("by_consignee")), of_values, of_names,
+            *(lambda t=t: _write_index(getattr(indexes, t)(lines), t, at(t)) for t in ("keys", "declarations"))]
+    with ThreadPoolExecutor(len(work)) as pool:
+        for done in [pool.submit(w) for w in work]:
+            done.result()
     delete_folder(spark, scratch)
     own = sorted({_batch_of(f) for f in _folders(spark, f"{at('lines')}/month_year=*/upload_batch=*")})
     gone = {*own, *(replaced or ())}
