@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from trade_insights.llm import near
@@ -113,6 +114,21 @@ def test_tables_grow_with_the_group(spark, monkeypatch):
         assert sizes[1][name] <= max(3.6 * few + 60, 2 * 1800), (name, few, sizes[1][name])
 
 
+def test_recall_of_pairs_at_the_threshold():
+    """Pairs of similarity 0.8 to 0.85 share a prefix in some tree."""
+    rng = np.random.default_rng(3)
+    depth, found, n = near.prefix_depth(near.SIMILARITY, near.RECALL), 0, 3000
+    for _ in range(n):
+        size = int(rng.integers(60, 300))
+        values = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+        own = int(rng.integers(int(size * 0.15 / 1.85) + 1, int(size * 0.2 / 1.8) + 1))  # of each side
+        a, b = values[:size], np.concatenate([values[own:size], values[size : size + own]])
+        assert 0.8 <= (size - own) / (size + own) <= 0.86
+        x, y = (near.signature(v).reshape(near.TREES, near.DEPTH)[:, :depth] for v in (a, b))
+        found += bool((x == y).all(axis=1).any())
+    assert found >= 0.999 * n
+
+
 def test_prefixes_shorten_until_the_recall_is_reached():
     assert near.prefix_depth(0.8, 0.5) == near.DEPTH
     depth = near.prefix_depth(0.8, near.RECALL)
