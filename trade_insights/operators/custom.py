@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.match import ROLE_COLUMNS, all_of, like_any, month_is
-from ..sources.indexes import lines_of, names_like
+from ..sources.indexes import lines_of
 from ..sources.store import Store
 from .base import by_then_keys, desc
 
@@ -46,12 +46,12 @@ def stored_lines(store: Store, countries: str | None = None, exporters: str | No
     if role is None:
         return store.lines
     column = ROLE_COLUMNS[role]
-    return lines_of(store.by(column), column, names_like(store.names, store.grams, role, terms[role]))
+    return lines_of(store.by(column), column, store.names_like(role, terms[role]))
 
 
 def company_lines(store: Store, company: str) -> DataFrame:
     """The lines of the own company (LIKE match), found in the same way."""
-    return lines_of(store.lines, "exporter_name", names_like(store.names, store.grams, "exporter", [company]))
+    return lines_of(store.lines, "exporter_name", store.names_like("exporter", [company]))
 
 
 def _group_column(countries, exporters) -> Column:

@@ -10,11 +10,14 @@ taken from them instead of from a scan of all lines.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.match import company_like, not_placeholder_name
+from ..session import work_dir
 from .base import by_then_keys, desc, rollup, with_lists
 
 
@@ -40,6 +43,13 @@ def company_hs_list(e: DataFrame, company: str) -> DataFrame:
     return _company_rows(e, company).filter(_non_blank("hs_code")).select("hs_code").distinct()
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared checkpoint folder and read back."""
+    path = work_dir(rows.sparkSession, f"rows-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def prospective_clients(e: DataFrame, company: str, k: int | None = 100,
                         min_shipments: int | None = 2, drop_null_name: bool = True,
                         inr: bool = False, own: DataFrame | None = None) -> DataFrame:
@@ -48,13 +58,16 @@ def prospective_clients(e: DataFrame, company: str, k: int | None = 100,
     Per (consignee, country): shipments, fob, quantity and the distinct HS
     codes, products and current suppliers; at least ``min_shipments``
     shipments; top k by fob. Buyers that already buy from the company are
-    not excluded (the application does not exclude them either).
+    not excluded (the application does not exclude them either). The lines of
+    these codes are written once, in the columns that the sums and the lists
+    both read, so that ``e`` is read and joined once.
     """
     rows = (e.join(company_hs_list(e if own is None else own, company), "hs_code", "left_semi")
              .filter(_not_company(company) & _non_blank("consignee_name")))
     if drop_null_name:
         rows = rows.filter(not_placeholder_name("consignee_name"))
     keys = ["consignee_name", "country_of_destination"]
+    rows = _written(rows.select(*keys, "declaration_id", "fob_value", "quantity", "hs_code", "product_description", "exporter_name"))
     aggs = [M.shipments("total_shipments"), M.fob_total()]
     if inr:
         aggs.append(M.fob_total_inr("total_fob_inr"))

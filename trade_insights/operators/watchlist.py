@@ -16,7 +16,6 @@ from ..functions import metrics as M
 from ..functions.match import like_any
 from ..functions.parse import trimmed
 from ..schema import WATCHLIST_SCHEMA
-from ..sources.indexes import names_like
 from ..sources.store import Store
 from .base import Watchlist, by_then_keys, desc, member_flag
 
@@ -100,7 +99,7 @@ def _search_stored(store: Store, role: str, q: str | None, wl: Watchlist, k: int
     if words is None:
         rows = rows.filter(F.lit(False))
     elif words:
-        rows = rows.join(names_like(store.names, store.grams, role, words), "name", "left_semi")
+        rows = rows.join(store.names_like(role, words), "name", "left_semi")
     order = by_then_keys([desc("shipment_count")], ["name"])
     extra = [M.concat_distinct("country", "countries")] if role == "consignee" else []
     top = rows.groupBy("name").agg(F.sum("lines").alias("shipment_count"), M.money(F.sum("fob")).alias("total_fob"), *extra).orderBy(*order).limit(k)

@@ -65,6 +65,12 @@ def _grams(text: Column) -> Column:
     return F.when(F.char_length(text) >= GRAM, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(GRAM)))))
 
 
+def named(lines: DataFrame) -> DataFrame:
+    """Who exports and who receives, without what ``names`` adds up."""
+    roles = F.array(*(F.struct(F.lit(role).alias("role"), F.col(name).alias("name")) for role, name in (("exporter", "exporter_name"), ("consignee", "consignee_name"))))
+    return lines.select("upload_batch", F.inline(roles))
+
+
 def grams(found: DataFrame) -> DataFrame:
     """From the ``names`` of a commit."""
     once = found.filter("name is not null").select("upload_batch", "role", "name").distinct()
@@ -75,10 +81,15 @@ def declarations(lines: DataFrame) -> DataFrame:
     return lines.filter("declaration_id is not null").select("month_year", "upload_batch", *digest(F.col("declaration_id"))).distinct()
 
 
-def values(lines: DataFrame) -> DataFrame:
-    """Distinct values of the counted columns in each month and batch."""
-    cells = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in COUNTED)))
-    return lines.select("month_year", "upload_batch", cells).filter("value is not null").distinct()
+def values(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct values of the counted columns in each month and batch: names
+    and countries as the lines' ``names`` hold them, the others from the lines."""
+    by_name = F.when(F.col("role") == "exporter", F.lit(COUNTED[0])).otherwise(F.lit(COUNTED[1]))
+    cells = F.inline(F.array(F.struct(by_name.alias("column"), F.col("name").alias("value")), F.struct(F.lit(COUNTED[2]).alias("column"), F.col("country").alias("value"))))
+    rows = found.select("month_year", "upload_batch", cells)
+    for c in COUNTED[3:]:
+        rows = rows.unionByName(lines.select("month_year", "upload_batch", F.lit(c).alias("column"), F.col(c).alias("value")).distinct())
+    return rows.filter("value is not null").distinct()
 
 
 def numbered(found: DataFrame, dictionary: DataFrame, place) -> DataFrame:
