@@ -111,7 +111,17 @@ def candidates(classes: DataFrame, depth: int) -> DataFrame:
         found = rows.join(heads.select(f"p{k}", "head").hint("merge"), f"p{k}").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
         links = found if links is None else links.unionByName(found)
         rows = heads.select(F.col("head").alias("node"), *(F.col(f"q{j}").alias(f"p{j}") for j in range(depth, k)))
-    return links.distinct()
+    return _star(links.distinct())
+
+
+def _star(links: DataFrame) -> DataFrame:
+    """Links that connect what ``links`` (each node's heads, at most one for
+    each tree and depth) connect, but go from a node to its smallest head only,
+    and from there to its other heads. The members of a large group share their
+    heads, so a member has one link, not one for each tree."""
+    own = stored(links.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("heads")), "near-stars")
+    least = F.col("heads")[0]
+    return own.select("a", least.alias("b")).unionByName(own.select(F.explode(F.slice("heads", 2, 1 << 16)).alias("a"), least.alias("b"))).distinct()
 
 
 def _common(found: list[np.ndarray]) -> np.ndarray:
