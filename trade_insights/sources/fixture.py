@@ -17,10 +17,11 @@ back to a shuffled sort-merge join otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import uuid
+from collections.abc import Callable
 
 from ..schema import EXPORT_COLUMNS, MONEY
 from ..session import work_dir
@@ -36,27 +37,62 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SIDES = {"exporter_name": "supplier", "hs_code": "part", "consignee_name": "orders"}
 
 
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables' columns that the lines are made of."""
+    columns = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"],
+               "orders": ["o_orderkey", "o_custkey"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"],
+               "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+               "part": ["p_partkey", "p_name", "p_brand", "p_size"]}
+    return {t: read_table(spark, sf_dir, t).select(*c) for t, c in columns.items()}
+
+
+#: Keys by which the lines meet each side.
+_ON = {"supplier": ("l_suppkey", "s_suppkey"), "part": ("l_partkey", "p_partkey"), "orders": ("l_orderkey", "o_orderkey")}
+
+
+def _on(side: str) -> Column:
+    line, own = _ON[side]
+    return F.col(line) == F.col(own)
+
+
+def _exporter() -> Column:
+    return F.upper("s_name")
+
+
+def _ship_date() -> Column:
+    return F.col("l_shipdate").cast("date")
+
+
+def _month() -> Column:
+    return F.date_format(_ship_date(), "yyyy-MM")
+
+
 def exports_from_tpch(spark: SparkSession, sf_dir: str, by: str = "exporter_name") -> DataFrame:
     """Lazy DataFrame of canonical shipment lines over the test tables. ``by``
     names the column whose side the lines meet first."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    sides = {
-        "supplier": (read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"),
-                     F.col("l_suppkey") == F.col("s_suppkey")),
-        "part": (read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"),
-                 F.col("l_partkey") == F.col("p_partkey")),
-        "orders": (orders.join(customer, F.col("o_custkey") == F.col("c_custkey")),
-                   F.col("l_orderkey") == F.col("o_orderkey")),
-    }
-    lines = li
-    for side in sorted(sides, key=lambda s: s != SIDES.get(by)):
-        lines = lines.join(*sides[side])
-    to = (nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    t = _tables(spark, sf_dir)
+    return _joined(t, t["lineitem"], sorted(_ON, key=lambda s: s != SIDES.get(by)))
+
+
+def exports_of(spark: SparkSession, sf_dir: str, exporters: list[str], months: list[str],
+               place: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The lines of these exporters in these months. What is left of the
+    suppliers, then of the lines, then of the orders is put in a file by
+    ``place``, so that the planner knows its size: few lines are broadcast to
+    the tables that they meet, which no shuffle moves then; many are shuffled."""
+    t = _tables(spark, sf_dir)
+    suppliers = place(t["supplier"].filter(_exporter().isin(exporters)).hint("rebalance"), "supplier")
+    lines = place(t["lineitem"].filter(_month().isin(months)).join(suppliers, _on("supplier")).hint("rebalance"), "lineitem")
+    t["orders"] = place(t["orders"].join(lines, _on("orders"), "left_semi").hint("rebalance"), "orders")
+    return _joined(t, lines, ["part", "orders"])
+
+
+def _joined(t: dict[str, DataFrame], lines: DataFrame, sides: list[str]) -> DataFrame:
+    """The lines with the sides that they have not met yet, in this order."""
+    nation, orders = t["nation"], t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    for side in sides:
+        lines = lines.join(orders if side == "orders" else t[side], _on(side))
+    to = (nation.join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
           .select(F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("cn_name"), "r_name"))
     lines = (
         lines.join(to, F.col("c_nationkey") == F.col("cn_key"))
@@ -64,10 +100,9 @@ def exports_from_tpch(spark: SparkSession, sf_dir: str, by: str = "exporter_name
               F.col("s_nationkey") == F.col("sn_key"))
     )
     category = F.when(F.col("p_partkey") % 2 == 0, F.lit("fruits")).otherwise(F.lit("vegetables"))
-    ship_date = F.col("l_shipdate").cast("date")
     out = lines.select(
         F.col("o_orderkey").cast("string").alias("declaration_id"),
-        F.upper("s_name").alias("exporter_name"),
+        _exporter().alias("exporter_name"),
         F.upper("c_name").alias("consignee_name"),
         F.col("p_name").alias("product_description"),
         category.alias("product_category"),
@@ -80,8 +115,8 @@ def exports_from_tpch(spark: SparkSession, sf_dir: str, by: str = "exporter_name
         F.col("sn_name").alias("port_of_loading"),
         F.concat(F.col("r_name"), F.lit(" / "), F.col("c_mktsegment")).alias("port_of_discharge"),
         F.col("cn_name").alias("country_of_destination"),
-        ship_date.alias("shipment_date"),
-        F.date_format(ship_date, "yyyy-MM").alias("month_year"),
+        _ship_date().alias("shipment_date"),
+        _month().alias("month_year"),
         F.lit(FIXTURE_BATCH).alias("upload_batch"),
         F.lit(None).cast("timestamp").alias("created_at"),
         F.lit(None).cast("long").alias("ingest_seq"),
