@@ -59,3 +59,10 @@ def test_rows_stay_where_they_are_when_duplicates_are_dropped(spark, tmp_path, m
     assert sorted(r.ingest_seq for r in out.collect()) == want
     monkeypatch.setattr(S, "MOST_KNOWN", 0)  # an import too large for that
     assert sorted(r.ingest_seq for r in S.dedup_exports(df).collect()) == want
+
+
+def test_numbered_names_meet_by_long_runs(spark):
+    from trade_insights.operators.patterns import _pattern_runs
+    some = spark.createDataFrame([("SUPPLIER#000012345",), ("TRADERS%#00012345",), ("ab",)], "p string")
+    got = {r.p: {len(x) for x in r.runs} for r in some.select("p", _pattern_runs(F.col("p")).alias("runs")).collect()}
+    assert got == {"SUPPLIER#000012345": {16}, "TRADERS%#00012345": {8}, "ab": {2}}

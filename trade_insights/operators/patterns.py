@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Length of the runs of letters that bring names and patterns together.
-GRAM = 3
+#: Lengths of the runs of letters that bring names and patterns together. Names
+#: of one form, such as numbered ones, share nearly all of their short runs.
+GRAMS = (16, 8, 3, 2, 1)
 
 
 def _runs(text: Column, n: int) -> Column:
@@ -18,10 +19,12 @@ def _runs(text: Column, n: int) -> Column:
 
 def _pattern_runs(pattern: Column) -> Column:
     """Runs that every match of a pattern has: the longest that the parts
-    between its wildcards give, up to ``GRAM`` letters; the empty one if there
+    between its wildcards give, of the lengths ``GRAMS``; the empty one if there
     are wildcards only."""
     parts = F.split(pattern, "[%_]")
-    of = [F.array_distinct(F.flatten(F.transform(parts, lambda p, n=n: _runs(p, n)))) for n in range(GRAM, 0, -1)]
+    # a lambda of two arguments would get each part's place as its second
+    of_length = lambda n: F.array_distinct(F.flatten(F.transform(parts, lambda p: _runs(p, n))))
+    of = [of_length(n) for n in GRAMS]
     out = F.array(F.lit(""))
     for runs in reversed(of):
         out = F.when(F.size(runs) > 0, runs).otherwise(out)
@@ -37,7 +40,7 @@ def matching_names(names: DataFrame, patterns: DataFrame) -> DataFrame:
     What so meets is verified by LIKE.
     """
     upper = names.filter("name is not null").select("name", F.upper("name").alias("__upper")).distinct()
-    runs = F.concat(F.array(F.lit("")), *(_runs(F.col("__upper"), n) for n in range(1, GRAM + 1)))
+    runs = F.concat(F.array(F.lit("")), *(_runs(F.col("__upper"), n) for n in GRAMS))
     have = upper.select("name", "__upper", F.explode(runs).alias("run"))
     often = have.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     wanted = patterns.filter("name is not null").select(F.upper("name").alias("pattern")).distinct()
